@@ -23,6 +23,7 @@ def get_spark(app: str = "quarry", cpus: int | str = "*", shuffle_partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.ansi.enabled", "false")
     )
