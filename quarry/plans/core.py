@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import clean, lock, record, rollups, scoring
 from quarry.plans import sqlbase as S
+from quarry.plans.cache import shared_plan
 from quarry.plans.registry import finalize, query
 
-_cache: dict = {}
+@shared_plan
+def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record.build_record(spark, sf_dir)
 
 
+@shared_plan
 def scored_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record -> D1 -> D6 -> D14, lazily; Catalyst prunes what a query does
     not read."""
-    rec = record.build_record(spark, sf_dir)
-    return lock.lock_basic(clean.clean_basic(scoring.dqi_basic(rec)))
+    return lock.lock_basic(clean.clean_basic(scoring.dqi_basic(rec(spark, sf_dir))))
 
 
 RECORD_COLS = ["patient_key", "study_id", "site_id", "subject_id", "region", "country", "subject_status_clean",
@@ -30,7 +33,7 @@ _rec_sel = ", ".join(S.r6(c, c) if c in _DOUBLE_RECORD else c for c in RECORD_CO
 
 @query("j4_record", S.with_record() + f"SELECT {_rec_sel} FROM record")
 def q_record(spark, sf):
-    return finalize(record.build_record(spark, sf).select(*RECORD_COLS))
+    return finalize(rec(spark, sf).select(*RECORD_COLS))
 
 
 _DQI_COLS = [f"dqi_{k}_raw" for k in scoring.COMPONENTS] + ["dqi_score"]
@@ -39,8 +42,7 @@ _dqi_sel = ", ".join(S.r6(c, c) for c in _DQI_COLS)
 
 @query("d1_dqi_basic", S.with_record(S.DQI) + f"SELECT patient_key, site_id, {_dqi_sel}, dqi_band FROM dqi")
 def q_dqi(spark, sf):
-    rec = record.build_record(spark, sf)
-    return finalize(scoring.dqi_basic(rec).select("patient_key", "site_id", *_DQI_COLS, "dqi_band"))
+    return finalize(scoring.dqi_basic(rec(spark, sf)).select("patient_key", "site_id", *_DQI_COLS, "dqi_band"))
 
 
 _CLEAN_COLS = ["patient_key", "tier1_clinical_clean", "tier2_operational_clean", "tier1_blocking_reason",
@@ -49,7 +51,7 @@ _CLEAN_COLS = ["patient_key", "tier1_clinical_clean", "tier2_operational_clean",
 
 @query("d6_clean_basic", S.with_record(S.DQI, S.clean_cte("dqi")) + f"SELECT {', '.join(_CLEAN_COLS)} FROM clean")
 def q_clean(spark, sf):
-    return finalize(clean.clean_basic(record.build_record(spark, sf)).select(*_CLEAN_COLS))
+    return finalize(clean.clean_basic(rec(spark, sf)).select(*_CLEAN_COLS))
 
 
 _LOCK_COLS = ["patient_key", "db_lock_eligible", "db_lock_tier1_ready", "db_lock_tier2_pending",

@@ -5,14 +5,26 @@ from __future__ import annotations
 from quarry import config
 from quarry.operators import clean, lock, record, rollups, scoring
 from quarry.plans import sqlbase as S
+from quarry.plans.cache import shared_plan
+from quarry.plans.core import rec
 from quarry.plans.registry import finalize, query
 
 C = scoring.COMPONENTS
 
 
+@shared_plan
+def edqi_record(spark, sf):
+    return scoring.dqi_enhanced(rec(spark, sf))
+
+
+@shared_plan
+def eclean_record(spark, sf):
+    return clean.clean_enhanced(edqi_record(spark, sf))
+
+
+@shared_plan
 def enhanced_record(spark, sf):
-    rec = record.build_record(spark, sf)
-    return lock.lock_enhanced(clean.clean_enhanced(scoring.dqi_enhanced(rec)))
+    return lock.lock_enhanced(eclean_record(spark, sf))
 
 
 def _f(x: float) -> str:
@@ -96,7 +108,7 @@ _d2_sel = ", ".join([S.r6(f"r_{k}", f"dqi_{k}_raw") for k in C] + [S.r6(f"i_{k}"
 
 @query("d2_dqi_enhanced", S.with_record(EDQI) + f"SELECT patient_key, {_d2_sel} FROM edqi")
 def q_d2(spark, sf):
-    return finalize(scoring.dqi_enhanced(record.build_record(spark, sf)).select("patient_key", *_D2_COLS))
+    return finalize(edqi_record(spark, sf).select("patient_key", *_D2_COLS))
 
 
 _A11_ROWS = " UNION ALL ".join(
@@ -109,7 +121,7 @@ _A11_ROWS = " UNION ALL ".join(
 
 @query("a11_dqi_component_summary", S.with_record(EDQI) + _A11_ROWS)
 def q_a11(spark, sf):
-    return finalize(scoring.dqi_component_summary(scoring.dqi_enhanced(record.build_record(spark, sf))))
+    return finalize(scoring.dqi_component_summary(edqi_record(spark, sf)))
 
 
 # ----------------------------------------------------------------- D7-D9 SQL
@@ -184,8 +196,7 @@ _d7_sel = ", ".join(S.r6(c, c) if c in _D7_D else ("quick_win_category <> 'Not Q
 
 @query("d7_clean_enhanced", S.with_record(EDQI, ECLEAN) + f"SELECT {_d7_sel} FROM eclean")
 def q_d7(spark, sf):
-    rec = record.build_record(spark, sf)
-    return finalize(clean.clean_enhanced(scoring.dqi_enhanced(rec)).select(*_D7_COLS))
+    return finalize(eclean_record(spark, sf).select(*_D7_COLS))
 
 
 # --------------------------------------------------------------- D10-D13 SQL
