@@ -127,9 +127,13 @@ def adaptive_key_join(left: DataFrame, detail: DataFrame, full_key: list[str], f
     row = stats.crossJoin(total).first()
     n = row["n"] or 0
     rate = (row["m"] / n) if n else 0.0
+    def _prep(key):
+        # detail columns that also exist on the left (other than the key) are dropped: the left wins
+        return detail.drop(*[c for c in detail.columns if c in left.columns and c not in key])
+
     if rate >= threshold:
-        return left.join(detail.drop(*[k for k in fallback_key if k not in full_key]), full_key, "left"), "full_key"
-    fb = detail.drop(*[k for k in full_key if k not in fallback_key])
+        return left.join(_prep(full_key), full_key, "left"), "full_key"
+    fb = _prep(fallback_key)
     if dedup:
         fb = fb.dropDuplicates(fallback_key)
     hit = fb.select(*fallback_key).join(left.select(*fallback_key), fallback_key, "left_semi").limit(1).count()

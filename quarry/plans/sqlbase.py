@@ -266,3 +266,100 @@ lock AS (
 def scored(*ctes: str) -> str:
     """record -> dqi -> clean -> lock, plus extra CTEs."""
     return with_record(DQI, clean_cte("dqi"), LOCK, *ctes)
+
+
+# ----------------------------------------------------------- raw text extracts
+def site_text(ck: str, nk: str) -> str:
+    return (f"CASE {ck} % 4 WHEN 0 THEN 'Site ' || CAST({nk} AS VARCHAR) WHEN 1 THEN 'SITE-' || CAST({nk} AS VARCHAR) "
+            f"WHEN 2 THEN 'site_' || CAST({nk} AS VARCHAR) ELSE CAST({nk} AS VARCHAR) END")
+
+
+def subject_text(ck: str) -> str:
+    return (f"CASE {ck} % 3 WHEN 0 THEN 'Subject ' || CAST({ck} AS VARCHAR) WHEN 1 THEN 'subj-' || CAST({ck} AS VARCHAR) "
+            f"ELSE CAST({ck} AS VARCHAR) END")
+
+
+DUCK_DATE_FORMATS = ["%Y-%m-%d", "%d-%b-%Y", "%d%b%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S",
+                     "%d-%b-%Y %H:%M:%S", "%Y-%m-%dT%H:%M:%S"]
+
+
+def std_study(s: str) -> str:
+    d = f"regexp_extract({s}, '(\\d+)', 1)"
+    return (f"CASE WHEN {s} IS NULL OR lower({s}) IN ('none', 'nan', '') THEN 'Unknown' "
+            f"WHEN {d} <> '' THEN 'Study_' || {d} ELSE trim({s}) END")
+
+
+def std_site(s: str) -> str:
+    rest = f"regexp_replace(trim({s}), '^site[\\s_-]*', '', 'i')"
+    return (f"CASE WHEN {s} IS NULL OR lower({s}) IN ('none', 'nan', '') OR trim({s}) = '' OR {rest} = '' THEN NULL "
+            f"ELSE 'Site_' || {rest} END")
+
+
+def std_subject(s: str) -> str:
+    rest = f"regexp_replace(trim({s}), '^(subject|subj)[\\s_-]*', '', 'i')"
+    return (f"CASE WHEN {s} IS NULL OR lower(trim({s})) IN ('none', 'nan', '', 'null') OR {rest} = '' THEN NULL "
+            f"ELSE 'Subject_' || {rest} END")
+
+
+def std_status(s: str) -> str:
+    from quarry.config import SUBJECT_STATUS_MAPPING as M
+    l_ = f"lower(trim({s}))"
+    exact = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dict(M).items())
+    part = " ".join(f"WHEN contains({l_}, '{k}') THEN '{v}'" for k, v in M)
+    return (f"CASE WHEN {s} IS NULL OR {l_} IN ('none', 'nan', '') THEN 'Unknown' "
+            f"ELSE coalesce(CASE {l_} {exact} END, CASE {part} ELSE 'Unknown' END) END")
+
+
+def pkey(study: str, site: str, subj: str) -> str:
+    return f"concat_ws('|', coalesce({study}, 'Unknown'), coalesce({site}, 'Unknown'), coalesce({subj}, 'Unknown'))"
+
+
+RAW_CPID = """
+raw_base AS (
+  SELECT c.c_custkey AS ck, r.r_regionkey AS rk, c.c_nationkey AS nk, r.r_name, n.n_name, c.c_acctbal, c.c_mktsegment
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+raw_one AS (
+  SELECT
+    CASE ck % 3 WHEN 0 THEN 'Study ' || CAST(rk AS VARCHAR) WHEN 1 THEN 'STUDY-' || CAST(rk AS VARCHAR) || ' (EDC)'
+         ELSE 'study_' || CAST(rk AS VARCHAR) END AS project_name,
+    r_name AS region, n_name AS country, """ + site_text("ck", "nk") + """ AS site,
+    CASE WHEN ck % 97 = 1 THEN 'Responsible LF for action'
+         WHEN ck % 89 = 2 THEN CASE ck % 3 WHEN 0 THEN 'nan' WHEN 1 THEN 'None' ELSE '' END
+         ELSE """ + subject_text("ck") + """ END AS subject,
+    CASE WHEN ck % 113 = 5 THEN 'TBD' ELSE CASE c_mktsegment
+      WHEN 'AUTOMOBILE' THEN CASE WHEN ck % 2 = 0 THEN 'On Treatment' ELSE 'Active' END
+      WHEN 'BUILDING' THEN CASE WHEN ck % 2 = 0 THEN 'Completed' ELSE 'finished' END
+      WHEN 'FURNITURE' THEN CASE WHEN ck % 2 = 0 THEN 'Withdrawn' ELSE 'Discontinued early' END
+      WHEN 'HOUSEHOLD' THEN CASE WHEN ck % 2 = 0 THEN 'Screening' ELSE 'screening' END
+      WHEN 'MACHINERY' THEN CASE WHEN ck % 2 = 0 THEN 'Screen Fail' ELSE 'Screening Failure' END
+      ELSE 'TBD' END END AS subject_status,
+    CASE WHEN ck % 31 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END AS acct_balance,
+    CASE ck % 8 """ + " ".join(
+    f"WHEN {i} THEN strftime((DATE '1995-01-01' + CAST(ck % 2000 AS INTEGER)) + INTERVAL 630 MINUTE, '{f}')"
+    for i, f in enumerate(DUCK_DATE_FORMATS[:-1])) + f""" ELSE strftime((DATE '1995-01-01' + CAST(ck % 2000 AS INTEGER))
+      + INTERVAL 630 MINUTE, '{DUCK_DATE_FORMATS[-1]}') END AS latest_visit,
+    ck
+  FROM raw_base
+),
+raw_cpid AS (SELECT * EXCLUDE (ck) FROM raw_one UNION ALL SELECT * EXCLUDE (ck) FROM raw_one WHERE ck % 50 = 3)"""
+
+JUNK_RE = "responsible|lf for action|site/cra|coder|safety team|investigator|cse/cdd|cdmd"
+CLEAN_SUBJECTS = f"""
+cs_a AS (
+  SELECT * FROM raw_cpid
+  WHERE NOT (coalesce(regexp_matches(lower(trim(project_name)), '{JUNK_RE}'), false)
+          OR coalesce(regexp_matches(lower(trim(region)), '{JUNK_RE}'), false)
+          OR coalesce(regexp_matches(lower(trim(country)), '{JUNK_RE}'), false)
+          OR coalesce(regexp_matches(lower(trim(site)), '{JUNK_RE}'), false)
+          OR coalesce(regexp_matches(lower(trim(subject)), '{JUNK_RE}'), false))
+    AND subject IS NOT NULL AND subject NOT IN ('None', '', 'nan') AND length(subject) > 0
+),
+clean_subjects AS (
+  SELECT DISTINCT {pkey(std_study('project_name'), std_site('site'), std_subject('subject'))} AS patient_key,
+    {std_study('project_name')} AS study_id, {std_site('site')} AS site_id, {std_subject('subject')} AS subject_id,
+    region, country, {std_status('subject_status')} AS subject_status_clean,
+    coalesce(TRY_CAST(trim(acct_balance) AS DOUBLE), 0.0) AS acct_balance,
+    coalesce({', '.join(f"try_strptime(trim(latest_visit), '{f}')" for f in DUCK_DATE_FORMATS)}) AS latest_visit
+  FROM cs_a
+)"""

@@ -49,7 +49,7 @@ ORDER_PRED = {
 }
 EVENT_PRED = {
     "edrr": "event_type = 'error'",
-    "lab": "event_type = 'purchase' AND value >= 400",
+    "lab": "event_type = 'purchase' AND value >= 100",
 }
 
 
@@ -167,3 +167,80 @@ def edrr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("subj-"), F.col("user_id").cast("string")).alias("subject"),
         F.lit(1).cast("long").alias("total_open_issue_count_per_subject"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Raw (uncleaned) extracts: text ids in several spellings, junk and invalid
+# rows, duplicated rows, numbers and dates as text.  Fixed values below.
+# ---------------------------------------------------------------------------
+RAW_STATUS_TEXT = {
+    "AUTOMOBILE": ("On Treatment", "Active"),
+    "BUILDING": ("Completed", "finished"),
+    "FURNITURE": ("Withdrawn", "Discontinued early"),
+    "HOUSEHOLD": ("Screening", "screening"),
+    "MACHINERY": ("Screen Fail", "Screening Failure"),
+}
+JUNK_SUBJECT_TEXT = "Responsible LF for action"
+
+
+def _variant(ck: Column, options: list[Column]) -> Column:
+    expr = None
+    for i, o in enumerate(options[:-1]):
+        cond = (ck % len(options)) == i
+        expr = F.when(cond, o) if expr is None else expr.when(cond, o)
+    return expr.otherwise(options[-1])
+
+
+def raw_site_text(ck: Column, nk: Column) -> Column:
+    s = nk.cast("string")
+    return _variant(ck, [F.concat(F.lit("Site "), s), F.concat(F.lit("SITE-"), s), F.concat(F.lit("site_"), s), s])
+
+
+def raw_subject_text(ck: Column) -> Column:
+    s = ck.cast("string")
+    return _variant(ck, [F.concat(F.lit("Subject "), s), F.concat(F.lit("subj-"), s), s])
+
+
+def raw_cpid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject-level extract as text, before cleaning."""
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    n = load(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = load(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    x = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+    ck, rk = F.col("c_custkey"), F.col("r_regionkey").cast("string")
+    project = _variant(ck, [F.concat(F.lit("Study "), rk), F.concat(F.lit("STUDY-"), rk, F.lit(" (EDC)")),
+                            F.concat(F.lit("study_"), rk)])
+    subject = (F.when(ck % 97 == 1, F.lit(JUNK_SUBJECT_TEXT))
+               .when(ck % 89 == 2, _variant(ck, [F.lit("nan"), F.lit("None"), F.lit("")]))
+               .otherwise(raw_subject_text(ck)))
+    seg = F.col("c_mktsegment")
+    status = F.lit("TBD")
+    st = None
+    for k, (a, b) in RAW_STATUS_TEXT.items():
+        v = F.when(ck % 2 == 0, a).otherwise(b)
+        st = F.when(seg == k, v) if st is None else st.when(seg == k, v)
+    status = F.when(ck % 113 == 5, "TBD").otherwise(st.otherwise("TBD"))
+    visit_ts = F.to_timestamp(F.date_add(F.lit("1995-01-01").cast("date"), (ck % 2000).cast("int"))) \
+        + F.expr("INTERVAL 10 HOURS 30 MINUTES")
+    fmts = [F.date_format(visit_ts, f) for f in config.DATE_FORMATS]
+    out = x.select(
+        project.alias("project_name"), F.col("r_name").alias("region"), F.col("n_name").alias("country"),
+        raw_site_text(ck, F.col("c_nationkey")).alias("site"), subject.alias("subject"),
+        status.alias("subject_status"),
+        F.when(ck % 31 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("acct_balance"),
+        _variant(ck, fmts).alias("latest_visit"), ck.alias("_ck"))
+    dup = out.filter(F.col("_ck") % 50 == 3)
+    return out.unionByName(dup).drop("_ck")
+
+
+def raw_order_rows(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    """Order-derived detail rows with study / site / subject as text."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+                                        "o_orderdate"]).filter(F.expr(where))
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    n = load(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    x = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    ck = F.col("c_custkey")
+    return x.select(F.concat(F.lit("Study "), F.col("n_regionkey").cast("string")).alias("study"),
+                    raw_site_text(ck, F.col("c_nationkey")).alias("site"), raw_subject_text(ck).alias("subject"),
+                    "o_orderkey", "o_orderstatus", "o_orderdate")
