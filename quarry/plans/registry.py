@@ -1,12 +1,15 @@
 """Query registry shared by `__spark_entry__`, bench and tests."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import tune_for_wide_plans
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +20,13 @@ def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune_for_wide_plans(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
