@@ -68,7 +68,7 @@ def pct_rank_avg(value: Column, partition: Sequence[str | Column] | None, ascend
 
     rank_min + (ties - 1) / 2, over the group count.  Null values get null.
     """
-    order = value.asc() if ascending else value.desc()
+    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
     part = list(partition or [])
     w_order = Window.partitionBy(*part).orderBy(order)
     w_ties = Window.partitionBy(*part, value)

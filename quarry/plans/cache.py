@@ -26,3 +26,15 @@ def shared_plan(fn):
 
 def clear() -> None:
     _PLANS.clear()
+
+
+def materialized_plan(fn):
+    """`shared_plan` whose result is written once per session as parquet in
+    the shared checkpoint folder (see `quarry.session.materialize_table`)."""
+    from quarry.session import materialize_table
+
+    @functools.wraps(fn)
+    def build(spark, sf_dir, *args):
+        return materialize_table(fn(spark, sf_dir, *args), fn.__name__)
+
+    return shared_plan(build)

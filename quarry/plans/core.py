@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import clean, lock, record, rollups, scoring
 from quarry.plans import sqlbase as S
-from quarry.plans.cache import shared_plan
+from quarry.plans.cache import materialized_plan
 from quarry.plans.registry import finalize, query
 
-@shared_plan
+@materialized_plan
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.build_record(spark, sf_dir)
 
 
-@shared_plan
+@materialized_plan
 def scored_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record -> D1 -> D6 -> D14, lazily; Catalyst prunes what a query does
     not read."""

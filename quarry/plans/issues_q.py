@@ -4,7 +4,7 @@ from __future__ import annotations
 from quarry import config
 from quarry.operators import issues
 from quarry.plans import sqlbase as S
-from quarry.plans.cache import shared_plan
+from quarry.plans.cache import materialized_plan
 from quarry.plans.core import rec
 from quarry.plans.registry import finalize, query
 
@@ -12,7 +12,7 @@ T = issues.TYPES
 M = issues.META
 
 
-@shared_plan
+@materialized_plan
 def issue_record(spark, sf):
     return issues.issue_pipeline(rec(spark, sf))
 

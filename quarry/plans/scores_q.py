@@ -5,26 +5,22 @@ from __future__ import annotations
 from quarry import config
 from quarry.operators import clean, lock, record, rollups, scoring
 from quarry.plans import sqlbase as S
-from quarry.plans.cache import shared_plan
+from quarry.plans.cache import materialized_plan
 from quarry.plans.core import rec
 from quarry.plans.registry import finalize, query
 
 C = scoring.COMPONENTS
 
 
-@shared_plan
-def edqi_record(spark, sf):
-    return scoring.dqi_enhanced(rec(spark, sf))
-
-
-@shared_plan
-def eclean_record(spark, sf):
-    return clean.clean_enhanced(edqi_record(spark, sf))
+@materialized_plan
+def enhanced_record(spark, sf):
+    """record -> enhanced DQI -> enhanced clean -> lock readiness, written once."""
+    return lock.lock_enhanced(clean.clean_enhanced(scoring.dqi_enhanced(rec(spark, sf))))
 
 
-@shared_plan
-def enhanced_record(spark, sf):
-    return lock.lock_enhanced(eclean_record(spark, sf))
+# the score table carries every DQI and clean column as well
+edqi_record = enhanced_record
+eclean_record = enhanced_record
 
 
 def _f(x: float) -> str:

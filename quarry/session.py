@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,23 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def materialize_table(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as parquet under the shared checkpoint folder and return a
+    scan of it.
+
+    Used for the record and score tables that many queries read: the write
+    happens once, later queries prune columns and push filters into the
+    parquet scan instead of re-deriving the wide plan, and the files live
+    in the cluster's shared checkpoint folder, so losing an executor does
+    not lose them.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/quarry-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(os.environ.get("QUARRY_PARALLELISM", spark.sparkContext.defaultParallelism))
 
