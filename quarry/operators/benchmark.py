@@ -59,21 +59,35 @@ def site_base(df: DataFrame) -> DataFrame:
 
 
 def peer_benchmarks(site: DataFrame, metrics=tuple(config.BENCH_METRICS), peers=tuple(config.BENCH_PEERS)) -> DataFrame:
-    """Peer mean / std / median / percentile (x100) / delta."""
-    sel = []
-    for peer, cols in peers:
-        if not all(c in site.columns for c in cols):
-            continue
-        w = Window.partitionBy(*cols)
-        for m in metrics:
-            if m not in site.columns:
-                continue
-            mean = F.avg(m).over(w)
-            sel += [mean.alias(f"{m}_{peer}_mean"), F.stddev_samp(m).over(w).alias(f"{m}_{peer}_std"),
-                    F.percentile(F.col(m), 0.5).over(w).alias(f"{m}_{peer}_median"),
-                    (pct_rank_avg(F.col(m), cols) * 100.0).alias(f"{m}_{peer}_pctl"),
-                    (F.col(m) - mean).alias(f"{m}_{peer}_vs_mean")]
-    return site.select("*", *sel)
+    """Peer mean / std / median / percentile (x100) / delta.
+
+    Unpivot to (peer, peer value, metric, value), compute every statistic
+    with ONE window partition spec, pivot back with explicit column names.
+    The average-tie percentile is (rank_min + rank_max) / 2 / n, where
+    rank_max is a RANGE-frame count in the same ordered window.
+    """
+    ms = [m for m in metrics if m in site.columns]
+    ps = [(p, cols) for p, cols in peers if all(c in site.columns for c in cols)]
+    items = [F.struct(F.lit(p).alias("peer"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("pk"),
+                      F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"))
+             for p, cols in ps for m in ms]
+    long = site.select("study_id", "site_id", F.explode(F.array(*items)).alias("x")).select("study_id", "site_id", "x.*")
+    w_all = Window.partitionBy("peer", "pk", "metric")
+    w_ord = w_all.orderBy(F.col("v").asc_nulls_last())
+    rmax = F.count("v").over(w_ord.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    long = long.select("study_id", "site_id", "peer", "metric", "v",
+                       F.avg("v").over(w_all).alias("mean"), F.stddev_samp("v").over(w_all).alias("std"),
+                       F.percentile(F.col("v"), 0.5).over(w_all).alias("median"),
+                       F.when(F.col("v").isNull(), F.lit(None).cast("double"))
+                       .otherwise((F.rank().over(w_ord) + rmax) / 2.0 / F.count("v").over(w_all) * 100.0).alias("pctl"))
+    stats = ["mean", "std", "median", "pctl", "vs_mean"]
+    cells = long.select("study_id", "site_id", F.explode(F.array(*[
+        F.struct(F.concat_ws("_", "metric", "peer", F.lit(st)).alias("name"),
+                 ((F.col("v") - F.col("mean")) if st == "vs_mean" else F.col(st)).alias("val"))
+        for st in stats])).alias("c")).select("study_id", "site_id", "c.name", "c.val")
+    names = [f"{m}_{p}_{st}" for p, _ in ps for m in ms for st in stats]
+    wide = cells.groupBy("study_id", "site_id").pivot("name", names).agg(F.first("val"))
+    return site.join(wide, ["study_id", "site_id"], "left")
 
 
 def site_rankings(site: DataFrame) -> DataFrame:
