@@ -43,7 +43,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = config.PAGERANK_
     dangling = nodes.select(F.col("node").alias("src")).join(e.select("src").distinct(), "src", "left_anti")
     dangling = dangling.checkpoint(eager=True)
     ranks = nodes.select("node", F.lit(1.0 / n).alias("pr")).checkpoint(eager=True)
-    for _ in range(max_iter):
+    for it in range(max_iter):
         contrib = e.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")) \
             .agg(F.sum(F.col("pr") * F.col("p")).alias("c"))
         dsum = dangling.join(ranks.withColumnRenamed("node", "src"), "src").agg(F.sum("pr").alias("d"))
@@ -56,6 +56,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = config.PAGERANK_
         ranks = new
         if err < n * tol:
             break
+    pagerank.iterations = it + 1
     return ranks.withColumnRenamed("pr", "pagerank")
 
 

@@ -1 +1,93 @@
-"""Registered queries."""
+"""Governance queries."""
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quarry import config
+from quarry.operators import governance as G
+from quarry.plans import sqlbase as S
+from quarry.plans.registry import finalize, query
+from quarry.sources import testmap
+from quarry.sources.tables import load
+
+_EDGES = [float(x) for x in np.linspace(0.0, 1.0, config.CALIBRATION_BINS + 1)]
+
+AUDIT_SQL = """
+aud AS (
+  SELECT event_id AS entry_id, ts AS timestamp, sha256(concat_ws('|', event_id, ts, user_id, event_type, value)) AS checksum
+  FROM events),
+aud2 AS (SELECT *, lag(checksum) OVER (ORDER BY timestamp, entry_id) AS prev FROM aud),
+aud3 AS (SELECT entry_id, timestamp, checksum, CASE WHEN entry_id % 997 = 500 THEN sha256(CAST(entry_id AS VARCHAR)) ELSE prev END
+  AS previous_checksum, prev AS expected FROM aud2),
+chk AS (SELECT *, expected IS NOT NULL AND coalesce(previous_checksum, '') <> expected AS broken_link FROM aud3)"""
+
+
+@query("w13_audit_chain", "WITH " + AUDIT_SQL + """
+SELECT entry_id, broken_link,
+  (SELECT min((timestamp, entry_id)) FROM chk WHERE broken_link) IS NOT NULL
+    AND (timestamp, entry_id) >= (SELECT min((timestamp, entry_id)) FROM chk WHERE broken_link) AS reported_invalid
+FROM chk""")
+def q_w13(spark, sf):
+    ev = load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    return finalize(G.verify_chain(G.audit_entries(ev)).select("entry_id", "broken_link", "reported_invalid"))
+
+
+PRED_SQL = """
+pred AS (
+  SELECT d.doc_id AS prediction_id, d.source AS agent_name, d.lang AS action_type, (d.n_chars % 1000) / 1000.0 AS confidence,
+    CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality = 1 AND l.toxic = 0 THEN 'accepted'
+         WHEN l.quality = 1 THEN 'modified' ELSE 'rejected' END AS outcome_type
+  FROM documents d LEFT JOIN labels l USING (doc_id)),
+dec AS (SELECT *, CASE outcome_type WHEN 'accepted' THEN 1.0 WHEN 'auto_executed' THEN 1.0 WHEN 'modified' THEN 0.5
+  ELSE 0.0 END AS credit FROM pred WHERE outcome_type IN ('accepted', 'auto_executed', 'modified', 'rejected'))"""
+_BIN = "CASE " + " ".join(
+    (f"WHEN confidence >= {_EDGES[i]!r} AND confidence <= {_EDGES[i + 1]!r} THEN {i}" if i == len(_EDGES) - 2
+     else f"WHEN confidence >= {_EDGES[i]!r} THEN {i}") for i in range(len(_EDGES) - 2, -1, -1)) + " END"
+_BINS_V = ", ".join(f"({i}, {_EDGES[i]!r}, {_EDGES[i + 1]!r})" for i in range(len(_EDGES) - 1))
+BINS_SQL = f"""
+g AS (SELECT {_BIN} AS bin, count(*) AS count, avg(confidence) AS avg_confidence, avg(credit) AS accuracy FROM dec GROUP BY 1),
+bins AS (
+  SELECT b.bin, b.bin_start, b.bin_end, coalesce(g.count, 0) AS count,
+    coalesce(g.avg_confidence, (CAST(b.bin_start AS DOUBLE) + b.bin_end) / 2) AS avg_confidence, coalesce(g.accuracy, 0.0) AS accuracy,
+    CASE WHEN g.count IS NULL THEN 0.0 ELSE abs(g.accuracy - g.avg_confidence) END AS calibration_error
+  FROM (SELECT * FROM (VALUES {_BINS_V}) t(bin, bin_start, bin_end)) b LEFT JOIN g USING (bin))"""
+
+
+@query("a40_calibration_bins", "WITH " + PRED_SQL + "," + BINS_SQL + """
+SELECT CAST(bin AS BIGINT) AS bin, round(CAST(bin_start AS DOUBLE), 6) AS bin_start, round(CAST(bin_end AS DOUBLE), 6) AS bin_end, count,
+  round(avg_confidence, 6) AS avg_confidence, round(accuracy, 6) AS accuracy, round(calibration_error, 6) AS calibration_error
+FROM bins""")
+def q_a40(spark, sf):
+    return finalize(G.calibration_bins(testmap.predictions(spark, sf)))
+
+
+_STATUS = "CASE " + " ".join(f"WHEN ece < {t} THEN '{lab}'" for t, lab in config.CALIBRATION_STATUS) + \
+    f" ELSE '{config.CALIBRATION_STATUS_TOP}' END"
+
+
+@query("a41_calibration_metrics", "WITH " + PRED_SQL + "," + BINS_SQL + f""",
+m AS (SELECT (SELECT count(*) FROM pred) AS total_predictions, count(*) AS predictions_with_outcomes,
+  avg((confidence - credit) * (confidence - credit)) AS brier_score, avg(credit) AS overall_accuracy,
+  avg(CAST(outcome_type = 'accepted' AS DOUBLE)) AS acceptance_rate, avg(CAST(outcome_type = 'modified' AS DOUBLE)) AS modification_rate,
+  avg(CAST(outcome_type = 'rejected' AS DOUBLE)) AS rejection_rate FROM dec),
+b AS (SELECT CASE WHEN sum(count) > 0 THEN sum(count * calibration_error) / sum(count) ELSE 0.0 END AS ece,
+  max(calibration_error) AS mce FROM bins)
+SELECT total_predictions, predictions_with_outcomes, round(ece, 6) AS expected_calibration_error,
+  round(mce, 6) AS maximum_calibration_error, round(brier_score, 6) AS brier_score, round(overall_accuracy, 6) AS overall_accuracy,
+  round(acceptance_rate, 6) AS acceptance_rate, round(modification_rate, 6) AS modification_rate,
+  round(rejection_rate, 6) AS rejection_rate, {_STATUS} AS calibration_status
+FROM m, b""")
+def q_a41(spark, sf):
+    return finalize(G.calibration_metrics(testmap.predictions(spark, sf)))
+
+
+@query("a42_acceptance_by_agent", "WITH " + PRED_SQL + """
+SELECT agent_name, count(*) AS total, count(outcome_type) AS decided, count(*) FILTER (WHERE outcome_type IS NULL) AS pending,
+  count(*) FILTER (WHERE outcome_type = 'accepted') AS accepted, count(*) FILTER (WHERE outcome_type = 'modified') AS modified,
+  count(*) FILTER (WHERE outcome_type = 'rejected') AS rejected, round(avg(confidence), 6) AS avg_confidence,
+  round(CASE WHEN count(outcome_type) > 0 THEN count(*) FILTER (WHERE outcome_type = 'accepted') / count(outcome_type) END, 6)
+    AS acceptance_rate
+FROM pred GROUP BY agent_name""")
+def q_a42(spark, sf):
+    return finalize(G.acceptance_by_agent(testmap.predictions(spark, sf)))

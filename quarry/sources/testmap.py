@@ -244,3 +244,76 @@ def raw_order_rows(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     return x.select(F.concat(F.lit("Study "), F.col("n_regionkey").cast("string")).alias("study"),
                     raw_site_text(ck, F.col("c_nationkey")).alias("site"), raw_subject_text(ck).alias("subject"),
                     "o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+# ---------------------------------------------------------------------------
+# Event-like tables.  Fixed values: category / priority / status mappings.
+# ---------------------------------------------------------------------------
+EVENT_CATEGORY = {"error": "issue", "click": "task", "view": "report", "signup": "mention", "purchase": "sla_breach"}
+ORDER_ISSUE_PRIORITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "low",
+                        "5-LOW": "low"}
+ORDER_ISSUE_STATUS = {"O": "open", "P": "in_progress", "F": "resolved"}
+STATUS_CYCLE = ["open", "in_progress", "pending_review", "resolved", "closed", "reopened", "escalated", "on_hold",
+                "pending_approval", "cancelled"]
+
+
+def _map(col: Column, mapping: dict, default=None) -> Column:
+    expr = None
+    for k, v in mapping.items():
+        expr = F.when(col == k, v) if expr is None else expr.when(col == k, v)
+    return expr.otherwise(F.lit(default))
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert stream: one alert per event; k in props gives the key part."""
+    ev = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    cat = F.when((F.col("event_type") == "error") & (k < 10), "safety").otherwise(
+        _map(F.col("event_type"), EVENT_CATEGORY, "system"))
+    title = F.when(k % 20 == 0, F.concat(F.lit("URGENT: item "), k.cast("string"))) \
+        .when(k % 20 == 1, F.concat(F.lit("Overdue item "), k.cast("string"))) \
+        .otherwise(F.concat(F.lit("Update on item "), k.cast("string")))
+    return ev.select(F.col("event_id").alias("alert_id"), F.col("ts").alias("created_at"),
+                     F.col("user_id").alias("recipient_id"), cat.alias("category"), title.alias("title"),
+                     F.concat(F.lit("value "), F.col("value").cast("string")).alias("message"),
+                     F.concat(F.col("event_type"), F.lit(":"), (k % 10).cast("string")).alias("dedup_key"),
+                     k.alias("k"), F.col("value"))
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue registry: one issue per order."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate",
+                                        "o_totalprice"])
+    types = [t[0] for t in config.ISSUE_TYPES]
+    cat = F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("o_orderkey") % len(types) + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("issue_id"), F.col("o_custkey").alias("subject_key"),
+                    cat.alias("category"), _map(F.col("o_orderpriority"), ORDER_ISSUE_PRIORITY, "low").alias("priority"),
+                    _map(F.col("o_orderstatus"), ORDER_ISSUE_STATUS, "open").alias("status"),
+                    F.col("o_orderdate").alias("created_at"),
+                    F.concat(F.lit("Issue "), F.col("o_orderkey").cast("string")).alias("title"),
+                    (F.col("o_custkey") % 50).alias("assignee_id"), F.col("o_totalprice").alias("amount"))
+
+
+def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue status history: each line of an order is a status change."""
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate"])
+    idx = (F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 3).otherwise(0)) % len(STATUS_CYCLE)
+    return li.select(F.col("l_orderkey").alias("issue_id"), F.col("l_linenumber").alias("seq"),
+                     F.col("l_shipdate").alias("ts"),
+                     F.element_at(F.array(*[F.lit(s) for s in STATUS_CYCLE]), (idx + 1).cast("int")).alias("status"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with outcomes: every document is a prediction whose
+    confidence comes from its length; labelled documents have an outcome
+    (quality 1 & toxic 0 accepted, quality 1 & toxic 1 modified, else
+    rejected), the others are pending."""
+    d = load(spark, sf_dir, "documents", ["doc_id", "n_chars", "source", "lang"])
+    lab = load(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    x = d.join(lab, "doc_id", "left")
+    outcome = F.when(F.col("quality").isNull(), F.lit(None).cast("string")) \
+        .when((F.col("quality") == 1) & (F.col("toxic") == 0), "accepted") \
+        .when(F.col("quality") == 1, "modified").otherwise("rejected")
+    return x.select(F.col("doc_id").alias("prediction_id"), F.col("source").alias("agent_name"),
+                    F.col("lang").alias("action_type"), ((F.col("n_chars") % 1000) / 1000.0).alias("confidence"),
+                    outcome.alias("outcome_type"))
