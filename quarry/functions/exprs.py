@@ -68,6 +68,7 @@ def pct_rank_avg(value: Column, partition: Sequence[str | Column] | None, ascend
 
     rank_min + (ties - 1) / 2, over the group count.  Null values get null.
     """
+    value = F.when(F.isnan(value), F.lit(None).cast("double")).otherwise(value)  # NaN is missing, as in pandas
     order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
     part = list(partition or [])
     w_order = Window.partitionBy(*part).orderBy(order)
@@ -148,7 +149,7 @@ def argmax_name(values: Sequence[tuple[str, Column]], min_value: float | None =
 def greatest_ordinal_label(ordinals: Sequence[Column], labels: Sequence[str]) -> Column:
     """Max ordinal mapped back to its label (labels indexed by ordinal)."""
     g = F.greatest(*ordinals) if len(ordinals) > 1 else ordinals[0]
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), g + 1)
+    return F.get(F.array(*[F.lit(x) for x in labels]), g)
 
 
 def top_n_text(items: Sequence[tuple[str, Column]], n: int, sep: str = "; ",

@@ -20,7 +20,7 @@ def histogram_rank(df: DataFrame, value: str, groups: Sequence[str] = (), ascend
                    prefix: str | None = None) -> DataFrame:
     p = prefix or value
     g = list(groups)
-    h = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    h = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value))).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_cnt"))
     order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
     w_before = Window.partitionBy(*g).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)

@@ -71,7 +71,7 @@ def cascade_impact(record: DataFrame, nodes: DataFrame) -> DataFrame:
                       F.concat(plain, F.lit(" → Unlocks "), x["next"])).otherwise(plain)
 
     rec_txt = F.when(n_iss == 0, F.lit("Clean - No cascade")) \
-        .when(n_iss == 1, F.concat(F.lit("Fix "), iss[0]["name"], F.lit(" ("), iss[0]["count"].cast("string"),
+        .when(n_iss == 1, F.concat(F.lit("Fix "), F.get(iss, 0)["name"], F.lit(" ("), F.get(iss, 0)["count"].cast("string"),
                                    F.lit(") → DB Lock Ready"))) \
         .otherwise(F.concat(F.array_join(F.transform(top3, part), " → "), F.lit(" → DB Lock")))
     # primary blocker / critical path: first declared among the maxima
@@ -87,7 +87,7 @@ def cascade_impact(record: DataFrame, nodes: DataFrame) -> DataFrame:
     names_sorted = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.lit(name))
                                              for _, c, name, *_ in sorted_nodes]))
     k = F.size(names_sorted)
-    cluster = F.when(k == 0, "Clean").when(k == 1, F.concat(F.lit("Only: "), names_sorted[0])) \
+    cluster = F.when(k == 0, "Clean").when(k == 1, F.concat(F.lit("Only: "), F.get(names_sorted, 0))) \
         .when(k <= 3, F.concat(F.lit("Combo: "), F.array_join(names_sorted, " + "))) \
         .otherwise(F.concat(F.lit("Complex: "), k.cast("string"), F.lit(" issues")))
     path = F.when(n_iss == 0, "Ready").when(longest["ptxt"].isNull(), "Direct to DB Lock").otherwise(longest["ptxt"])
@@ -101,7 +101,7 @@ def cascade_impact(record: DataFrame, nodes: DataFrame) -> DataFrame:
                    bits.alias("cascade_issue_pattern"), cluster.alias("cascade_cluster"),
                    F.transform(F.slice(iss, 1, 4), lambda x: F.concat(x["name"], F.lit(" ("), x["count"].cast("string"),
                                                                       F.lit(")"))).alias("_chain"),
-                   iss[0]["name"].alias("_p_name"), iss[0]["count"].alias("_p_count"))
+                   F.get(iss, 0)["name"].alias("_p_name"), F.get(iss, 0)["count"].alias("_p_count"))
     return out
 
 

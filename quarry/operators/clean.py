@@ -140,5 +140,5 @@ def path_to_clean(df: DataFrame) -> DataFrame:
     out = df.withColumn("_acts", actions).withColumn("_acts_top", F.slice(F.col("_acts"), 1, 5))
     return out.select(
         "*", F.when(F.size("_acts") == 0, "Clean - No actions needed").otherwise(txt).alias("path_to_clean"),
-        F.element_at(c("_acts"), 1)["action"].alias("next_action"),
-        F.element_at(c("_acts"), 1)["role"].alias("next_responsible")).drop("_acts", "_acts_top")
+        F.get(c("_acts"), 0)["action"].alias("next_action"),
+        F.get(c("_acts"), 0)["role"].alias("next_responsible")).drop("_acts", "_acts_top")

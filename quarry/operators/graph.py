@@ -86,14 +86,14 @@ def paths_to(edges: DataFrame, target: str, max_len: int = 64) -> DataFrame:
     frontier = spark.createDataFrame([([target],)], "path array<string>")
     done = frontier
     for _ in range(max_len):
-        grown = frontier.join(edges, F.element_at(frontier.path, 1) == edges.dst) \
+        grown = frontier.join(edges, F.get(frontier.path, 0) == edges.dst) \
             .filter(~F.array_contains(F.col("path"), F.col("src"))) \
             .select(F.concat(F.array(F.col("src")), F.col("path")).alias("path")).checkpoint(eager=True)
         if grown.isEmpty():
             break
         done = done.unionByName(grown)
         frontier = grown
-    return done.select(F.element_at("path", 1).alias("start"), "path", F.size("path").alias("length"))
+    return done.select(F.get("path", 0).alias("start"), "path", F.size("path").alias("length"))
 
 
 def shortest_paths_to(edges: DataFrame, target: str) -> DataFrame:

@@ -78,8 +78,8 @@ def lock_enhanced(df: DataFrame, status_col: str = "subject_status_clean") -> Da
             .otherwise(F.bround(F.least(total * F.lit(config.LOCK_ESTIMATION_BUFFER), F.lit(90.0)), 1)))
     out = out.select(
         "*",
-        F.element_at(c("_b"), 1)["id"].alias("dblock_primary_blocker"),
-        F.element_at(c("_b"), 1)["name"].alias("dblock_primary_blocker_name"),
+        F.get(c("_b"), 0)["id"].alias("dblock_primary_blocker"),
+        F.get(c("_b"), 0)["name"].alias("dblock_primary_blocker_name"),
         F.size(c("_b")).alias("dblock_blocker_count"),
         F.size(F.filter(c("_b"), lambda b: b["sev"] == "Critical")).alias("dblock_critical_count"),
         F.when(F.size(c("_b")) == 0, "None").otherwise(F.array_join(first5, "; ")).alias("dblock_blockers_list"),

@@ -26,7 +26,6 @@ def get_spark(app: str = "quarry", cpus: int | str = "*", shuffle_partitions: in
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
-        .config("spark.sql.ansi.enabled", "false")
         .config("spark.sql.constraintPropagation.enabled", "false")
     )
     spark = builder.getOrCreate()

@@ -285,7 +285,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate",
                                         "o_totalprice"])
     types = [t[0] for t in config.ISSUE_TYPES]
-    cat = F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("o_orderkey") % len(types) + 1).cast("int"))
+    cat = F.get(F.array(*[F.lit(t) for t in types]), (F.col("o_orderkey") % len(types)).cast("int"))
     return o.select(F.col("o_orderkey").alias("issue_id"), F.col("o_custkey").alias("subject_key"),
                     cat.alias("category"), _map(F.col("o_orderpriority"), ORDER_ISSUE_PRIORITY, "low").alias("priority"),
                     _map(F.col("o_orderstatus"), ORDER_ISSUE_STATUS, "open").alias("status"),
@@ -300,7 +300,7 @@ def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = (F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 3).otherwise(0)) % len(STATUS_CYCLE)
     return li.select(F.col("l_orderkey").alias("issue_id"), F.col("l_linenumber").alias("seq"),
                      F.col("l_shipdate").alias("ts"),
-                     F.element_at(F.array(*[F.lit(s) for s in STATUS_CYCLE]), (idx + 1).cast("int")).alias("status"))
+                     F.get(F.array(*[F.lit(s) for s in STATUS_CYCLE]), idx.cast("int")).alias("status"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
