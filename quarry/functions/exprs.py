@@ -125,8 +125,13 @@ def lenient_double(c: str | Column, default: float | None = None) -> Column:
 
 
 def round_half_even(c: Column, scale: int) -> Column:
-    """pandas/NumPy rounding (banker's)."""
-    return F.bround(c, scale)
+    """Half-even rounding done in decimal arithmetic.
+
+    The double is first taken to its decimal value, then rounded half to
+    even; binary artefacts (36.025 stored as 36.02499...) cannot tip a tie
+    one way in one engine and the other way in another.
+    """
+    return F.bround(c.cast("decimal(38,12)"), scale).cast("double")
 
 
 def argmax_name(values: Sequence[tuple[str, Column]], min_value: float | None = None,

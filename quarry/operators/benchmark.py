@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import band, pct_rank_avg
+from quarry.functions.exprs import band, pct_rank_avg, round_half_even
 from quarry.functions.ranking import histogram_rank
 
 
@@ -45,15 +45,15 @@ def site_base(df: DataFrame) -> DataFrame:
     pc = c("patient_count")
     extra = []
     if "tier1_clean" in has:
-        extra.append(F.bround(c("tier1_clean_count") / pc * 100.0, 1).alias("tier1_clean_rate"))
+        extra.append(round_half_even(c("tier1_clean_count") / pc * 100.0, 1).alias("tier1_clean_rate"))
     if "tier2_clean" in has:
-        extra.append(F.bround(c("tier2_clean_count") / pc * 100.0, 1).alias("tier2_clean_rate"))
+        extra.append(round_half_even(c("tier2_clean_count") / pc * 100.0, 1).alias("tier2_clean_rate"))
     if "dblock_tier1_ready" in has:
-        extra.append(F.bround(c("ready_count") / pc * 100.0, 1).alias("ready_rate"))
+        extra.append(round_half_even(c("ready_count") / pc * 100.0, 1).alias("ready_rate"))
     if "total_queries" in has:
-        extra.append(F.bround(c("total_queries") / pc, 2).alias("queries_per_patient"))
+        extra.append(round_half_even(c("total_queries") / pc, 2).alias("queries_per_patient"))
     if "cascade_impact_score" in has:
-        extra.append(F.bround(c("cascade_total") / pc, 2).alias("cascade_density"))
+        extra.append(round_half_even(c("cascade_total") / pc, 2).alias("cascade_density"))
     return s.select("*", *extra, (pc < config.MIN_PATIENTS_FULL_SCORE).alias("is_small_site"),
                     site_size(pc).alias("site_size"))
 
@@ -110,11 +110,11 @@ def site_rankings(site: DataFrame) -> DataFrame:
              + F.coalesce(c("ready_rate"), F.lit(0.0)) * wts["ready"]
              + F.coalesce(c("queries_norm"), F.lit(0.0)) * wts["queries"]
              + F.coalesce(c("days_norm"), F.lit(0.0)) * wts["days"])
-    s = s.withColumn("composite_score_raw", F.bround(score / F.lit(total_w), 1))
+    s = s.withColumn("composite_score_raw", round_half_even(score / F.lit(total_w), 1))
     mean = s.agg(F.avg("composite_score_raw").alias("_mean"))
     conf = F.least(c("patient_count") / float(config.MIN_PATIENTS_FULL_SCORE), F.lit(1.0))
     s = s.crossJoin(F.broadcast(mean)).withColumn(
-        "composite_score", F.bround(c("composite_score_raw") * conf + c("_mean") * (F.lit(1.0) - conf), 1)).drop("_mean")
+        "composite_score", round_half_even(c("composite_score_raw") * conf + c("_mean") * (F.lit(1.0) - conf), 1)).drop("_mean")
     s = histogram_rank(s, "composite_score", ascending=False, prefix="_all")
     s = s.withColumnRenamed("_all_rank_min", "overall_rank").drop("_all_rank_avg", "_all_pct")
     s = histogram_rank(s, "composite_score", ascending=True, prefix="_pc")
@@ -132,7 +132,7 @@ def site_outliers(site: DataFrame, metrics=tuple(config.BENCH_METRICS), z: float
     ms = [m for m in metrics if m in site.columns]
     stats = site.agg(*[F.avg(m).alias(f"_mu_{m}") for m in ms], *[F.stddev_samp(m).alias(f"_sd_{m}") for m in ms])
     s = site.crossJoin(F.broadcast(stats))
-    zc = {m: F.when(F.col(f"_sd_{m}") > 0, F.bround((F.col(m) - F.col(f"_mu_{m}")) / F.col(f"_sd_{m}"), 2))
+    zc = {m: F.when(F.col(f"_sd_{m}") > 0, round_half_even((F.col(m) - F.col(f"_mu_{m}")) / F.col(f"_sd_{m}"), 2))
           for m in ms}
     s = s.select(*site.columns, *[zc[m].alias(f"{m}_zscore") for m in ms])
     flags = [F.coalesce(F.abs(F.col(f"{m}_zscore")) > z, F.lit(False)) for m in ms]
@@ -173,7 +173,7 @@ def study_benchmarks(site: DataFrame) -> DataFrame:
 
 
 def _pct_text(x):
-    return F.bround(x, 0).cast("long").cast("string")
+    return round_half_even(x, 0).cast("long").cast("string")
 
 
 def narratives(site: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.exprs import round_half_even
+
 from quarry import config
 from quarry.operators import graph
 
@@ -92,7 +94,7 @@ def cascade_impact(record: DataFrame, nodes: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Complex: "), k.cast("string"), F.lit(" issues")))
     path = F.when(n_iss == 0, "Ready").when(longest["ptxt"].isNull(), "Direct to DB Lock").otherwise(longest["ptxt"])
     out = r.select(*record.columns,
-                   F.bround(impact, 2).alias("cascade_impact_score"),
+                   round_half_even(impact, 2).alias("cascade_impact_score"),
                    best["type"].alias("cascade_primary_blocker"),
                    rec_txt.alias("cascade_recommendation"),
                    n_iss.alias("cascade_issue_count"),
@@ -114,10 +116,10 @@ def site_cascade(df: DataFrame) -> DataFrame:
         F.avg("cascade_impact_score").alias("avg_cascade_impact"), F.sum("cascade_issue_count").alias("total_issues"),
         F.max("cascade_path_length").alias("max_path_length"),
         F.mode("cascade_primary_blocker", deterministic=True).alias("top_blocker"))
-    s = s.withColumn("cascade_density", F.bround(c("total_issues") / c("patient_count"), 2))
+    s = s.withColumn("cascade_density", round_half_even(c("total_issues") / c("patient_count"), 2))
     mx = s.agg(F.max("total_cascade_impact").alias("_mx"))
     return s.crossJoin(F.broadcast(mx)).withColumn(
-        "cascade_priority", F.when(c("_mx") > 0, F.bround(c("total_cascade_impact") / c("_mx") * 100.0, 1))
+        "cascade_priority", F.when(c("_mx") > 0, round_half_even(c("total_cascade_impact") / c("_mx") * 100.0, 1))
         .otherwise(F.lit(0.0))).drop("_mx")
 
 

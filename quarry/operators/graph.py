@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.exprs import round_half_even
+
 from quarry import config
 from quarry.session import ensure_checkpoint_dir
 
@@ -71,7 +73,7 @@ def unlock_scores(nodes: DataFrame, edges: DataFrame, boost: DataFrame | None =
         s = s.join(boost, "node", "left").select(
             "node", (F.col("s") * (F.lit(1.0) + F.log10(F.coalesce(F.col("count"), F.lit(0)) + 1.0) / 5.0)).alias("s"))
     mx = s.agg(F.max("s").alias("mx"))
-    out = s.crossJoin(mx).select("node", "s", F.bround(F.col("s") / F.col("mx") * 100.0, 2).alias("unlock_score"))
+    out = s.crossJoin(mx).select("node", "s", round_half_even(F.col("s") / F.col("mx") * 100.0, 2).alias("unlock_score"))
     if boost is not None:
         out = out.withColumn("unlock_score", F.least(F.col("unlock_score"), F.lit(100.0)))
     return out.drop("s")

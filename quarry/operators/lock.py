@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import col_or_lit, num
+from quarry.functions.exprs import col_or_lit, num, round_half_even
 
 
 def lock_basic(df: DataFrame, status_col: str = "subject_status_clean") -> DataFrame:
@@ -75,7 +75,10 @@ def lock_enhanced(df: DataFrame, status_col: str = "subject_status_clean") -> Da
         total = total + t
     days = (F.when(c("dblock_tier1_ready"), F.lit(0.0))
             .when(~elig, F.lit(None).cast("double"))
-            .otherwise(F.bround(F.least(total * F.lit(config.LOCK_ESTIMATION_BUFFER), F.lit(90.0)), 1)))
+            # exact decimal arithmetic: the terms are multiples of 0.125, so the
+            # one-decimal rounding of a binary double would sit on ties
+            .otherwise(F.bround(F.least(total.cast("decimal(24,6)") * F.lit(config.LOCK_ESTIMATION_BUFFER).cast("decimal(6,3)"),
+                                        F.lit(90).cast("decimal(24,6)")), 1).cast("double")))
     out = out.select(
         "*",
         F.get(c("_b"), 0)["id"].alias("dblock_primary_blocker"),

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import band, clip
+from quarry.functions.exprs import band, clip, round_half_even
 
 
 def _rate(count_col: str, n_col: str = "patient_count"):
-    return F.bround(F.col(count_col) / F.col(n_col) * 100.0, 1)
+    return round_half_even(F.col(count_col) / F.col(n_col) * 100.0, 1)
 
 
 def site_performance(df: DataFrame, keys: tuple[str, ...] = ("study_id", "site_id")) -> DataFrame:
@@ -40,13 +40,13 @@ def site_performance(df: DataFrame, keys: tuple[str, ...] = ("study_id", "site_i
     w = config.SPI_WEIGHTS
     spi = (c("site_dqi_mean") * w["site_dqi_mean"] + c("tier1_clean_rate") * w["tier1_clean_rate"]
            + c("tier2_clean_rate") * w["tier2_clean_rate"] + c("db_lock_ready_rate") * w["db_lock_ready_rate"])
-    agg = agg.withColumn("site_performance_index", F.bround(clip(spi, 0.0, 100.0), 2))
+    agg = agg.withColumn("site_performance_index", round_half_even(clip(spi, 0.0, 100.0), 2))
     return agg.withColumn("performance_tier", band(c("site_performance_index"), config.SPI_TIERS,
                                                    config.SPI_TIER_FLOOR))
 
 
 def _b(x, d):
-    return F.bround(x, d)
+    return round_half_even(x, d)
 
 
 def site_clean_summary(df: DataFrame, keys=("study_id", "site_id")) -> DataFrame:

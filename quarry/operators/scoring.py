@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import band, clip, col_or_lit, num
+from quarry.functions.exprs import band, clip, col_or_lit, num, round_half_even
 
 COMPONENTS = ["safety", "query", "completeness", "coding", "lab", "sdv", "signature", "edrr"]
 
@@ -165,8 +165,8 @@ def dqi_component_summary(scored: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(k).alias("component"), F.lit(cfg[k][0]).alias("weight"),
                      F.lit(cfg[k][1]).alias("criticality"), F.col(f"{k}__p").alias("patients_with_issues"),
                      F.col(f"{k}__t").cast("long").alias("total_issues"),
-                     F.bround(F.col(f"{k}__avg"), 2).alias("avg_raw_score"),
-                     F.bround(F.col(f"{k}__min"), 2).alias("min_raw_score"),
-                     F.bround(F.col(f"{k}__max"), 2).alias("max_raw_score"),
-                     F.bround(F.col(f"{k}__c"), 2).alias("contribution")) for k in COMPONENTS]
+                     round_half_even(F.col(f"{k}__avg"), 2).alias("avg_raw_score"),
+                     round_half_even(F.col(f"{k}__min"), 2).alias("min_raw_score"),
+                     round_half_even(F.col(f"{k}__max"), 2).alias("max_raw_score"),
+                     round_half_even(F.col(f"{k}__c"), 2).alias("contribution")) for k in COMPONENTS]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

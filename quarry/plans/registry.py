@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
         REGISTRY[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = decimal_round_even(sql)
         return fn
     return deco
 
@@ -46,3 +46,31 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             out.append(c)
     return df.select(*out)
+
+
+def decimal_round_even(sql: str) -> str:
+    """Rewrite every `round_even(x, d)` into half-even rounding of the
+    decimal value of x (the twin of `quarry.functions.exprs.round_half_even`)."""
+    out, i, key = [], 0, "round_even("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth, comma = j + len(key), 1, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = sql[j + len(key):comma], sql[comma + 1:k - 1]
+        if inner.lstrip().startswith("least(CAST(") and "DECIMAL(24,6)" in inner:
+            out.append(sql[j:k])  # already exact decimal
+        else:
+            out.append(f"CAST(round_even(CAST({decimal_round_even(inner)} AS DECIMAL(38,12)), {digits.strip()}) AS DOUBLE)")
+        i = k

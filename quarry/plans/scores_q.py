@@ -238,7 +238,8 @@ el_c AS (
     CASE WHEN len(_b) = 0 THEN 'None' ELSE array_to_string(list_transform(list_slice(_b, 1, 5),
       lambda b: '[' || left(b.sev, 1) || '] ' || b.name), '; ') END AS dblock_blockers_list,
     CASE WHEN dblock_tier1_ready THEN 0.0 WHEN NOT dblock_eligible THEN NULL
-         ELSE round_even(least(({_days}) * {_f(config.LOCK_ESTIMATION_BUFFER)}, 90.0), 1) END AS dblock_days_to_ready
+         ELSE CAST(round_even(least(CAST(({_days}) AS DECIMAL(24,6)) * CAST({_f(config.LOCK_ESTIMATION_BUFFER)} AS DECIMAL(6,3)),
+           CAST(90 AS DECIMAL(24,6))), 1) AS DOUBLE) END AS dblock_days_to_ready
   FROM el_b
 ),
 elock AS (
