@@ -1 +1,60 @@
-"""Registered queries."""
+"""Streaming queries: each drains the event stream into a parquet sink and
+returns a scan of the result; the SQL twin is the batch definition."""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quarry.plans.collab_q import ALERTS_SQL
+from quarry.plans.registry import finalize, query
+from quarry.session import ensure_checkpoint_dir
+from quarry.streaming import alerts_stream as ST
+
+
+@query("t6_stream_hourly_counts", "WITH " + ALERTS_SQL + """
+SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start,
+  time_bucket(INTERVAL 1 HOUR, created_at) + INTERVAL 1 HOUR AS window_end, category, count(*) AS alerts
+FROM alerts WHERE created_at < (SELECT time_bucket(INTERVAL 1 HOUR, max(created_at) - INTERVAL 1 HOUR) FROM alerts)
+GROUP BY ALL""")
+def q_t6s(spark, sf):
+    out = ST.run_to_parquet(ST.hourly_counts(ST.alert_stream(spark, sf)), "t6")
+    return finalize(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                               F.col("window_end").cast("timestamp_ntz").alias("window_end"), "category", "alerts"))
+
+
+@query("t1_stream_dedup", "WITH " + ALERTS_SQL + """,
+a AS (SELECT alert_id AS id, dedup_key AS k, created_at AS t FROM alerts),
+nx AS (SELECT a.id, (SELECT b.id FROM a b WHERE b.k = a.k AND b.t > a.t + INTERVAL 60 MINUTE ORDER BY b.t, b.id LIMIT 1) AS nxt FROM a),
+heads AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY t, id) AS rn FROM a) WHERE rn = 1),
+chain AS (WITH RECURSIVE c(id) AS (SELECT id FROM heads UNION ALL
+  SELECT nx.nxt FROM c JOIN nx ON nx.id = c.id WHERE nx.nxt IS NOT NULL) SELECT id FROM c)
+SELECT alert_id, dedup_key, alert_id IN (SELECT id FROM chain) AS kept FROM alerts""")
+def q_t1s(spark, sf):
+    return finalize(ST.run_to_parquet(ST.dedup_stream(ST.alert_stream(spark, sf)), "t1"))
+
+
+@query("t2_stream_fatigue")
+def q_t2s(spark, sf):
+    return finalize(ST.run_to_parquet(ST.fatigue_stream(ST.alert_stream(spark, sf)), "t2"))
+
+
+@query("t11_circuit_states")
+def q_t11(spark, sf):
+    c = ST.run_to_parquet(ST.circuit_states(ST.event_stream(spark, sf)), "t11")
+    return finalize(c.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query("t12_usage_sessions")
+def q_t12(spark, sf):
+    s = ST.run_to_parquet(ST.usage_sessions(ST.event_stream(spark, sf)), "t12")
+    return finalize(s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                             F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events", "value"))
+
+
+@query("t9_daily_upsert", """
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY ALL""")
+def q_t9(spark, sf):
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/quarry-tables/daily-{uuid.uuid4().hex[:10]}"
+    ST.daily_upsert(ST.event_stream(spark, sf), path)
+    return finalize(spark.read.parquet(path).select("day", "event_type", "events", "value"))
