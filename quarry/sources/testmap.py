@@ -317,3 +317,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("doc_id").alias("prediction_id"), F.col("source").alias("agent_name"),
                     F.col("lang").alias("action_type"), ((F.col("n_chars") % 1000) / 1000.0).alias("confidence"),
                     outcome.alias("outcome_type"))
+
+
+EVENT_OUTCOME = {"purchase": "accepted", "click": "accepted_modified", "error": "rejected", "view": "overridden",
+                 "signup": "auto_executed"}
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant interactions: every event is one, its type gives the
+    outcome; satisfaction answers ride on signup events (rating 1-5,
+    would-recommend when k >= 50)."""
+    ev = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    return ev.select("event_id", F.col("ts").alias("timestamp"), "user_id",
+                     F.concat(F.lit("agent_"), (F.col("user_id") % 5).cast("string")).alias("agent_name"),
+                     _map(F.col("event_type"), EVENT_OUTCOME, None).alias("outcome"),
+                     F.col("value").alias("time_to_decision_seconds"),
+                     F.when(F.col("event_type") == "signup", (k % 5) + 1).alias("rating"),
+                     F.when(F.col("event_type") == "signup", (k >= 50).cast("int")).alias("would_recommend"))
