@@ -64,18 +64,15 @@ def dedup_kept(alerts: DataFrame, key: str = "dedup_key", ts: str = "created_at"
     jump = nxt.select("id", F.col("nxt").alias("j")).checkpoint(eager=True)
     heads = a.groupBy("k").agg(F.min(F.struct("t", "id"))["id"].alias("id"))
     marked = heads.select("id").checkpoint(eager=True)
-    frontier = marked
     for _ in range(max_rounds):
-        # new = jump_r(marked), not yet marked
+        # new = jump_r(marked), not yet marked; stop when the chain is covered
         new = marked.join(jump, "id").select(F.col("j").alias("id")).filter(F.col("id").isNotNull()).distinct()
         new = new.join(marked, "id", "left_anti").checkpoint(eager=True)
-        jump2 = jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.id"), "left") \
-            .select(F.col("x.id").alias("id"), F.col("y.j").alias("j")).checkpoint(eager=True)
         if new.isEmpty():
             break
-        marked = marked.unionByName(new).checkpoint(eager=True)
-        jump = jump2
-        frontier = new  # noqa: F841
+        marked = marked.unionByName(new)  # lineage grows by one union per round (log of the chain length)
+        jump = jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.id"), "left") \
+            .select(F.col("x.id").alias("id"), F.col("y.j").alias("j")).checkpoint(eager=True)
     kept = marked.withColumn("kept", F.lit(True))
     return alerts.join(kept.withColumnRenamed("id", id_col), id_col, "left") \
         .withColumn("kept", F.coalesce(F.col("kept"), F.lit(False)))

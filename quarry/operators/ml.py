@@ -233,3 +233,10 @@ def pca_residual_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     sev = F.when(F.col("anomaly_score") >= F.col("_q")[2], "extreme").when(F.col("anomaly_score") >= F.col("_q")[1], "high") \
         .when(F.col("anomaly_score") >= F.col("_q")[0], "moderate").otherwise("normal")
     return x.select(*keys, "recon_error", "max_abs_z", "anomaly_score", sev.alias("severity"))
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """A reproducible sample of n rows: order by md5(key || seed) and take
+    n (the sample is the feature; TakeOrderedAndProject keeps n per task)."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")

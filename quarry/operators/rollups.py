@@ -131,3 +131,18 @@ def site_lock_projection(df: DataFrame) -> DataFrame:
     a = a.withColumn("ready_rate", F.when(c("eligible") > 0, _b(c("ready") / c("eligible") * 100.0, 1))
                      .otherwise(100.0))
     return a.withColumn("priority_score", F.lit(100.0) - c("ready_rate"))
+
+
+def trial_state_rollup(df: DataFrame) -> DataFrame:
+    """Patients -> sites -> studies: site counts and means first, then
+    study totals and means of the site figures (two aggregation levels)."""
+    c = F.col
+    site = df.groupBy("study_id", "site_id").agg(
+        F.count(F.lit(1)).alias("patients"), F.avg("dqi_score").alias("site_dqi"),
+        F.avg(c("tier2_clean").cast("double")).alias("site_clean_rate"),
+        F.avg(c("dblock_tier1_ready").cast("double")).alias("site_ready_rate"))
+    return site.groupBy("study_id").agg(
+        F.count(F.lit(1)).alias("sites"), F.sum("patients").alias("patients"), F.avg("site_dqi").alias("mean_site_dqi"),
+        F.min("site_dqi").alias("worst_site_dqi"), F.avg("site_clean_rate").alias("mean_site_clean_rate"),
+        F.avg("site_ready_rate").alias("mean_site_ready_rate"),
+        F.count(F.when(c("site_dqi") < 75, 1)).alias("sites_below_75"))

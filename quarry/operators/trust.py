@@ -90,3 +90,25 @@ def acceptance_by_agent(x: DataFrame, as_of: dt.datetime, days: int = config.TRU
         F.count(F.when(o.isin("accepted", "accepted_modified", "auto_executed"), 1)).alias("accepted"),
         F.count(F.when(o == "rejected", 1)).alias("rejected"), F.count(F.when(o == "overridden", 1)).alias("overridden"))
     return g.withColumn("acceptance_rate", F.col("accepted") / F.col("total"))
+
+
+def learning_signals(x: DataFrame) -> DataFrame:
+    """Each decided interaction yields one or two learning signals:
+    rejection -> negative (strength 1.0) plus a calibration signal when the
+    decision was fast; modification -> partial (0.5); acceptance ->
+    positive (0.3); override -> negative (0.8) plus a policy-review signal."""
+    o, t = F.col("outcome"), F.col("time_to_decision_seconds")
+    sig = lambda typ, s: F.struct(F.lit(typ).alias("signal_type"), F.lit(s).alias("strength"))
+    arr = (F.when(o == "rejected", F.array(sig("negative", 1.0), F.when(t < 30, sig("calibration", 0.6))))
+           .when(o == "accepted_modified", F.array(sig("partial", 0.5)))
+           .when(o == "accepted", F.array(sig("positive", 0.3)))
+           .when(o == "overridden", F.array(sig("negative", 0.8), sig("policy_review", 0.4)))
+           .otherwise(F.array()))
+    return x.select("event_id", "agent_name", "timestamp", F.explode(F.array_compact(arr)).alias("s")) \
+        .select("event_id", "agent_name", "timestamp", "s.signal_type", "s.strength")
+
+
+def signal_summary(signals: DataFrame) -> DataFrame:
+    """Signals by agent and type: count and mean strength."""
+    return signals.groupBy("agent_name", "signal_type").agg(F.count(F.lit(1)).alias("signals"),
+                                                          F.avg("strength").alias("avg_strength"))

@@ -114,3 +114,14 @@ def readiness_by_status(df: DataFrame) -> DataFrame:
         F.count(F.when(c("dblock_status") == "Pending", 1)).alias("pending"),
         F.count(F.when(c("dblock_status") == "Blocked", 1)).alias("blocked"),
         F.sum("dblock_blocker_count").alias("blockers"), F.sum("dblock_critical_count").alias("critical_blockers"))
+
+
+def quick_wins(df: DataFrame, max_effort: float = 4.0, min_impact: float = 30.0, n: int = 10) -> DataFrame:
+    """Patients whose remaining effort is at most `max_effort` hours and
+    whose cascade impact is at least `min_impact`, by impact per hour."""
+    c = F.col
+    x = df.filter((c("total_effort_hours") > 0) & (c("total_effort_hours") <= max_effort)
+                  & (c("cascade_impact_score") >= min_impact))
+    x = x.select("patient_key", "site_id", "cascade_impact_score", "total_effort_hours",
+                 (c("cascade_impact_score") / c("total_effort_hours")).alias("impact_per_hour"))
+    return x.orderBy(c("impact_per_hour").desc(), c("patient_key").asc()).limit(n)
