@@ -128,3 +128,56 @@ def acceptance_by_agent(pred: DataFrame) -> DataFrame:
         F.count(F.when(o == "accepted", 1)).alias("accepted"), F.count(F.when(o == "modified", 1)).alias("modified"),
         F.count(F.when(o == "rejected", 1)).alias("rejected"), F.avg("confidence").alias("avg_confidence"))
     return g.withColumn("acceptance_rate", F.when(F.col("decided") > 0, F.col("accepted") / F.col("decided")))
+
+
+def _sev(ratio: Column) -> Column:
+    expr = None
+    for thr, lab in config.DRIFT_SEVERITY:
+        expr = F.when(ratio >= thr, lab) if expr is None else expr.when(ratio >= thr, lab)
+    return expr.otherwise("low")
+
+
+def drift_alerts(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Compare two one-row metric frames; one alert row per rule that
+    fires (accuracy drop, ECE increase, acceptance drop, rejection spike),
+    severity by change / threshold (1.5 / 2 / 3)."""
+    t = config.DRIFT_THRESHOLDS
+    cur = current.select(*[F.col(c).alias(f"c_{c}") for c in current.columns])
+    base = baseline.select(*[F.col(c).alias(f"b_{c}") for c in baseline.columns])
+    x = cur.crossJoin(base)
+    c = F.col
+    rules = [
+        ("accuracy_drift", "overall_accuracy", "accuracy_drop",
+         F.when(c("b_overall_accuracy") > 0, (c("b_overall_accuracy") - c("c_overall_accuracy")) / c("b_overall_accuracy"))),
+        ("calibration_drift", "expected_calibration_error", "ece_increase",
+         c("c_expected_calibration_error") - c("b_expected_calibration_error")),
+        ("acceptance_drift", "acceptance_rate", "acceptance_drop",
+         F.when(c("b_acceptance_rate") > 0, (c("b_acceptance_rate") - c("c_acceptance_rate")) / c("b_acceptance_rate"))),
+        ("acceptance_drift", "rejection_rate", "rejection_spike",
+         F.when((c("c_rejection_rate") > 0) & (c("b_rejection_rate") > 0),
+                (c("c_rejection_rate") - c("b_rejection_rate")) / c("b_rejection_rate"))),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(kind).alias("drift_type"), F.lit(m).alias("metric_name"),
+                              ch.alias("change"), F.lit(t[th]).alias("threshold"), c(f"c_{m}").alias("current_value"),
+                              c(f"b_{m}").alias("baseline_value")) for i, (kind, m, th, ch) in enumerate(rules)])
+    y = x.select(F.explode(rows).alias("r")).select("r.*").filter(F.col("change") > F.col("threshold"))
+    return y.withColumn("severity", _sev(F.col("change") / F.col("threshold")))
+
+
+def recalibration_triggers(current: DataFrame, drift: DataFrame, days_since: int) -> DataFrame:
+    """Threshold, performance, time and drift triggers as rows."""
+    t = config.RECAL_THRESHOLDS
+    c = F.col
+    n_drift = drift.agg(F.count(F.lit(1)).alias("_d"))
+    x = current.crossJoin(n_drift)
+    rules = F.array(
+        F.when(c("expected_calibration_error") > t["ece_threshold"], F.struct(F.lit("threshold").alias("trigger_type"),
+                                                                              F.lit("ece").alias("metric"))),
+        F.when(c("overall_accuracy") < t["accuracy_threshold"], F.struct(F.lit("performance").alias("trigger_type"),
+                                                                         F.lit("accuracy").alias("metric"))),
+        F.when(c("rejection_rate") > t["rejection_threshold"], F.struct(F.lit("performance").alias("trigger_type"),
+                                                                        F.lit("rejection_rate").alias("metric"))),
+        F.when(F.lit(days_since) > t["days_since_calibration"], F.struct(F.lit("time_based").alias("trigger_type"),
+                                                                         F.lit("days_since_calibration").alias("metric"))),
+        F.when(c("_d") > 0, F.struct(F.lit("drift").alias("trigger_type"), F.lit("drift_alerts").alias("metric"))))
+    return x.select(F.explode(F.array_compact(rules)).alias("r")).select("r.*")

@@ -91,3 +91,64 @@ SELECT agent_name, count(*) AS total, count(outcome_type) AS decided, count(*) F
 FROM pred GROUP BY agent_name""")
 def q_a42(spark, sf):
     return finalize(G.acceptance_by_agent(testmap.predictions(spark, sf)))
+
+
+def _metrics_sql(name: str, where: str) -> str:
+    """Calibration metrics (A41) of the predictions matching `where`."""
+    return f"""
+{name}_dec AS (SELECT * FROM dec WHERE {where}),
+{name}_g AS (SELECT {_BIN} AS bin, count(*) AS count, avg(confidence) AS c, avg(credit) AS a FROM {name}_dec GROUP BY 1),
+{name}_b AS (SELECT CASE WHEN sum(count) > 0 THEN sum(count * abs(a - c)) / sum(count) ELSE 0.0 END AS expected_calibration_error
+  FROM {name}_g),
+{name} AS (SELECT avg(credit) AS overall_accuracy, avg(CAST(outcome_type = 'accepted' AS DOUBLE)) AS acceptance_rate,
+  avg(CAST(outcome_type = 'rejected' AS DOUBLE)) AS rejection_rate, (SELECT expected_calibration_error FROM {name}_b)
+  AS expected_calibration_error FROM {name}_dec)"""
+
+
+_T = config.DRIFT_THRESHOLDS
+DRIFT_SQL = "WITH " + PRED_SQL + "," + _metrics_sql("cur", "action_type <> 'en'") + "," + _metrics_sql("base", "action_type = 'en'") + f""",
+r AS (
+  SELECT 0 AS ordinal, 'accuracy_drift' AS drift_type, 'overall_accuracy' AS metric_name,
+    CASE WHEN b.overall_accuracy > 0 THEN (b.overall_accuracy - c.overall_accuracy) / b.overall_accuracy END AS change,
+    {_T['accuracy_drop']!r} AS threshold, c.overall_accuracy AS current_value, b.overall_accuracy AS baseline_value FROM cur c, base b
+  UNION ALL SELECT 1, 'calibration_drift', 'expected_calibration_error', c.expected_calibration_error - b.expected_calibration_error,
+    {_T['ece_increase']!r}, c.expected_calibration_error, b.expected_calibration_error FROM cur c, base b
+  UNION ALL SELECT 2, 'acceptance_drift', 'acceptance_rate',
+    CASE WHEN b.acceptance_rate > 0 THEN (b.acceptance_rate - c.acceptance_rate) / b.acceptance_rate END,
+    {_T['acceptance_drop']!r}, c.acceptance_rate, b.acceptance_rate FROM cur c, base b
+  UNION ALL SELECT 3, 'acceptance_drift', 'rejection_rate',
+    CASE WHEN c.rejection_rate > 0 AND b.rejection_rate > 0 THEN (c.rejection_rate - b.rejection_rate) / b.rejection_rate END,
+    {_T['rejection_spike']!r}, c.rejection_rate, b.rejection_rate FROM cur c, base b),
+alerts AS (SELECT *, CASE {' '.join(f"WHEN change / threshold >= {t} THEN '{lab}'" for t, lab in config.DRIFT_SEVERITY)} ELSE 'low' END
+  AS severity FROM r WHERE change > threshold)"""
+
+
+def _split_metrics(spark, sf):
+    p = testmap.predictions(spark, sf)
+    # baseline: English-language predictions; current: the other languages
+    cur = G.calibration_metrics(p.filter(F.col("action_type") != "en"))
+    base = G.calibration_metrics(p.filter(F.col("action_type") == "en"))
+    return cur, base
+
+
+@query("a43_drift_alerts", DRIFT_SQL + """
+SELECT CAST(ordinal AS BIGINT) AS ordinal, drift_type, metric_name, round(change, 6) AS change, round(threshold, 6) AS threshold,
+  round(current_value, 6) AS current_value, round(baseline_value, 6) AS baseline_value, severity FROM alerts""")
+def q_a43(spark, sf):
+    cur, base = _split_metrics(spark, sf)
+    return finalize(G.drift_alerts(cur, base))
+
+
+_R = config.RECAL_THRESHOLDS
+_DAYS_SINCE = 45
+
+
+@query("a44_recalibration_triggers", DRIFT_SQL + f"""
+SELECT 'threshold' AS trigger_type, 'ece' AS metric FROM cur WHERE expected_calibration_error > {_R['ece_threshold']}
+UNION ALL SELECT 'performance', 'accuracy' FROM cur WHERE overall_accuracy < {_R['accuracy_threshold']}
+UNION ALL SELECT 'performance', 'rejection_rate' FROM cur WHERE rejection_rate > {_R['rejection_threshold']}
+UNION ALL SELECT 'time_based', 'days_since_calibration' WHERE {_DAYS_SINCE} > {_R['days_since_calibration']}
+UNION ALL SELECT 'drift', 'drift_alerts' WHERE (SELECT count(*) FROM alerts) > 0""")
+def q_a44(spark, sf):
+    cur, base = _split_metrics(spark, sf)
+    return finalize(G.recalibration_triggers(cur, G.drift_alerts(cur, base), _DAYS_SINCE))
