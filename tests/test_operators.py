@@ -149,3 +149,48 @@ def test_previous_in_order_is_global_lag(spark):
     got = G.previous_in_order(df, ["t"], "v", "prev").toPandas().sort_values("t")
     exp = pdf.sort_values("t")["v"].shift(1)
     assert np.allclose(got["prev"].fillna(-1).to_numpy(), exp.fillna(-1).to_numpy())
+
+
+def test_drift_alert_severity(spark):
+    cur = spark.createDataFrame([(0.5, 0.20, 0.4, 0.5)], "overall_accuracy double, expected_calibration_error double, "
+                                                         "acceptance_rate double, rejection_rate double")
+    base = spark.createDataFrame([(0.8, 0.05, 0.6, 0.2)], cur.schema)
+    got = {r.metric_name: r.severity for r in G.drift_alerts(cur, base).collect()}
+    # accuracy drop .375 / .10 -> critical; ece +.15 / .05 -> critical; acceptance drop .333 / .15 -> high;
+    # rejection spike 1.5 / .2 -> critical
+    assert got == {"overall_accuracy": "critical", "expected_calibration_error": "critical",
+                   "acceptance_rate": "high", "rejection_rate": "critical"}
+
+
+def test_governance_decisions(spark):
+    from quarry.operators import decisions as D
+    rows = [("db_lock", "lock it", "site", ["ops"], 0.99), ("sae_dm_pending", "SAE reconciliation", "sae", ["x"], 0.97),
+            ("open_queries", "Resolve query", "query", ["routine"], 0.96), ("open_queries", "Resolve query", "query",
+                                                                              ["modify_locked"], 0.5)]
+    df = spark.createDataFrame(rows, "action_type string, description string, entity_type string, tags array<string>, "
+                                     "confidence double")
+    out = D.decide(df).collect()
+    assert (out[0].is_prohibited, out[0].action_decision, out[0].approval_level, out[0].approvers_required) == \
+        (True, "block", "sponsor", 2)
+    assert (out[1].risk_level, out[1].action_decision) == ("critical", "escalate")
+    assert (out[2].risk_level, out[2].action_decision, out[2].approval_expiry_hours) == ("medium", "auto_draft", 72)
+    assert (out[3].is_prohibited, out[3].prohibited_type) == (True, "locked_data_change")
+
+
+def test_stream_fatigue_equals_batch(spark):
+    from quarry.plans.collab_q import _alerts
+    from quarry.streaming import alerts_stream as ST
+    from tests.conftest import SF_SMALL
+    batch = {r.alert_id: r.suppressed for r in AL.fatigue_filter(_alerts(spark, SF_SMALL)).collect()}
+    stream = {r.alert_id: r.suppressed for r in ST.run_to_parquet(ST.fatigue_stream(ST.alert_stream(spark, SF_SMALL)),
+                                                                   "test_t2").collect()}
+    assert batch == stream
+
+
+def test_chunking_invariants():
+    from quarry.operators.textops import chunk_one
+    text = ("Dr. Smith saw the patient. " * 40 + "\n\n" + "Short para.\n\n" + "Another sentence here! " * 30)
+    chunks = chunk_one(text)
+    assert chunks and all(len(c) >= 150 for c in chunks)
+    assert all(len(c) <= 500 + 200 for c in chunks)
+    assert chunk_one("tiny") == ["tiny"] and chunk_one("   ") == []
