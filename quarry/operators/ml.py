@@ -240,3 +240,50 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     n (the sample is the feature; TakeOrderedAndProject keeps n per task)."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+
+
+def kfold(df: DataFrame, label: str, key: Column, k: int = 5) -> DataFrame:
+    """Stratified fold id = (row number within class by hash) mod k."""
+    x = ordered_row_number(df.withColumn("_h", key), [label], ["_h"], "_rn")
+    return x.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """M2: Pearson correlation of every feature pair in one aggregate (null
+    when a feature is constant)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        ok = (F.var_samp(F.col(a).cast("double")) > 0) & (F.var_samp(F.col(b).cast("double")) > 0)
+        aggs.append(F.when(ok, F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"p{i}"))
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("r"))
+                     for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def correlation_drop_list(pairs: DataFrame, cols: Sequence[str], threshold: float) -> list[str]:
+    """M2: for each feature in order, drop earlier kept features correlated
+    above the threshold.  Runs on the k x k table (k features), on the driver."""
+    high = {(r.feature_a, r.feature_b) for r in pairs.filter(F.abs(F.col("r")) > threshold).collect()}
+    kept: list[str] = []
+    dropped: list[str] = []
+    for c in cols:
+        for k in list(kept):
+            if (k, c) in high or (c, k) in high:
+                kept.remove(k)
+                dropped.append(k)
+        kept.append(c)
+    return dropped
+
+
+def platt_calibration(df: DataFrame, score: str, label: Column) -> DataFrame:
+    """Sigmoid (Platt) calibration of a score by logistic regression."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = VectorAssembler(inputCols=[score], outputCol="_f").transform(df.withColumn("_y", label.cast("double")))
+    model = LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=50).fit(x)
+    return model.transform(x).withColumn("calibrated", vector_to_array("probability")[1]).drop("_f", "_y", "rawPrediction",
+                                                                                              "probability", "prediction")
