@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_or_lit", "safe_ratio", "clip", "band", "pct_rank_avg", "first_true",
-    "fold_and", "fold_or", "top_n_text", "num", "zero_if_null", "argmax_name",
+    "fold_and", "fold_or", "top_n_text", "num", "zero_if_null", "argmax_name", "epoch_micros", "ntz_lit",
     "count_where", "sum_where", "entity_key", "lenient_double", "round_half_even",
     "greatest_ordinal_label", "stack_columns",
 ]
@@ -124,6 +124,29 @@ def lenient_double(c: str | Column, default: float | None = None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a date / datetime / string, built from its
+    text so neither the Python process nor the session time zone shifts it."""
+    import datetime as _dt
+    if isinstance(value, _dt.datetime):
+        text = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    elif isinstance(value, _dt.date):
+        text = value.strftime("%Y-%m-%d 00:00:00")
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def epoch_micros(c: Column) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP_NTZ (or TIMESTAMP) value,
+    independent of the session time zone: differences of wall-clock
+    timestamps stay exact across daylight-saving changes."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
 def round_half_even(c: Column, scale: int) -> Column:
     """Half-even rounding done in decimal arithmetic.
 

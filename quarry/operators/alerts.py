@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
+from quarry.functions.exprs import epoch_micros, ntz_lit
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -31,7 +32,7 @@ def classify_priority(title: Column, message: Column, category: Column) -> Colum
 
 
 def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+    return epoch_micros(c)
 
 
 def dedup_kept(alerts: DataFrame, key: str = "dedup_key", ts: str = "created_at", id_col: str = "alert_id",
@@ -154,7 +155,7 @@ def windowed_counts(alerts: DataFrame, ts: str = "created_at", size: str = "1 ho
 def alert_statistics(alerts: DataFrame, as_of) -> DataFrame:
     """Totals by status / priority / category and last hour / day, one
     aggregate pass then unpivoted."""
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz_lit(as_of)
     x = alerts.select(F.explode(F.array(
         F.struct(F.lit("priority").alias("dimension"), F.col("priority").alias("value")),
         F.struct(F.lit("category").alias("dimension"), F.col("category").alias("value")),

@@ -7,17 +7,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
+from quarry.functions.exprs import epoch_micros, ntz_lit
 
 
 def _hours_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 3.6e9
+    return (epoch_micros(later) - epoch_micros(earlier)) / 3.6e9
 
 
 def issue_sla(issues: DataFrame, as_of: dt.datetime) -> DataFrame:
     """SLA hours by priority (72 when unknown), due date, overdue flag
     for non-terminal issues, age and hours remaining at `as_of`."""
     sla = F.create_map(*[x for k, v in config.SLA_HOURS.items() for x in (F.lit(k), F.lit(v))])
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz_lit(as_of)
     hours = F.coalesce(sla[F.col("priority")], F.lit(72))
     due = F.col("created_at") + F.make_interval(hours=hours)
     out = issues.select("*", hours.alias("sla_hours"), due.cast("timestamp_ntz").alias("due_date"))
@@ -62,7 +63,7 @@ def escalation_candidates(issues: DataFrame, as_of: dt.datetime, current_level:
     status lists, age threshold only for time-based rules.  Every
     qualifying rule fires."""
     rules = F.broadcast(rules_frame(issues.sparkSession))
-    age = _hours_between(F.lit(as_of).cast("timestamp_ntz"), F.col("created_at"))
+    age = _hours_between(ntz_lit(as_of), F.col("created_at"))
     lvl = current_level if current_level is not None else F.lit(0)
     i = issues.select("issue_id", F.lower("priority").alias("priority"), F.lower("category").alias("category"),
                       F.lower("status").alias("status"), age.alias("age_hours"), lvl.alias("highest_level"))
@@ -98,9 +99,9 @@ def search(issues: DataFrame, *, statuses=None, priorities=None, categories=None
     if text:
         cond = cond & F.lower(F.col("title")).contains(text.lower())
     if created_from is not None:
-        cond = cond & (F.col("created_at") >= F.lit(created_from))
+        cond = cond & (F.col("created_at") >= ntz_lit(created_from))
     if created_to is not None:
-        cond = cond & (F.col("created_at") < F.lit(created_to))
+        cond = cond & (F.col("created_at") < ntz_lit(created_to))
     hit = issues.filter(cond)
     o = F.col(order_by).desc() if descending else F.col(order_by).asc()
     page = hit.orderBy(o, F.col("issue_id").asc()).offset(offset).limit(limit)

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.exprs import ntz_lit
+
 
 def where_all(df: DataFrame, **conds) -> DataFrame:
     """Equality, IN-list (list/tuple values), (lo, hi) ranges
@@ -26,7 +28,7 @@ def where_all(df: DataFrame, **conds) -> DataFrame:
 
 def recent(df: DataFrame, ts: str, as_of, hours: int) -> DataFrame:
     """rows in the last `hours` before as_of."""
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz_lit(as_of)
     return df.filter((F.col(ts) >= now - F.make_interval(hours=F.lit(hours))) & (F.col(ts) < now))
 
 
@@ -73,5 +75,5 @@ def audit_query(entries: DataFrame, flagged: DataFrame, actors: Sequence[int], t
     """audit entries matching several predicates that also appear in a
     flag table (left semi join), distinct actors and types."""
     x = entries.filter(F.col("actor_id").isin(list(actors)) & F.col("event_type").isin(list(types))
-                       & (F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end)))
+                       & (F.col("timestamp") >= ntz_lit(start)) & (F.col("timestamp") < ntz_lit(end)))
     return x.join(flagged, "entry_id", "left_semi").select("actor_id", "event_type").distinct()

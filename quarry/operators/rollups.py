@@ -114,9 +114,10 @@ def study_lock_projection(df: DataFrame, as_of) -> DataFrame:
     for thr, label in config.STUDY_LOCK_TIERS:
         tier = tier.when(c("ready_rate") >= thr, label)
     secs = F.round(F.coalesce(c("max_days"), F.lit(0.0)) * 86400.0).cast("long")
-    base = F.unix_seconds(F.to_timestamp(F.lit(str(as_of))))
+    # wall-clock arithmetic on TIMESTAMP_NTZ: no session time zone involved
+    base = F.lit(str(as_of)).cast("timestamp_ntz")
     return a.select("*", tier.otherwise("Not Ready").alias("lock_tier"),
-                    F.timestamp_seconds(base + secs).cast("timestamp_ntz").alias("est_lock_date"))
+                    F.timestamp_add("SECOND", secs, base).alias("est_lock_date"))
 
 
 def site_lock_projection(df: DataFrame) -> DataFrame:

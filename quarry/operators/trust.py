@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import round_half_even
+from quarry.functions.exprs import ntz_lit, round_half_even
 
 
 def _period(ts: Column, start: dt.datetime, end: dt.datetime) -> Column:
-    return (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))
+    return (ts >= ntz_lit(start)) & (ts < ntz_lit(end))
 
 
 def period_metrics(x: DataFrame, start: dt.datetime, end: dt.datetime, prefix: str = "") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import first_true
+from quarry.functions.exprs import epoch_micros, first_true, ntz_lit
 
 
 def portfolio_rollup(df: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def work_queue(issues: DataFrame, scores: DataFrame, cascade: DataFrame, n: int
 
 def sae_cases(alerts: DataFrame, as_of) -> DataFrame:
     """Safety cases: safety-category alerts; onset = creation time."""
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz_lit(as_of)
     x = alerts.filter(F.col("category") == "safety")
-    elapsed = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 3.6e9
+    elapsed = (epoch_micros(now) - epoch_micros(F.col("created_at"))) / 3.6e9
     return x.select("alert_id", "recipient_id", "created_at", "value", elapsed.alias("hours_elapsed"),
                     (F.lit(float(config.SAE_SLA_HOURS)) - elapsed).alias("hours_remaining"))
 

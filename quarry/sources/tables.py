@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.exprs import ntz_lit
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -62,5 +64,5 @@ def write_sample_csv(df: DataFrame, path: str, n: int = 1000) -> None:
 
 def export_range(df: DataFrame, ts_col: str, start, end, path: str, fmt: str = "json") -> None:
     """Export rows with start <= ts < end."""
-    out = df.filter((F.col(ts_col) >= F.lit(start)) & (F.col(ts_col) < F.lit(end)))
+    out = df.filter((F.col(ts_col) >= ntz_lit(start)) & (F.col(ts_col) < ntz_lit(end)))
     getattr(out.write.mode("overwrite"), fmt)(path)

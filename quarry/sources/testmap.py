@@ -220,8 +220,8 @@ def raw_cpid(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = F.when(ck % 2 == 0, a).otherwise(b)
         st = F.when(seg == k, v) if st is None else st.when(seg == k, v)
     status = F.when(ck % 113 == 5, "TBD").otherwise(st.otherwise("TBD"))
-    visit_ts = F.to_timestamp(F.date_add(F.lit("1995-01-01").cast("date"), (ck % 2000).cast("int"))) \
-        + F.expr("INTERVAL 10 HOURS 30 MINUTES")
+    visit_ts = F.timestamp_add("MINUTE", F.lit(630),
+                               F.date_add(F.lit("1995-01-01").cast("date"), (ck % 2000).cast("int")).cast("timestamp_ntz"))
     fmts = [F.date_format(visit_ts, f) for f in config.DATE_FORMATS]
     out = x.select(
         project.alias("project_name"), F.col("r_name").alias("region"), F.col("n_name").alias("country"),
