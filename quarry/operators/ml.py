@@ -287,3 +287,26 @@ def platt_calibration(df: DataFrame, score: str, label: Column) -> DataFrame:
     model = LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=50).fit(x)
     return model.transform(x).withColumn("calibrated", vector_to_array("probability")[1]).drop("_f", "_y", "rawPrediction",
                                                                                               "probability", "prediction")
+
+
+def _minmax(c: Column, lo: Column, hi: Column) -> Column:
+    return F.when(hi == lo, F.lit(0.5)).otherwise((c - lo) / (hi - lo))
+
+
+def baseline_ranker(site: DataFrame, weights=None) -> DataFrame:
+    """Rule risk score = .30 issue density + .25 signature backlog rate
+    + .25 SAE pending flag + .20 (100 - SDV completion), each numeric term
+    min-max normalised over sites (0.5 when constant); rank 1 = riskiest."""
+    w = weights or {"issue_density": 0.30, "signature_backlog_rate": 0.25, "has_sae_pending": 0.25, "inverse_sdv": 0.20}
+    x = site.withColumn("inverse_sdv", F.lit(100.0) - F.coalesce(F.col("sdv_completion_rate"), F.lit(100.0)))
+    cols = ["issue_density", "signature_backlog_rate", "inverse_sdv"]
+    st = x.agg(*[F.min(c).alias(f"{c}__lo") for c in cols], *[F.max(c).alias(f"{c}__hi") for c in cols])
+    x = x.crossJoin(F.broadcast(st))
+    score = (F.lit(w["issue_density"]) * _minmax(F.col("issue_density"), F.col("issue_density__lo"), F.col("issue_density__hi"))
+             + F.lit(w["signature_backlog_rate"]) * _minmax(F.col("signature_backlog_rate"), F.col("signature_backlog_rate__lo"),
+                                                           F.col("signature_backlog_rate__hi"))
+             + F.lit(w["has_sae_pending"]) * F.col("has_sae_pending").cast("double")
+             + F.lit(w["inverse_sdv"]) * _minmax(F.col("inverse_sdv"), F.col("inverse_sdv__lo"), F.col("inverse_sdv__hi")))
+    x = x.select(*site.columns, score.alias("baseline_score"))
+    return histogram_rank(x, "baseline_score", ascending=False, prefix="_r").withColumnRenamed("_r_rank_min", "risk_rank") \
+        .drop("_r_rank_avg", "_r_pct")

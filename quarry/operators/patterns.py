@@ -104,3 +104,10 @@ def cross_study_validation(matches: DataFrame) -> DataFrame:
     return g.withColumn("cross_study_validated",
                         (F.col("studies_affected") >= config.PATTERN_VALIDATION_MIN_STUDIES)
                         & (F.col("avg_confidence") >= config.PATTERN_VALIDATION_MIN_CONFIDENCE))
+
+
+def cross_study_report(matches: DataFrame) -> DataFrame:
+    """Matches by category and study: count, sites, mean confidence."""
+    return matches.groupBy("category", "study_id").agg(F.count(F.lit(1)).alias("matches"),
+                                                       F.count_distinct("entity_id").alias("sites"),
+                                                       F.avg("confidence").alias("avg_confidence"))

@@ -27,12 +27,14 @@ def label_centroids(vecs: DataFrame, label: str = "label", emb: str = "embedding
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = config.TOP_K, id_col: str = "vec_id",
                 emb: str = "embedding", where=None, min_score: float | None = None,
-                max_broadcast: int = config.MAX_BROADCAST_QUERIES) -> DataFrame:
+                max_broadcast: int = config.MAX_BROADCAST_QUERIES, group: str | None = None) -> DataFrame:
     """V6: (query_id, id, score, rank) of the k most similar vectors; ties by
-    id.  `where` filters the corpus first (V8 / V9)."""
+    id.  `where` filters the corpus first (V8 / V9); with `group` the top k
+    is kept per (query, group), e.g. per collection (V7)."""
     spark = corpus.sparkSession
     c = corpus if where is None else corpus.filter(where)
-    c = c.select(F.col(id_col).cast("long").alias("id"), F.col(emb).alias("v"))
+    gcol = F.col(group).cast("string") if group else F.lit("")
+    c = c.select(F.col(id_col).cast("long").alias("id"), F.col(emb).alias("v"), gcol.alias("grp"))
     nq = queries.count()
     out = None
     ordered = queries.select("query_id", "qvec").orderBy("query_id")
@@ -55,20 +57,28 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = config.TOP_K, id
                 s = (m @ qm.T) / np.where(norms == 0, np.inf, norms)[:, None]
                 ids = pdf["id"].to_numpy()
                 frame = pd.DataFrame({"query_id": np.repeat(qids[None, :], len(ids), 0).ravel(),
-                                      "id": np.repeat(ids, len(qids)), "score": s.ravel()})
+                                      "id": np.repeat(ids, len(qids)), "score": s.ravel(),
+                                      "grp": np.repeat(pdf["grp"].to_numpy(), len(qids))})
                 if min_score is not None:
                     frame = frame[frame["score"] >= min_score]
                 best = frame if best is None else pd.concat([best, frame])
-                best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]) \
-                    .groupby("query_id").head(k)
+                best = best.sort_values(["query_id", "grp", "score", "id"], ascending=[True, True, False, True]) \
+                    .groupby(["query_id", "grp"]).head(k)
             if best is not None:
                 yield best
 
-        part = c.mapInPandas(score, f"query_id {block_dtype(block)}, id long, score double")
+        part = c.mapInPandas(score, f"query_id {block_dtype(block)}, id long, score double, grp string")
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .withColumnRenamed("id", id_col)
+    w = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), F.col("id").asc())
+    out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("grp", group) if group else out.drop("grp")
+
+
+def merged_top(hits: DataFrame, n: int, id_col: str = "vec_id") -> DataFrame:
+    """V7: per query the n best hits over all collections (score = 1 -
+    cosine distance = cosine similarity)."""
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col).asc())
+    return hits.withColumn("merged_rank", F.row_number().over(w)).filter(F.col("merged_rank") <= n)
 
 
 def block_dtype(block: pd.DataFrame) -> str:
