@@ -119,3 +119,30 @@ def distributions(issues: DataFrame, top: int = 10) -> DataFrame:
     counts = rows.groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("value").asc())
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def escalation_timeline(issues: DataFrame, until: dt.datetime, check_hours: int = 24) -> DataFrame:
+    """Escalation checks every `check_hours` as time passes.
+
+    A rule becomes eligible at creation + trigger hours (time-based) or at
+    creation (other triggers); it is acted on at the first check at or after
+    that moment.  At a check, every eligible rule above the highest level
+    escalated before fires; the highest level escalated before a check equals
+    the highest level of all rules eligible at earlier checks, so firing is a
+    per-issue window over its (at most nine) rule rows."""
+    rules = F.broadcast(rules_frame(issues.sparkSession))
+    i = issues.select("issue_id", F.lower("priority").alias("priority"), F.lower("category").alias("category"),
+                      F.lower("status").alias("status"), "created_at")
+    cond = (((F.size("priorities") == 0) | F.array_contains("priorities", F.col("priority")))
+            & ((F.size("categories") == 0) | F.array_contains("categories", F.col("category")))
+            & F.col("status").isin(config.ESCALATION_DEFAULT_STATUSES))
+    x = i.join(rules, cond, "inner")
+    hours = F.when(F.col("trigger_type") == "time_based", F.col("trigger_hours")).otherwise(F.lit(0))
+    elig_us = epoch_micros(F.col("created_at")) + hours.cast("long") * 3_600_000_000
+    period = check_hours * 3_600_000_000
+    check = F.ceil(elig_us / F.lit(period)).cast("long")
+    x = x.select("issue_id", "rule_id", "level", "trigger_type", check.alias("check_no"))
+    x = x.filter(F.col("check_no") * period <= epoch_micros(ntz_lit(until)))
+    w = Window.partitionBy("issue_id").orderBy("check_no").rangeBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_before", F.coalesce(F.max("level").over(w), F.lit(0)))
+    return x.select("issue_id", "rule_id", "level", "trigger_type", "check_no", (F.col("level") > F.col("_before")).alias("fired"))

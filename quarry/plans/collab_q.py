@@ -244,3 +244,22 @@ def q_f5(spark, sf):
     return finalize(unread.groupBy("recipient_id").agg(
         F.count(F.lit(1)).alias("unread"), F.count(F.when(F.col("priority").isin("urgent", "high"), 1)).alias("unread_high"),
         F.max("created_at").alias("latest")))
+
+
+@query("t7_escalation_timeline", "WITH " + ISSUES_SQL + f""",
+rules AS ({_RULES}),
+x AS (
+  SELECT i.issue_id, r.rule_id, r.level, r.trigger_type,
+    CAST(ceil((epoch_us(i.created_at) + CAST(CASE WHEN r.trigger_type = 'time_based' THEN r.trigger_hours ELSE 0 END AS BIGINT)
+      * 3600000000) / 86400000000.0) AS BIGINT) AS check_no
+  FROM issues i JOIN rules r ON (len(r.priorities) = 0 OR list_contains(r.priorities, lower(i.priority)))
+   AND (len(r.categories) = 0 OR list_contains(r.categories, lower(i.category)))
+   AND lower(i.status) IN ('open', 'in_progress', 'reopened')),
+y AS (SELECT *, coalesce(max(level) OVER (PARTITION BY issue_id ORDER BY check_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  AS before FROM x WHERE check_no * 86400000000 <= epoch_us({_NOW}))
+SELECT check_no, CAST(level AS BIGINT) AS level, count(*) FILTER (WHERE level > before) AS fired, count(*) AS eligible
+FROM y GROUP BY ALL""")
+def q_t7(spark, sf):
+    t = collab.escalation_timeline(testmap.issues(spark, sf), AS_OF)
+    return finalize(t.groupBy("check_no", "level").agg(F.count(F.when(F.col("fired"), 1)).alias("fired"),
+                                                        F.count(F.lit(1)).alias("eligible")))

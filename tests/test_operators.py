@@ -194,3 +194,38 @@ def test_chunking_invariants():
     assert chunks and all(len(c) >= 150 for c in chunks)
     assert all(len(c) <= 500 + 200 for c in chunks)
     assert chunk_one("tiny") == ["tiny"] and chunk_one("   ") == []
+
+
+def test_escalation_timeline_matches_simulation(spark):
+    from quarry import config
+    from quarry.operators import collab
+    random.seed(11)
+    base = dt.datetime(2001, 1, 1)
+    rows = [(i, random.choice(["critical", "high", "medium", "low"]), random.choice(["sae_dm_pending", "open_queries"]),
+             random.choice(["open", "in_progress", "resolved"]), base + dt.timedelta(hours=random.randint(0, 2000)))
+            for i in range(150)]
+    df = spark.createDataFrame(rows, "issue_id long, priority string, category string, status string, created_at timestamp_ntz")
+    until = dt.datetime(2001, 4, 1)
+    got = {(r.issue_id, r.rule_id): r.fired for r in collab.escalation_timeline(df, until).collect()}
+    exp = {}
+    epoch = dt.datetime(1970, 1, 1)
+    for iid, pr, cat, st, created in rows:
+        if st not in config.ESCALATION_DEFAULT_STATUSES:
+            continue
+        cand = []
+        for rid, lvl, trig, hrs, prios, cats in config.ESCALATION_RULES:
+            if prios and pr not in prios or cats and cat not in cats:
+                continue
+            el = created + dt.timedelta(hours=hrs if trig == "time_based" else 0)
+            us = int((el - epoch).total_seconds() * 1_000_000)
+            check = -(-us // 86_400_000_000)
+            if check * 86_400_000_000 <= int((until - epoch).total_seconds() * 1_000_000):
+                cand.append((check, rid, lvl))
+        highest = 0
+        for check in sorted({c for c, _, _ in cand}):
+            now = [(rid, lvl) for c, rid, lvl in cand if c == check]
+            fired = [(rid, lvl) for rid, lvl in now if lvl > highest]
+            for rid, lvl in now:
+                exp[(iid, rid)] = (rid, lvl) in fired
+            highest = max([highest] + [lvl for _, lvl in fired])
+    assert got == exp
