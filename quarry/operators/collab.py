@@ -146,3 +146,23 @@ def escalation_timeline(issues: DataFrame, until: dt.datetime, check_hours: int
     w = Window.partitionBy("issue_id").orderBy("check_no").rangeBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_before", F.coalesce(F.max("level").over(w), F.lit(0)))
     return x.select("issue_id", "rule_id", "level", "trigger_type", "check_no", (F.col("level") > F.col("_before")).alias("fired"))
+
+
+def approval_status(fired: DataFrame, log: DataFrame, until: dt.datetime, check_hours: int = 24) -> DataFrame:
+    """Every fired escalation opens an approval at its check time that
+    expires after a level-dependent number of hours; it is approved by the
+    issue's first status change after the request (the issue's own short
+    history is joined, never a group of unbounded size), expired when the
+    expiry passed first, pending otherwise."""
+    exp = F.create_map(*[x for k, v in config.APPROVAL_EXPIRY_HOURS_BY_LEVEL.items() for x in (F.lit(k), F.lit(v))])
+    period = check_hours * 3_600_000_000
+    a = fired.filter("fired").select("issue_id", "rule_id", "level", (F.col("check_no") * period).alias("req_us"))
+    a = a.withColumn("exp_us", F.col("req_us") + exp[F.col("level")].cast("long") * 3_600_000_000)
+    changes = log.select("issue_id", epoch_micros(F.col("ts")).alias("ch_us"))
+    first = a.join(changes, "issue_id", "left").filter(F.col("ch_us").isNull() | (F.col("ch_us") > F.col("req_us"))) \
+        .groupBy("issue_id", "rule_id", "level", "req_us", "exp_us").agg(F.min("ch_us").alias("first_change_us"))
+    a = a.join(first.select("issue_id", "rule_id", "first_change_us"), ["issue_id", "rule_id"], "left")
+    now = epoch_micros(ntz_lit(until))
+    status = F.when(F.col("first_change_us").isNotNull() & (F.col("first_change_us") <= F.col("exp_us")), "approved") \
+        .when(now > F.col("exp_us"), "expired").otherwise("pending")
+    return a.select("issue_id", "rule_id", "level", "req_us", "exp_us", status.alias("approval_status"))

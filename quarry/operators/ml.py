@@ -310,3 +310,23 @@ def baseline_ranker(site: DataFrame, weights=None) -> DataFrame:
     x = x.select(*site.columns, score.alias("baseline_score"))
     return histogram_rank(x, "baseline_score", ascending=False, prefix="_r").withColumnRenamed("_r_rank_min", "risk_rank") \
         .drop("_r_rank_avg", "_r_pct")
+
+
+def risk_target(df: DataFrame) -> DataFrame:
+    """M5: outcome-based risk score (weighted indicator terms) cut at its
+    p50 / p80 / p95 into Low / Medium / High / Critical (right-closed bins)."""
+    from quarry import config
+    c = F.col
+    calc = {"sae_dm_pending_calc": F.greatest(c("sae_dm_sae_dm_total") - c("sae_dm_sae_dm_completed"), F.lit(0)),
+            "sae_safety_pending_calc": F.greatest(c("sae_safety_sae_safety_total") - c("sae_safety_sae_safety_completed"), F.lit(0)),
+            "meddra_uncoded_calc": F.greatest(c("meddra_coding_meddra_total") - c("meddra_coding_meddra_coded"), F.lit(0))}
+    score = F.lit(0.0)
+    for col, thr, pts in config.RISK_TARGET_TERMS:
+        v = calc.get(col, F.coalesce(c(col), F.lit(0)))
+        score = score + F.when(v > thr, F.lit(pts)).otherwise(F.lit(0.0))
+    x = df.withColumn("risk_score", score)
+    q = x.agg(F.percentile("risk_score", [0.5, 0.8, 0.95]).alias("_q"))
+    x = x.crossJoin(F.broadcast(q))
+    s = c("risk_score")
+    lvl = F.when(s <= c("_q")[0], "Low").when(s <= c("_q")[1], "Medium").when(s <= c("_q")[2], "High").otherwise("Critical")
+    return x.withColumn("risk_target", lvl).drop("_q")

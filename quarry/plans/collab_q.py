@@ -263,3 +263,30 @@ def q_t7(spark, sf):
     t = collab.escalation_timeline(testmap.issues(spark, sf), AS_OF)
     return finalize(t.groupBy("check_no", "level").agg(F.count(F.when(F.col("fired"), 1)).alias("fired"),
                                                         F.count(F.lit(1)).alias("eligible")))
+
+
+_EXP = "CASE level " + " ".join(f"WHEN {k} THEN {v}" for k, v in config.APPROVAL_EXPIRY_HOURS_BY_LEVEL.items()) + " END"
+
+
+@query("t8_approval_expiry", "WITH " + ISSUES_SQL + "," + LOG_SQL + f""",
+rules AS ({_RULES}),
+x AS (
+  SELECT i.issue_id, r.rule_id, r.level,
+    CAST(ceil((epoch_us(i.created_at) + CAST(CASE WHEN r.trigger_type = 'time_based' THEN r.trigger_hours ELSE 0 END AS BIGINT)
+      * 3600000000) / 86400000000.0) AS BIGINT) AS check_no
+  FROM issues i JOIN rules r ON (len(r.priorities) = 0 OR list_contains(r.priorities, lower(i.priority)))
+   AND (len(r.categories) = 0 OR list_contains(r.categories, lower(i.category)))
+   AND lower(i.status) IN ('open', 'in_progress', 'reopened')),
+y AS (SELECT *, coalesce(max(level) OVER (PARTITION BY issue_id ORDER BY check_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  AS before FROM x WHERE check_no * 86400000000 <= epoch_us({_NOW})),
+a AS (SELECT issue_id, rule_id, level, check_no * 86400000000 AS req_us, check_no * 86400000000 + ({_EXP}) * 3600000000 AS exp_us
+  FROM y WHERE level > before),
+f AS (SELECT a.issue_id, a.rule_id, min(epoch_us(s.ts)) AS first_change_us FROM a LEFT JOIN slog s
+  ON s.issue_id = a.issue_id AND epoch_us(s.ts) > a.req_us GROUP BY a.issue_id, a.rule_id)
+SELECT a.issue_id, a.rule_id, CAST(a.level AS BIGINT) AS level, a.req_us, a.exp_us,
+  CASE WHEN f.first_change_us IS NOT NULL AND f.first_change_us <= a.exp_us THEN 'approved'
+       WHEN epoch_us({_NOW}) > a.exp_us THEN 'expired' ELSE 'pending' END AS approval_status
+FROM a JOIN f USING (issue_id, rule_id)""")
+def q_t8(spark, sf):
+    fired = collab.escalation_timeline(testmap.issues(spark, sf), AS_OF)
+    return finalize(collab.approval_status(fired, testmap.status_log(spark, sf), AS_OF))

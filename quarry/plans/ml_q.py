@@ -176,3 +176,24 @@ def q_m8(spark, sf):
 @query("m22_anomaly_scores")
 def q_m22(spark, sf):
     return finalize(ML.pca_residual_scores(rec(spark, sf), ["patient_key"], FEATURES))
+
+
+_RT = " + ".join(
+    f"CASE WHEN {({'sae_dm_pending_calc': 'greatest(sae_dm_sae_dm_total - sae_dm_sae_dm_completed, 0)', 'sae_safety_pending_calc': 'greatest(sae_safety_sae_safety_total - sae_safety_sae_safety_completed, 0)', 'meddra_uncoded_calc': 'greatest(meddra_coding_meddra_total - meddra_coding_meddra_coded, 0)'}).get(c, f'coalesce({c}, 0)')} > {t} THEN {p!r} ELSE 0.0 END"
+    for c, t, p in __import__('quarry.config', fromlist=['x']).RISK_TARGET_TERMS)
+
+
+@query("m5_risk_target", S.with_record() + f"""
+, s AS (SELECT patient_key, 0.0 + {_RT} AS risk_score FROM record),
+q AS (SELECT quantile_cont(risk_score, 0.5) AS p50, quantile_cont(risk_score, 0.8) AS p80, quantile_cont(risk_score, 0.95) AS p95 FROM s)
+SELECT patient_key, round(risk_score, 6) AS risk_score, CASE WHEN risk_score <= p50 THEN 'Low' WHEN risk_score <= p80 THEN 'Medium'
+  WHEN risk_score <= p95 THEN 'High' ELSE 'Critical' END AS risk_target FROM s, q""")
+def q_m5(spark, sf):
+    return finalize(ML.risk_target(rec(spark, sf)).select("patient_key", "risk_score", "risk_target"))
+
+
+@query("o13_anomaly_list")
+def q_o13(spark, sf):
+    a = ML.pca_residual_scores(rec(spark, sf), ["patient_key"], FEATURES)
+    x = a.filter(F.col("severity").isin("extreme", "high"))
+    return finalize(x.orderBy(F.col("anomaly_score").desc(), "patient_key").limit(25))
