@@ -67,3 +67,39 @@ def schedule(spark: SparkSession, durations: DataFrame, max_rounds: int = 64) ->
     return out.select("node", F.col("dur").alias("duration"), F.col("es").alias("earliest_start"),
                       F.col("ef").alias("earliest_finish"), F.col("ls").alias("latest_start"), F.col("lf").alias("latest_finish"),
                       (F.col("ls") - F.col("es")).alias("slack"), ((F.col("ls") - F.col("es")) == 0).alias("critical"))
+
+
+def node_impact(counts: DataFrame) -> DataFrame:
+    """D35 per (study, issue type) with `count` (patients with the issue;
+    db_lock = ready patients): downstream closure on the explorer DAG (J18),
+    patients unblocked = own count + floor(0.3 x count) of each reachable
+    node, DQI gain, effort (6 min per issue), days saved (2 per chain node +
+    count / 500), ROI and priority."""
+    from quarry.functions.exprs import round_half_even
+    from quarry.operators import graph
+    spark = counts.sparkSession
+    edges = spark.createDataFrame([(s, d) for s, ds in config.EXPLORER_DEPENDENCIES.items() for d in ds],
+                                  "src string, dst string")
+    sources = spark.createDataFrame([(s,) for s in config.EXPLORER_DEPENDENCIES], "node string")
+    reach = graph.reachable(edges, sources)
+    cnt = counts.select("study_id", F.col("issue_type").alias("node"), F.col("count"))
+    # nodes without a count in a study add 0, so an inner join on the node is enough
+    down = reach.join(cnt, "node").groupBy("study_id", "source").agg(
+        F.sum(F.floor(F.col("count") * 0.3)).cast("long").alias("downstream"))
+    chain = reach.groupBy("source").agg(F.count(F.lit(1)).alias("chain_length"))
+    w = F.create_map(*[x for k, v in config.EXPLORER_WEIGHTS.items() for x in (F.lit(k), F.lit(float(v)))])
+    src = cnt.filter(F.col("node") != "db_lock").withColumnRenamed("node", "source")
+    x = src.join(down, ["study_id", "source"], "left").join(F.broadcast(chain), "source", "left") \
+        .fillna(0, ["chain_length", "downstream"])
+    s = F.col("count").cast("double")
+    unblocked = F.col("count") + F.col("downstream")
+    dqi = s / 1000 * (F.coalesce(w[F.col("source")], F.lit(50.0)) / 100) * 5
+    effort = s * 0.1
+    days = F.col("chain_length") * 2 + s / 500
+    roi = (unblocked * 10 + dqi * 100) / F.greatest(effort, F.lit(1.0))
+    prio = F.when((roi >= 50) | F.col("source").contains("sae"), "Critical").when(roi >= 30, "High") \
+        .when(roi >= 15, "Medium").otherwise("Low")
+    return x.select("study_id", F.col("source").alias("issue_type"), "count", "chain_length", unblocked.alias("patients_unblocked"),
+                    round_half_even(dqi, 2).alias("dqi_improvement"), round_half_even(days, 1).alias("days_saved"),
+                    round_half_even(effort, 1).alias("effort_hours"), round_half_even(roi, 1).alias("roi_score"),
+                    prio.alias("priority"))

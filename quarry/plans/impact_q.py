@@ -85,3 +85,43 @@ SELECT node, round(d, 6) AS duration, round(es, 6) AS earliest_start, round(ef,
 FROM x JOIN lfr USING (node)""")
 def q_g6(spark, sf):
     return finalize(IM.schedule(spark, _durations(spark, sf)))
+
+
+from quarry.plans.scores_q import ENH, enhanced_record  # noqa: E402
+
+
+def _study_counts(spark, sf):
+    i = issue_record(spark, sf)
+    one = i.groupBy("study_id").agg(*[F.sum(f"issue_{t}").alias(t) for t in IS.TYPES])
+    rows = one.select("study_id", F.explode(F.array(*[F.struct(F.lit(t).alias("issue_type"), F.col(t).cast("long").alias("count"))
+                                                      for t in IS.TYPES])).alias("r")).select("study_id", "r.*")
+    ready = enhanced_record(spark, sf).groupBy("study_id").agg(F.count(F.when(F.col("dblock_tier1_ready"), 1)).alias("count")) \
+        .select("study_id", F.lit("db_lock").alias("issue_type"), "count")
+    return rows.unionByName(ready)
+
+
+_XE = ", ".join(f"('{s}', '{d}')" for s, ds in config.EXPLORER_DEPENDENCIES.items() for d in ds)
+_XW = "CASE source " + " ".join(f"WHEN '{k}' THEN {float(v)!r}" for k, v in config.EXPLORER_WEIGHTS.items()) + " ELSE 50.0 END"
+_CNT = " UNION ALL ".join(f"SELECT study_id, '{t}' AS node, CAST(sum(issue_{t}) AS BIGINT) AS count FROM iss GROUP BY study_id"
+                          for t in IS.TYPES)
+
+
+@query("d35_node_impact", ENH + "," + ISSUES + f""",
+e AS (SELECT * FROM (VALUES {_XE}) t(src, dst)),
+r AS (WITH RECURSIVE r(source, node) AS (SELECT src, dst FROM e UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node)
+  SELECT DISTINCT source, node FROM r),
+c AS ({_CNT} UNION ALL SELECT study_id, 'db_lock', count(*) FILTER (WHERE dblock_tier1_ready) FROM elock GROUP BY study_id),
+d AS (SELECT s.study_id, r.source, count(*) AS chain_length, CAST(sum(floor(coalesce(c.count, 0) * 0.3)) AS BIGINT) AS downstream
+  FROM r CROSS JOIN (SELECT DISTINCT study_id FROM c) s LEFT JOIN c ON c.study_id = s.study_id AND c.node = r.node GROUP BY ALL),
+x AS (SELECT c.study_id, c.node AS source, c.count, coalesce(d.chain_length, 0) AS chain_length, coalesce(d.downstream, 0) AS downstream
+  FROM c LEFT JOIN d ON d.study_id = c.study_id AND d.source = c.node WHERE c.node <> 'db_lock'),
+y AS (SELECT *, count + downstream AS pu, CAST(count AS DOUBLE) / 1000 * ({_XW} / 100) * 5 AS dqi, CAST(count AS DOUBLE) * 0.1 AS effort,
+  chain_length * 2 + CAST(count AS DOUBLE) / 500 AS days FROM x),
+z AS (SELECT *, (pu * 10 + dqi * 100) / greatest(effort, 1.0) AS roi FROM y)
+SELECT study_id, source AS issue_type, count, chain_length, pu AS patients_unblocked, round(round_even(dqi, 2), 6) AS dqi_improvement,
+  round(round_even(days, 1), 6) AS days_saved, round(round_even(effort, 1), 6) AS effort_hours, round(round_even(roi, 1), 6) AS roi_score,
+  CASE WHEN roi >= 50 OR contains(source, 'sae') THEN 'Critical' WHEN roi >= 30 THEN 'High' WHEN roi >= 15 THEN 'Medium' ELSE 'Low' END
+    AS priority
+FROM z""")
+def q_d35(spark, sf):
+    return finalize(IM.node_impact(_study_counts(spark, sf)))
