@@ -63,8 +63,20 @@ def dedup_kept(alerts: DataFrame, key: str = "dedup_key", ts: str = "created_at"
     nxt = inb.join(allb.select("k", "b", "next_f"), ["k", "b"], "left") \
         .select("k", F.col("pid").alias("id"), F.coalesce(F.col("nx"), F.col("next_f"))["id"].alias("nxt"))
     jump = nxt.select("id", F.col("nxt").alias("j")).checkpoint(eager=True)
-    heads = a.groupBy("k").agg(F.min(F.struct("t", "id"))["id"].alias("id"))
-    marked = heads.select("id").checkpoint(eager=True)
+    # Seeds: every alert more than the window after the previous alert of its
+    # key is kept for certain (no kept alert can be within the window), so
+    # chains only need doubling between such gaps.  The previous alert is
+    # found inside the (key, bucket) window or, for a bucket's first alert,
+    # as the last alert of the nearest earlier non-empty bucket (a per-key
+    # window over distinct buckets only).
+    w_in = Window.partitionBy("k", "b").orderBy("t", "id")
+    lasts = a.groupBy("k", "b").agg(F.max(F.struct("t", "id")).alias("l"))
+    lasts = lasts.withColumn("prev_l", F.last("l", ignorenulls=True).over(
+        Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    g = a.withColumn("prev_t", F.lag("t").over(w_in)).join(lasts.select("k", "b", "prev_l"), ["k", "b"], "left")
+    prev = F.coalesce(F.col("prev_t"), F.col("prev_l")["t"])
+    heads = g.filter(prev.isNull() | (F.col("t") - prev > w_us)).select("id")
+    marked = heads.checkpoint(eager=True)
     for _ in range(max_rounds):
         # new = jump_r(marked), not yet marked; stop when the chain is covered
         new = marked.join(jump, "id").select(F.col("j").alias("id")).filter(F.col("id").isNotNull()).distinct()
