@@ -172,3 +172,19 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     x = x.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replica").cast("string"))))
     x = ordered_row_number(x, [label], ["_h"], "_rn")
     return x.filter(F.col("_rn") <= F.col("_t")).drop("_n", "_t", "_h", "_rn")
+
+
+def bottlenecks(issues: DataFrame, top: int = 10) -> DataFrame:
+    """Patients per issue type (count > 0), blocking score = floor(patients
+    x impact / 100), downstream blocked = floor(patients x multiplier); only
+    types with patients; top n by blocking score (ties: declared order)."""
+    one = issues.agg(*[F.count(F.when(F.col(f"count_{t}") > 0, 1)).alias(t) for t, _, _ in config.BOTTLENECKS])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.lit(t).alias("issue_type"), F.lit(n).alias("issue_name"),
+                                                   F.lit(imp).alias("impact_score"), F.col(t).alias("patient_count"))
+                                          for i, (t, n, imp) in enumerate(config.BOTTLENECKS)])).alias("r")).select("r.*")
+    mult = F.create_map(*[x for k, v in config.DOWNSTREAM_MULTIPLIERS.items() for x in (F.lit(k), F.lit(v))])
+    pc = F.col("patient_count")
+    x = rows.filter(pc > 0).select("o", "issue_type", "issue_name", "impact_score", "patient_count",
+                                   F.floor(pc * F.col("impact_score") / 100).cast("long").alias("blocking_score"),
+                                   F.floor(pc * F.coalesce(mult[F.col("issue_type")], F.lit(1.0))).cast("long").alias("downstream_blocked"))
+    return x.orderBy(F.col("blocking_score").desc(), "o").limit(top).drop("o")

@@ -229,3 +229,19 @@ SELECT patient_key, risk_level, CAST(replica AS BIGINT) AS replica FROM k, t WHE
 def q_x8(spark, sf):
     r = rec(spark, sf).select("patient_key", "risk_level")
     return finalize(RP.oversample(r, "risk_level", "patient_key").select("patient_key", "risk_level", "replica"))
+
+
+_BN = " UNION ALL ".join(
+    f"SELECT {i} AS o, '{t}' AS issue_type, '{n}' AS issue_name, {imp} AS impact_score, count(*) FILTER (WHERE count_{t} > 0) AS patient_count FROM iss"
+    for i, (t, n, imp) in enumerate(config.BOTTLENECKS))
+_MUL = "CASE issue_type " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in config.DOWNSTREAM_MULTIPLIERS.items()) + " ELSE 1.0 END"
+
+
+@query("a54_bottlenecks", S.with_record(ISSUES) + f""",
+b AS ({_BN})
+SELECT issue_type, issue_name, CAST(impact_score AS BIGINT) AS impact_score, patient_count,
+  CAST(floor(patient_count * impact_score / 100) AS BIGINT) AS blocking_score,
+  CAST(floor(patient_count * {_MUL}) AS BIGINT) AS downstream_blocked
+FROM b WHERE patient_count > 0 ORDER BY floor(patient_count * impact_score / 100) DESC, o LIMIT 10""")
+def q_a54(spark, sf):
+    return finalize(RP.bottlenecks(issue_record(spark, sf)))
