@@ -330,3 +330,29 @@ def risk_target(df: DataFrame) -> DataFrame:
     s = c("risk_score")
     lvl = F.when(s <= c("_q")[0], "Low").when(s <= c("_q")[1], "Medium").when(s <= c("_q")[2], "High").otherwise("Critical")
     return x.withColumn("risk_target", lvl).drop("_q")
+
+
+def train_issue_classifiers(df: DataFrame, features: Sequence[str], labels: Sequence[str], min_prevalence: float = 0.001):
+    """M9: one binary classifier per issue label (MLlib logistic regression
+    with balanced class weights); labels below the prevalence floor are
+    skipped.  Returns one row per label: prevalence, trained flag, AUC on the
+    training frame."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    spark = df.sparkSession
+    x = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep").transform(df)
+    prev = df.agg(*[F.avg(F.col(l).cast("double")).alias(l) for l in labels]).first()
+    rows = []
+    for l in labels:
+        p = float(prev[l] or 0.0)
+        if p < min_prevalence or p >= 1.0:
+            rows.append((l, p, False, None))
+            continue
+        w = x.withColumn("_y", F.col(l).cast("double")) \
+            .withColumn("_w", F.when(F.col("_y") == 1, 0.5 / p).otherwise(0.5 / (1 - p)))
+        m = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="_w", maxIter=30).fit(w)
+        auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="_y").evaluate(m.transform(w))
+        rows.append((l, p, True, float(auc)))
+    return spark.createDataFrame(rows, "label string, prevalence double, trained boolean, auc double")

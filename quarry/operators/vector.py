@@ -83,3 +83,29 @@ def merged_top(hits: DataFrame, n: int, id_col: str = "vec_id") -> DataFrame:
 
 def block_dtype(block: pd.DataFrame) -> str:
     return "long" if np.issubdtype(block["query_id"].dtype, np.integer) else "string"
+
+
+def embed_text(corpus: DataFrame, others: list[DataFrame], text: str = "text", dim: int = 256):
+    """V5: text -> L2-normalised hashed TF-IDF vector (MLlib HashingTF + IDF
+    fitted on the corpus), as array<double> next to the ids.  Returns the
+    embedded corpus and the other frames embedded with the same model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    pipe = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+", minTokenLength=2),
+                            HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim),
+                            IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_n")])
+    model = pipe.fit(corpus)
+
+    def emb(df):
+        return model.transform(df).withColumn("embedding", vector_to_array("_n")).drop("_w", "_tf", "_idf", "_n")
+
+    return emb(corpus), [emb(o) for o in others]
+
+
+def hybrid_search(corpus: DataFrame, queries: DataFrame, keyword: str, k: int = config.TOP_K, id_col: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """V8: keyword filter (case-insensitive contains) on the corpus, then
+    exact cosine top-k on the survivors."""
+    return cosine_topk(corpus, queries, k=k, id_col=id_col, where=F.lower(F.col(text)).contains(keyword.lower()))

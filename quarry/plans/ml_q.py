@@ -197,3 +197,12 @@ def q_o13(spark, sf):
     a = ML.pca_residual_scores(rec(spark, sf), ["patient_key"], FEATURES)
     x = a.filter(F.col("severity").isin("extreme", "high"))
     return finalize(x.orderBy(F.col("anomaly_score").desc(), "patient_key").limit(25))
+
+
+@query("m9_issue_classifiers")
+def q_m9(spark, sf):
+    from quarry.operators.issues import TYPES
+    from quarry.plans.issues_q import issue_record
+    i = issue_record(spark, sf)
+    feats = ["visit_visits_overdue_avg_days", "pages_pages_missing_avg_days", "completeness_score", "coding_completion_rate"]
+    return finalize(ML.train_issue_classifiers(i, feats, [f"issue_{t}" for t in TYPES]))

@@ -118,3 +118,13 @@ def q_v9(spark, sf):
     e = load(spark, sf, "embeddings")
     r = VX.cosine_topk(e, VX.label_centroids(e), where=F.col("label") % 2 == 0, min_score=0.0)
     return finalize(r.select("query_id", "vec_id", "score", "rank"))
+
+
+@query("v5_v8_hybrid_search")
+def q_v8(spark, sf):
+    docs = load(spark, sf, "documents", ["doc_id", "text"])
+    bench = load(spark, sf, "benchmark", ["item_id", "text"])
+    corpus, (qs,) = VX.embed_text(docs, [bench])
+    queries = qs.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    hits = VX.hybrid_search(corpus, queries, "the")
+    return finalize(hits.select("query_id", "doc_id", "score", "rank"))
