@@ -188,3 +188,22 @@ def bottlenecks(issues: DataFrame, top: int = 10) -> DataFrame:
                                    F.floor(pc * F.col("impact_score") / 100).cast("long").alias("blocking_score"),
                                    F.floor(pc * F.coalesce(mult[F.col("issue_type")], F.lit(1.0))).cast("long").alias("downstream_blocked"))
     return x.orderBy(F.col("blocking_score").desc(), "o").limit(top).drop("o")
+
+
+def site_progress(scores: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per site patients, tier-2 clean, lock-ready, open issues (sum of
+    the issue counts), mean DQI, completion rate and a trend label (mean DQI
+    >= 90 improving, < 75 declining)."""
+    k = ["study_id", "site_id"]
+    a = scores.groupBy(*k).agg(F.count(F.lit(1)).alias("total_patients"),
+                               F.count(F.when(F.col("tier2_clean"), 1)).alias("clean_patients"),
+                               F.count(F.when(F.col("dblock_tier1_ready"), 1)).alias("db_lock_ready"),
+                               F.avg("dqi_score").alias("dqi_score"))
+    total = None
+    for t in TYPES:
+        term = F.coalesce(F.col(f"count_{t}"), F.lit(0.0))
+        total = term if total is None else total + term
+    b = issues.groupBy(*k).agg(F.sum(total).alias("open_issues"))
+    x = a.join(b, k, "left")
+    trend = F.when(F.col("dqi_score") >= 90, "improving").when(F.col("dqi_score") < 75, "declining").otherwise("stable")
+    return x.select("*", (F.col("clean_patients") / F.col("total_patients") * 100).alias("completion_rate"), trend.alias("trend"))

@@ -245,3 +245,18 @@ SELECT issue_type, issue_name, CAST(impact_score AS BIGINT) AS impact_score, pat
 FROM b WHERE patient_count > 0 ORDER BY floor(patient_count * impact_score / 100) DESC, o LIMIT 10""")
 def q_a54(spark, sf):
     return finalize(RP.bottlenecks(issue_record(spark, sf)))
+
+
+_OPEN = " + ".join(f"coalesce(count_{t}, 0.0)" for t in TYPES)
+
+
+@query("a75_site_progress", ENH + "," + ISSUES + f""",
+a AS (SELECT study_id, site_id, count(*) AS total_patients, count(*) FILTER (WHERE tier2_clean) AS clean_patients,
+  count(*) FILTER (WHERE dblock_tier1_ready) AS db_lock_ready, avg(dqi_score) AS dqi_score FROM elock GROUP BY ALL),
+b AS (SELECT study_id, site_id, sum({_OPEN}) AS open_issues FROM iss GROUP BY ALL)
+SELECT study_id, site_id, total_patients, clean_patients, db_lock_ready, round(dqi_score, 6) AS dqi_score,
+  round(open_issues, 6) AS open_issues, round(clean_patients / total_patients * 100, 6) AS completion_rate,
+  CASE WHEN dqi_score >= 90 THEN 'improving' WHEN dqi_score < 75 THEN 'declining' ELSE 'stable' END AS trend
+FROM a LEFT JOIN b USING (study_id, site_id)""")
+def q_a75(spark, sf):
+    return finalize(RP.site_progress(enhanced_record(spark, sf), issue_record(spark, sf)))
