@@ -356,3 +356,17 @@ def train_issue_classifiers(df: DataFrame, features: Sequence[str], labels: Sequ
         auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="_y").evaluate(m.transform(w))
         rows.append((l, p, True, float(auc)))
     return spark.createDataFrame(rows, "label string, prevalence double, trained boolean, auc double")
+
+
+def red_flags(metrics: DataFrame) -> DataFrame:
+    """Leakage (NDCG@k above 0.95) and not-learning (NDCG@10 below
+    0.55) flags over a one-row ranking-metric frame."""
+    from quarry import config
+    c = F.col
+    rules = [F.when(c(f"ndcg_at_{k}") > config.MAX_ACCEPTABLE_NDCG, F.struct(
+        F.lit("LEAKAGE").alias("type"), F.lit("CRITICAL").alias("severity"), F.lit(f"ndcg@{k}").alias("metric"),
+        c(f"ndcg_at_{k}").alias("value"), F.lit(config.MAX_ACCEPTABLE_NDCG).alias("threshold"))) for k in (5, 10, 20)]
+    rules.append(F.when(c("ndcg_at_10") < config.MIN_ACCEPTABLE_NDCG, F.struct(
+        F.lit("NOT_LEARNING").alias("type"), F.lit("WARNING").alias("severity"), F.lit("ndcg@10").alias("metric"),
+        c("ndcg_at_10").alias("value"), F.lit(config.MIN_ACCEPTABLE_NDCG).alias("threshold"))))
+    return metrics.select(F.explode(F.array_compact(F.array(*rules))).alias("f")).select("f.*")

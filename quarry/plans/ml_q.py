@@ -109,13 +109,16 @@ tt{k} AS (SELECT dqi_mean / log2(row_number() OVER (ORDER BY dqi_mean DESC, item
   FROM (SELECT * FROM it ORDER BY dqi_mean DESC, item ASC LIMIT {k}))"""
 
 
-@query("m14_ranking_metrics", ENH + SITE_BASE + RANKED + f"""
+M14_SQL = ENH + SITE_BASE + RANKED + f"""
 , it AS (SELECT study_id || '|' || site_id AS item, composite_score, dqi_mean FROM ranked2),
 rk AS (SELECT (rank() OVER (ORDER BY composite_score) + (count(*) OVER (PARTITION BY composite_score) - 1) / 2.0) AS rp,
   (rank() OVER (ORDER BY dqi_mean) + (count(*) OVER (PARTITION BY dqi_mean) - 1) / 2.0) AS rt FROM it),
 {','.join(_ndcg(k) for k in (5, 10, 20))}
 SELECT round((SELECT corr(rp, rt) FROM rk), 6) AS spearman,
-  {', '.join(f"round(CASE WHEN (SELECT sum(g) FROM tt{k}) > 0 THEN (SELECT sum(g) FROM tp{k}) / (SELECT sum(g) FROM tt{k}) ELSE 0.0 END, 6) AS ndcg_at_{k}" for k in (5, 10, 20))}""")
+  {', '.join(f"round(CASE WHEN (SELECT sum(g) FROM tt{k}) > 0 THEN (SELECT sum(g) FROM tp{k}) / (SELECT sum(g) FROM tt{k}) ELSE 0.0 END, 6) AS ndcg_at_{k}" for k in (5, 10, 20))}"""
+
+
+@query("m14_ranking_metrics", M14_SQL)
 def q_m14(spark, sf):
     s = site_ranked(spark, sf).select(F.concat_ws("|", "study_id", "site_id").alias("item"), "composite_score", "dqi_mean")
     return finalize(ML.ranking_metrics(s, "item", "composite_score", "dqi_mean"))
@@ -206,3 +209,16 @@ def q_m9(spark, sf):
     i = issue_record(spark, sf)
     feats = ["visit_visits_overdue_avg_days", "pages_pages_missing_avg_days", "completeness_score", "coding_completion_rate"]
     return finalize(ML.train_issue_classifiers(i, feats, [f"issue_{t}" for t in TYPES]))
+
+
+from quarry import config as _cfg  # noqa: E402
+
+
+@query("m15_red_flags", M14_SQL.replace("\nSELECT round((SELECT corr(rp, rt) FROM rk), 6) AS spearman,", ", mt AS (SELECT round((SELECT corr(rp, rt) FROM rk), 6) AS spearman,", 1) + f""")
+SELECT 'LEAKAGE' AS type, 'CRITICAL' AS severity, 'ndcg@5' AS metric, ndcg_at_5 AS value, {_cfg.MAX_ACCEPTABLE_NDCG!r} AS threshold FROM mt WHERE ndcg_at_5 > {_cfg.MAX_ACCEPTABLE_NDCG}
+UNION ALL SELECT 'LEAKAGE', 'CRITICAL', 'ndcg@10', ndcg_at_10, {_cfg.MAX_ACCEPTABLE_NDCG!r} FROM mt WHERE ndcg_at_10 > {_cfg.MAX_ACCEPTABLE_NDCG}
+UNION ALL SELECT 'LEAKAGE', 'CRITICAL', 'ndcg@20', ndcg_at_20, {_cfg.MAX_ACCEPTABLE_NDCG!r} FROM mt WHERE ndcg_at_20 > {_cfg.MAX_ACCEPTABLE_NDCG}
+UNION ALL SELECT 'NOT_LEARNING', 'WARNING', 'ndcg@10', ndcg_at_10, {_cfg.MIN_ACCEPTABLE_NDCG!r} FROM mt WHERE ndcg_at_10 < {_cfg.MIN_ACCEPTABLE_NDCG}""")
+def q_m15(spark, sf):
+    s = site_ranked(spark, sf).select(F.concat_ws("|", "study_id", "site_id").alias("item"), "composite_score", "dqi_mean")
+    return finalize(ML.red_flags(ML.ranking_metrics(s, "item", "composite_score", "dqi_mean")))
