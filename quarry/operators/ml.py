@@ -370,3 +370,10 @@ def red_flags(metrics: DataFrame) -> DataFrame:
         F.lit("NOT_LEARNING").alias("type"), F.lit("WARNING").alias("severity"), F.lit("ndcg@10").alias("metric"),
         c("ndcg_at_10").alias("value"), F.lit(config.MIN_ACCEPTABLE_NDCG).alias("threshold"))))
     return metrics.select(F.explode(F.array_compact(F.array(*rules))).alias("f")).select("f.*")
+
+
+def leakage_check(features: Sequence[str], target_inputs: Sequence[str]) -> list[str]:
+    """Features that are also inputs of the target definition (a
+    plan-time check on column lists; an empty list means no leakage)."""
+    inputs = set(target_inputs)
+    return [f for f in features if f in inputs]

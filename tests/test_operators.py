@@ -229,3 +229,9 @@ def test_escalation_timeline_matches_simulation(spark):
                 exp[(iid, rid)] = (rid, lvl) in fired
             highest = max([highest] + [lvl for _, lvl in fired])
     assert got == exp
+
+
+def test_leakage_check():
+    from quarry.operators.ml import leakage_check
+    assert leakage_check(["a", "b", "c"], ["c", "d"]) == ["c"]
+    assert leakage_check(["a"], []) == []
