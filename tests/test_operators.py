@@ -235,3 +235,18 @@ def test_leakage_check():
     from quarry.operators.ml import leakage_check
     assert leakage_check(["a", "b", "c"], ["c", "d"]) == ["c"]
     assert leakage_check(["a"], []) == []
+
+
+def test_record_plan_pushes_filters_and_prunes_columns(spark):
+    """The fused lineitem scan must carry the OR of the detail predicates as
+    a pushed filter and read only the eight columns it uses."""
+    from quarry.operators import record
+    from tests.conftest import SF_SMALL
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = record.build_record(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    li = [line for line in plan.split("\n") if "lineitem" in line and "FileScan" in line]
+    assert li, plan
+    assert "PushedFilters: [Or(" in li[0]
+    schema = li[0].split("ReadSchema: struct<")[1].split(">")[0]
+    assert schema.count(":") == 8 and "l_extendedprice" not in schema
