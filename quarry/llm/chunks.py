@@ -12,10 +12,10 @@ import re
 from collections.abc import Callable
 
 #: White space as Unicode's property has it (what \s means to both libraries).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 _STOP = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe
 PIECE = re.compile(
-    f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^{SPACE}{_STOP}])"
+    f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?![^{SPACE}{_STOP}])"
     f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 

@@ -43,3 +43,10 @@ def op8_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import encode_and_decode
 
     return encode_and_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_simhash_bit_sliced")
+def op5_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
