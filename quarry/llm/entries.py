@@ -50,3 +50,26 @@ def op5_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')"
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op10_aho_decontamination", f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM (SELECT doc_id, coalesce({LOWER_SQL}, '') AS lower_ascii FROM documents)),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM (SELECT item_id, {LOWER_SQL} AS lower_ascii FROM benchmark WHERE text IS NOT NULL)),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+        FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i) WHERE len(w) > 0),
+pos AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM d, (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+hit AS (SELECT pos.doc_id, pos.i, pos.n, win.item_id FROM pos JOIN win ON pos.win = win.win AND pos.n = win.n),
+per AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(per.n_hit, 0) AS n_hit, coalesce(ids.n_items, 0) AS n_items,
+       sha256(coalesce(ids.ids, '')) AS items_sha256, per.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)""")
+def op10_aho_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontam import decontaminated
+
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
