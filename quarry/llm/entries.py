@@ -73,3 +73,10 @@ def op10_aho_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.decontam import decontaminated
 
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_secret_lexing")
+def op4_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
