@@ -80,3 +80,10 @@ def op4_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op1_attention_mil")
+def op1_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
