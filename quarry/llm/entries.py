@@ -87,3 +87,10 @@ def op1_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.orderhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
