@@ -94,3 +94,37 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.orderhash import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_vector_bin_packing")
+def op3_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.binpack import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
+@query("op9_perspective_rotation", """
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+v AS (SELECT t.conv_id, p.perspective, t.turn, t.speaker, t.text, t.speaker = p.perspective AS learnt,
+             CASE WHEN t.speaker = 'system' THEN 'system' WHEN t.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role,
+             CASE WHEN t.speaker NOT IN ('system', p.perspective) THEN t.speaker END AS name
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM v),
+g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM s),
+o AS (SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER w - length(segment) AS start FROM g
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, position, turn, role, name, segment, CAST(start AS BIGINT) AS start, CAST(start + length(segment) AS BIGINT) AS "end", learnt,
+       CAST(CASE WHEN learnt THEN start + length(head) END AS BIGINT) AS learnt_start, CAST(CASE WHEN learnt THEN start + length(segment) - 1 END AS BIGINT) AS learnt_end
+FROM o""")
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.perspectives import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_html_text_blocks")
+def op7_html_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
