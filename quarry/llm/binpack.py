@@ -7,10 +7,10 @@ bin where the dot product of its vector with the bin's residual capacity is
 highest.
 
 So that no task sees all groups, items are dealt by hash into parts of about
-`PART_ITEMS`, each part is packed into as many bins as there are shards, and
-the bins of all parts are the items of the next level, until one part is left.
-Its bins are the shards.  Every level shrinks the number of items by
-PART_ITEMS / shards, so two or three levels serve any table.
+`PART_ITEMS`, each part is packed into `FINE` bins for every shard, and the bins of all
+parts are the items of the next level, until one part is left: that one is
+packed into the shards themselves.  Every level shrinks the number of items
+64-fold, so a few levels serve any table.
 
 The law is `bytes`: shard sizes come out near equal.
 
@@ -30,6 +30,8 @@ from quarry.llm.common import written
 
 SHARDS = 16
 PART_ITEMS = 8192
+#: Bins for each shard at all levels but the last.
+FINE = 8
 #: A group over this share of a shard, in any dimension, is cut.
 PIECE_SHARE = 1 / 4
 SLOT_ROWS = 20_000
@@ -70,7 +72,7 @@ def shards_of(items: DataFrame, bins: int = SHARDS, part_items: int = PART_ITEMS
     if parts <= 1:
         return _packed(items.withColumn("part", F.lit(0).cast("bigint")), bins).select("item", F.col("bin").cast("int").alias("shard"))
     dealt = items.withColumn("part", F.pmod(F.xxhash64(F.col("item"), F.lit(parts)), F.lit(parts)))
-    packed = written(_packed(dealt, bins).withColumn("above", F.col("part") * bins + F.col("bin")), "packed")
+    packed = written(_packed(dealt, bins * FINE).withColumn("above", F.col("part") * bins * FINE + F.col("bin")), "packed")
     sums = packed.join(items, "item").groupBy("above").agg(*[F.sum(c).alias(c) for c in SIZES])
     above = shards_of(written(sums.withColumnRenamed("above", "item"), "bins"), bins, part_items)
     return packed.join(above.select(F.col("item").alias("above"), "shard"), "above").select("item", "shard")

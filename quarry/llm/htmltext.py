@@ -150,6 +150,9 @@ LABELLED = (
     (8, 0.0, 12, 0.0, 60, 0.0, 1, 0, 1), (60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 1), (1, 0.0, 9, 0.0, 3, 0.0, 1, 0, 1), (140, 0.02, 60, 0.0, 9, 0.0, 1, 0, 1),
     (3, 0.0, 80, 0.0, 70, 0.05, 1, 0, 1), (25, 0.4, 30, 0.1, 40, 0.0, 1, 0, 1), (6, 1.0, 45, 0.0, 50, 0.0, 1, 0, 1), (4, 0.0, 1, 1.0, 6, 0.0, 1, 0, 1),
     (35, 0.0, 4, 0.0, 10, 0.4, 1, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 1), (300, 0.01, 0, 1.0, 0, 1.0, 1, 0, 1), (12, 0.0, 6, 1.0, 20, 0.3, 1, 0, 1),
+    (5, 0.0, 40, 0.0, 1, 1.0, 1, 0, 1), (10, 0.0, 1, 1.0, 0, 1.0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1), (9, 0.9, 5, 1.0, 60, 0.0, 1, 0, 1),
+    (3, 1.0, 30, 0.0, 3, 1.0, 1, 0, 1), (15, 0.8, 60, 0.0, 10, 0.9, 1, 0, 1), (3, 0.0, 2, 1.0, 4, 1.0, 1, 0, 1), (5, 0.0, 4, 0.0, 3, 0.0, 1, 0, 1),
+    (8, 0.0, 3, 0.0, 2, 1.0, 1, 0, 1), (25, 0.7, 3, 1.0, 20, 0.8, 1, 0, 1), (6, 0.5, 4, 0.5, 5, 0.6, 1, 0, 1), (40, 0.6, 70, 0.0, 6, 1.0, 1, 0, 1),
     # furniture, inside an article too
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0), (20, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0), (60, 0.0, 30, 0.0, 0, 1.0, 0, 1, 0),
     (12, 0.1, 80, 0.0, 0, 1.0, 0, 1, 0), (45, 0.0, 9, 0.0, 60, 0.0, 1, 1, 0), (3, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0), (5, 1.0, 70, 0.0, 4, 1.0, 1, 1, 0),
