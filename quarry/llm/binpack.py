@@ -6,11 +6,11 @@ of such groups), the others stay whole.  Each item, largest first, goes to the
 bin where the dot product of its vector with the bin's residual capacity is
 highest.
 
-So that no task sees all groups, items are dealt by hash into parts of about
-`PART_ITEMS`, each part is packed into `FINE` bins for every shard, and the bins of all
-parts are the items of the next level, until one part is left: that one is
-packed into the shards themselves.  Every level shrinks the number of items
-64-fold, so a few levels serve any table.
+Large items, of which there can only be a bounded number, are placed first in
+one task.  The others are dealt by hash into parts of about `PART_ITEMS`, and
+each part fills what the large ones left of every shard, in proportion to its
+own share, so that parts need not know of each other and no task sees all
+groups.  A part is off by no more than its smallest items.
 
 The law is `bytes`: shard sizes come out near equal.
 
@@ -30,8 +30,8 @@ from quarry.llm.common import written
 
 SHARDS = 16
 PART_ITEMS = 8192
-#: Bins for each shard at all levels but the last.
-FINE = 8
+#: An item over this share of a shard, in any dimension, is large.
+LARGE_SHARE = 1 / 64
 #: A group over this share of a shard, in any dimension, is cut.
 PIECE_SHARE = 1 / 4
 SLOT_ROWS = 20_000
@@ -40,42 +40,44 @@ SIZES = ("bytes", "tokens", "n_rows")
 WEIGHTS = np.array([1000.0, 1.0, 1.0])
 
 
-def place(vectors: np.ndarray, bins: int) -> np.ndarray:
+def place(vectors: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """The bin of each item, most bytes first, by the highest (weighted) dot
-    product of the item with the residual capacity; shares of the total make
-    dimensions comparable, ties go to the lower bin."""
-    total = vectors.sum(axis=0)
-    share = vectors / np.where(total > 0, total, 1)
-    left = np.full((bins, share.shape[1]), 1 / bins)
-    out = np.zeros(len(share), np.int64)
-    for i in np.argsort(-share[:, 0], kind="stable"):
-        best = int(np.argmax(left @ (WEIGHTS * share[i])))
+    product of the item with the residual capacity.  Items and capacities
+    (bins x dimensions) are shares of the same totals; ties go to the lower
+    bin."""
+    left = capacity.copy()
+    out = np.zeros(len(vectors), np.int64)
+    for i in np.argsort(-vectors[:, 0], kind="stable"):
+        best = int(np.argmax(left @ (WEIGHTS * vectors[i])))
         out[i] = best
-        left[best] -= share[i]
+        left[best] -= vectors[i]
     return out
 
 
-def _packed(items: DataFrame, bins: int) -> DataFrame:
-    """(part, item, bin): the items of each part in bins."""
+def shards_of(items: DataFrame, shards: int = SHARDS, part_items: int = PART_ITEMS) -> DataFrame:
+    """(item, shard) for items (item, bytes, tokens, n_rows)."""
+    total = items.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in SIZES]).first()
+    whole = np.array([max(1, total[c] or 0) for c in SIZES], float)
+    limit = [w / shards * LARGE_SHARE for w in whole]
+    is_large = F.greatest(*[F.col(c) / w for c, w in zip(SIZES, limit)]) > 1
+    # at most 3 * shards / LARGE_SHARE of them
+    large = sorted(items.where(is_large).select("item", *SIZES).collect())
+    vectors = np.array([r[1:] for r in large], float).reshape(-1, len(SIZES)) / whole
+    capacity = np.full((shards, len(SIZES)), 1 / shards)
+    chosen = place(vectors, capacity)
+    np.subtract.at(capacity, chosen, vectors)
+    first = items.sparkSession.createDataFrame([(r["item"], int(c)) for r, c in zip(large, chosen)], "item bigint, shard int")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("item", kind="stable")
-        return pd.DataFrame({"part": part["part"], "item": part["item"], "bin": place(part[list(SIZES)].to_numpy(float), bins)})
-
-    return items.groupBy("part").applyInPandas(run, "part bigint, item bigint, bin bigint")
-
-
-def shards_of(items: DataFrame, bins: int = SHARDS, part_items: int = PART_ITEMS) -> DataFrame:
-    """(item, shard) for items (item, bytes, tokens, n_rows)."""
-    n = items.count()
-    parts = -(-n // part_items)
-    if parts <= 1:
-        return _packed(items.withColumn("part", F.lit(0).cast("bigint")), bins).select("item", F.col("bin").cast("int").alias("shard"))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64(F.col("item"), F.lit(parts)), F.lit(parts)))
-    packed = written(_packed(dealt, bins * FINE).withColumn("above", F.col("part") * bins * FINE + F.col("bin")), "packed")
-    sums = packed.join(items, "item").groupBy("above").agg(*[F.sum(c).alias(c) for c in SIZES])
-    above = shards_of(written(sums.withColumnRenamed("above", "item"), "bins"), bins, part_items)
-    return packed.join(above.select(F.col("item").alias("above"), "shard"), "above").select("item", "shard")
+        own = part[list(SIZES)].to_numpy(float)
+        sums = own.sum(axis=0)
+        free = capacity / np.maximum(capacity.sum(axis=0), 1e-12)
+        return pd.DataFrame({"item": part["item"], "shard": place(own / np.where(sums > 0, sums, 1), free)})
+
+    parts = total["n"] // part_items + 1
+    rest = items.where(~is_large).withColumn("part", F.pmod(F.xxhash64(F.col("item"), F.lit(parts)), F.lit(parts)))
+    return rest.groupBy("part").applyInPandas(run, "item bigint, shard int").unionByName(first)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
