@@ -17,8 +17,10 @@ rows repeat; an empty table gives empty files; other columns are left behind.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,11 @@ def from_planes(planes: list[bytes], n_ids: int) -> np.ndarray:
     return np.ascontiguousarray(flat).view("<u4").reshape(-1)
 
 
+_plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: The letter that a byte-level vocabulary writes for each byte: visible ones stand for themselves, the others follow from 256 on.
+BYTE_LETTERS = {b: b for b in _plain} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_plain)))}
+LETTERS = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+
 _MEMOS: dict[str, PieceMemo] = {}
 
 
@@ -73,9 +80,16 @@ def library_memo(path: str) -> PieceMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings are ordinary text here
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            got = tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
-            return [np.array(e.ids, "<u4").tobytes() for e in got]
+        model = tokenizer.model
+
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """A piece of letters is one pre-token and goes straight to the
+            library's model, which costs half; others take the whole way."""
+            out = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(BYTE_LETTERS))] if LETTERS(p) else [] for p in pieces]
+            others = [i for i, ids in enumerate(out) if not ids]
+            for i, got in zip(others, tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)):
+                out[i] = got.ids
+            return np.fromiter(chain.from_iterable(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
         _MEMOS[path] = PieceMemo(encode)
     return _MEMOS[path]
@@ -114,7 +128,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, planes: str = "by
                 for doc_id, ids in zip(column(block, "doc_id").to_pylist(), memo.ids(texts_of(block))):
                     last = {"doc_id": doc_id, "start": written + len(held) // 4}
                     starts.append(last)
-                    held += ids
+                    held += ids.astype("<u4").tobytes()
                     held += end
                     cut = len(held) // size * size
                     for k in range(0, cut, size):

@@ -124,18 +124,18 @@ class Codec:
         self._token = self._replay.token
         self._memo = PieceMemo(self._pieces)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self._pattern.findall(p) for p in pieces]
         number: dict[str, int] = {}
         for words in cut:
             for word in words:
                 number.setdefault(word, len(number))
         encoded = self._replay.encode([w.encode() for w in number])
-        packed = [np.array(ids, "<u4").tobytes() for ids in encoded]
-        return [b"".join([packed[number[w]] for w in words]) for words in cut]
+        ids = [[i for w in words for i in encoded[number[w]]] for words in cut]
+        return np.array([i for some in ids for i in some], np.uint32), np.array(list(map(len, ids)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as uint32."""
         return self._memo.ids(texts)
 
     def decode(self, ids: list[int]) -> bytes:
@@ -160,8 +160,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         coder = codec(path, pattern)
         for block in text_blocks(batch):
             n, ids_sha, text_sha = [], [], []
-            for packed in coder.encode(texts_of(block)):
-                ids = np.frombuffer(packed, "<u4").tolist()
+            for got in coder.encode(texts_of(block)):
+                ids = got.tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
