@@ -113,7 +113,7 @@ v AS (SELECT t.conv_id, p.perspective, t.turn, t.speaker, t.text, t.speaker = p.
 s AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM v),
 g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM s),
 o AS (SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER w - length(segment) AS start FROM g
-      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, position, turn, role, name, segment, CAST(start AS BIGINT) AS start, CAST(start + length(segment) AS BIGINT) AS "end", learnt,
        CAST(CASE WHEN learnt THEN start + length(head) END AS BIGINT) AS learnt_start, CAST(CASE WHEN learnt THEN start + length(segment) - 1 END AS BIGINT) AS learnt_end
 FROM o""")

@@ -12,7 +12,7 @@ gathered: offsets come from sums over blocks of turns and sums before a block.
 
 Defined results: a null text is an empty message; a null or empty role is the
 speaker `unknown`; turns are ordered by number, null turns first, ties by role
-and text (nulls first), rows equal in all of these in any order; a
+and rendered segment; a
 conversation of system messages alone has no perspective and no rows; an empty
 table gives an empty one; other columns are left behind.
 """
@@ -34,30 +34,32 @@ def _head(role: Column, name: Column) -> Column:
 def rotate(conversations: DataFrame) -> DataFrame:
     """Messages of every rendering, with offsets and the learnt spans."""
     speaker = F.when(F.trim("role") == "", None).otherwise(F.trim("role"))
-    turns = conversations.select("conv_id", "turn", F.coalesce(speaker, F.lit(UNKNOWN)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    parties = turns.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of_conv"), F.col("speaker").alias("perspective")).distinct()
-    # null conv_ids are one conversation
-    views = turns.join(parties, F.col("conv_id").eqNullSafe(F.col("of_conv"))).drop("of_conv")
+    # null conversations and turns are keys like any other, without null-safe joins that would deal the rows out again
+    turns = conversations.select("conv_id", "turn", F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("no_conv"),
+                                 F.coalesce(speaker, F.lit(UNKNOWN)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    parties = turns.where(F.col("speaker") != SYSTEM).select("conv", "no_conv", F.col("speaker").alias("perspective")).distinct()
+    views = turns.join(parties, ["conv", "no_conv"])
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(own, "assistant").otherwise("user")
     name = F.when(~own & (F.col("speaker") != SYSTEM), F.col("speaker"))
-    views = views.select("conv_id", "perspective", "turn", role.alias("role"), name.alias("name"), "speaker", "text", own.alias("learnt"))
-    head = _head(F.col("role"), F.col("name"))
-    views = views.withColumn("segment", F.concat(head, F.col("text"), F.lit(CLOSE))).withColumn("head", F.length(head))
-    views = views.withColumn("size", F.length("segment")).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    key = ["conv_id", "perspective", "block"]
-    order = ["turn", "speaker", "text"]
-    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    head = _head(role, name)
+    block = F.floor(F.col("turn") / BLOCK_TURNS)
+    views = views.select("conv_id", "conv", "no_conv", "perspective", "turn", role.alias("role"), name.alias("name"), "speaker", own.alias("learnt"),
+                         F.concat(head, F.col("text"), F.lit(CLOSE)).alias("segment"), F.length(head).alias("head"),
+                         F.col("turn").isNotNull().alias("timed"), F.coalesce(block, F.lit(0)).alias("block"))
+    views = views.withColumn("size", F.length("segment"))
+    rendering = ["conv", "no_conv", "perspective"]
+    key = [*rendering, "timed", "block"]
+    in_order = Window.partitionBy(*key).orderBy("turn", "speaker", "segment")
+    earlier = Window.unboundedPreceding, -1
+    before = Window.partitionBy(*rendering).orderBy("timed", "block").rowsBetween(*earlier)
     blocks = views.groupBy(*key).agg(F.sum("size").alias("n"), F.count("*").alias("c"))
-    blocks = blocks.select(*[F.col(c).alias(f"of_{c}") for c in key], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"),
-                           F.coalesce(F.sum("c").over(before), F.lit(0)).alias("past_rows"))
-    rows = Window.partitionBy(*key).orderBy(*order)
-    views = views.withColumn("in_block", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("row_in_block", F.row_number().over(rows))
-    views = views.join(blocks, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key])
+    blocks = blocks.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("past_rows"))
+    views = views.withColumn("in_block", F.coalesce(F.sum("size").over(in_order.rowsBetween(*earlier)), F.lit(0))).withColumn("nth", F.row_number().over(in_order))
+    views = views.join(blocks, key)
     start = F.col("past") + F.col("in_block")
     learnt = F.col("learnt")
     return views.select(
-        "conv_id", "perspective", (F.col("past_rows") + F.col("row_in_block") - 1).cast("bigint").alias("position"), "turn", "role", "name", "segment",
+        "conv_id", "perspective", (F.col("past_rows") + F.col("nth") - 1).cast("bigint").alias("position"), "turn", "role", "name", "segment",
         start.cast("bigint").alias("start"), (start + F.col("size")).cast("bigint").alias("end"), "learnt",
         F.when(learnt, start + F.col("head")).cast("bigint").alias("learnt_start"), F.when(learnt, start + F.col("size") - 1).cast("bigint").alias("learnt_end"))
