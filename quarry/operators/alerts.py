@@ -36,7 +36,7 @@ def _micros(c: Column) -> Column:
 
 
 def dedup_kept(alerts: DataFrame, key: str = "dedup_key", ts: str = "created_at", id_col: str = "alert_id",
-               window_minutes: int = config.DEDUP_WINDOW_MINUTES, max_rounds: int = 64) -> DataFrame:
+               window_minutes: int = config.DEDUP_WINDOW_MINUTES) -> DataFrame:
     """Alerts with a `kept` flag (False = deduplicated)."""
     ensure_checkpoint_dir(alerts.sparkSession)
     w_us = window_minutes * 60 * 1_000_000
@@ -77,7 +77,7 @@ def dedup_kept(alerts: DataFrame, key: str = "dedup_key", ts: str = "created_at"
     prev = F.coalesce(F.col("prev_t"), F.col("prev_l")["t"])
     heads = g.filter(prev.isNull() | (F.col("t") - prev > w_us)).select("id")
     marked = heads.checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:
         # new = jump_r(marked), not yet marked; stop when the chain is covered
         new = marked.join(jump, "id").select(F.col("j").alias("id")).filter(F.col("id").isNotNull()).distinct()
         new = new.join(marked, "id", "left_anti").checkpoint(eager=True)

@@ -111,7 +111,6 @@ def search(issues: DataFrame, *, statuses=None, priorities=None, categories=None
 def distributions(issues: DataFrame, top: int = 10) -> DataFrame:
     """Counts by status, priority and category in one pass (grouping
     sets), each list cut to its top 10 by count (the report's feature)."""
-    g = issues.groupBy(F.grouping_id().alias("g")) if False else None  # noqa: F841 - plain rollup below
     rows = issues.select(F.explode(F.array(
         F.struct(F.lit("status").alias("dimension"), F.col("status").alias("value")),
         F.struct(F.lit("priority").alias("dimension"), F.col("priority").alias("value")),

@@ -6,25 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
+from quarry.session import materialize_table
 
 
 def previous_in_order(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Global `lag(value)` without a single-partition window.
 
-    Rows are range-partitioned on the order key and sorted inside each
-    partition; the lag inside a partition is a window over the partition
-    id (one task per partition, as the data is already there), and the
-    first row of each partition takes the last value of the previous
-    non-empty partition from a table with one row per partition.
+    Rows are range-partitioned on the order key and written once with the
+    number of their range, so rows and carried values see the same ranges;
+    the lag inside a range is a window over it, and the first row of each
+    range takes the last value of the nearest filled range before it.
     """
-    n = max(df.rdd.getNumPartitions(), 1)
-    x = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*order)
-    x = x.withColumn(out, F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
+    x = materialize_table(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     last = x.groupBy("_p").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-    last = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(
-        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.join(F.broadcast(last.select("_p", "_carry")), "_p", "left")
+    # one row per written range
+    carry = last.select("_p", F.last("_last", ignorenulls=True).over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    w = Window.partitionBy("_p").orderBy(*order)
+    x = x.withColumn(out, F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w)).join(carry, "_p")
     return x.withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col(out))) \
         .drop("_p", "_rn", "_carry")
 

@@ -79,34 +79,54 @@ def unlock_scores(nodes: DataFrame, edges: DataFrame, boost: DataFrame | None =
     return out.drop("s")
 
 
-def paths_to(edges: DataFrame, target: str, max_len: int = 64) -> DataFrame:
-    """Every simple path (as an array of nodes) from any node to
-    `target`, grown backwards from the target one edge per step until no
-    path grows (a DAG is finite; the cycle guard keeps general graphs so)."""
+def shortest_paths_to(edges: DataFrame, target: str) -> DataFrame:
+    """Per start node the shortest path to target; ties -> the
+    lexicographically smallest node sequence.
+
+    Breadth first from the target: each round reaches the nodes one edge
+    further away that no earlier round has reached, and keeps one path for
+    each, so the work is that of the edges, whatever number of paths there is.
+    """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    frontier = spark.createDataFrame([([target],)], "path array<string>")
+    e = edges.select("src", "dst").distinct()
+    frontier = spark.createDataFrame([(target, [target])], "start string, path array<string>")
     done = frontier
-    for _ in range(max_len):
-        grown = frontier.join(edges, F.get(frontier.path, 0) == edges.dst) \
-            .filter(~F.array_contains(F.col("path"), F.col("src"))) \
-            .select(F.concat(F.array(F.col("src")), F.col("path")).alias("path")).checkpoint(eager=True)
+    while True:
+        grown = frontier.join(e, F.col("start") == F.col("dst")) \
+            .groupBy(F.col("src").alias("start")).agg(F.min(F.concat(F.array("src"), "path")).alias("path")) \
+            .join(done.select("start"), "start", "left_anti").checkpoint(eager=True)
         if grown.isEmpty():
             break
-        done = done.unionByName(grown)
+        done = done.unionByName(grown).checkpoint(eager=True)
         frontier = grown
-    return done.select(F.get("path", 0).alias("start"), "path", F.size("path").alias("length"))
+    return done.filter(F.col("start") != target).select("start", "path", F.size("path").alias("length"))
 
 
-def shortest_paths_to(edges: DataFrame, target: str) -> DataFrame:
-    """Per start node the shortest path to target; ties -> the
-    lexicographically smallest node sequence."""
-    p = paths_to(edges, target).filter(F.col("start") != target)
-    best = p.groupBy("start").agg(F.min(F.struct("length", "path")).alias("b"))
-    return best.select("start", F.col("b.path").alias("path"), F.col("b.length").alias("length"))
-
-
-def reachable(edges: DataFrame, sources: DataFrame, max_steps: int = 64) -> DataFrame:
+def heaviest_paths_to(edges: DataFrame, weights: DataFrame, target: str) -> DataFrame:
+    """Per start node of a DAG the path to target with the largest sum of
+    `weights` (node, count; the target's own is left out); ties -> the
+    smallest node sequence.  Longest-path relaxation: one path per node, rounds
+    until nothing changes; more rounds than nodes mean a cycle."""
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    e = edges.select("src", "dst").distinct().join(weights.select(F.col("node").alias("src"), "count"), "src", "left") \
+        .select("src", "dst", F.coalesce("count", F.lit(0)).cast("long").alias("own")).checkpoint(eager=True)
+    nodes = e.select("src").union(e.select("dst")).distinct().count()
+    best = spark.createDataFrame([(target, 0, [target])], "start string, weight long, path array<string>")
+    for _ in range(nodes + 1):
+        step = best.join(e, F.col("start") == F.col("dst")).select(
+            F.col("src").alias("start"), (F.col("own") + F.col("weight")).alias("weight"), F.concat(F.array("src"), "path").alias("path"))
+        both = best.unionByName(step)
+        most = both.groupBy("start").agg(F.max("weight").alias("weight"))
+        new = both.join(most, ["start", "weight"]).groupBy("start", "weight").agg(F.min("path").alias("path")).checkpoint(eager=True)
+        if new.join(best, ["start", "weight", "path"], "left_anti").isEmpty():
+            return best.filter(F.col("start") != target)
+        best = new
+    raise ValueError("the graph has a cycle")
+
+
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node) pairs reachable by one or more edges;
     iterative join until no new pair appears."""
     ensure_checkpoint_dir(edges.sparkSession)
@@ -114,14 +134,13 @@ def reachable(edges: DataFrame, sources: DataFrame, max_steps: int = 64) -> Data
     reach = sources.select(F.col("node").alias("source")).join(e, F.col("source") == F.col("src")) \
         .select("source", F.col("dst").alias("node")).distinct().checkpoint(eager=True)
     frontier = reach
-    for _ in range(max_steps):
+    while True:
         nxt = frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node")).distinct()
         nxt = nxt.join(reach, ["source", "node"], "left_anti").checkpoint(eager=True)
         if nxt.isEmpty():
-            break
+            return reach
         reach = reach.unionByName(nxt).checkpoint(eager=True)
         frontier = nxt
-    return reach
 
 
 def weighted_edges(edges: DataFrame, counts: DataFrame) -> DataFrame:

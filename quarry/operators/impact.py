@@ -33,16 +33,18 @@ def impact_roi(counts: DataFrame) -> DataFrame:
                     (score / F.greatest(effort, F.lit(0.1))).alias("roi"))
 
 
-def schedule(spark: SparkSession, durations: DataFrame, max_rounds: int = 64) -> DataFrame:
+def schedule(spark: SparkSession, durations: DataFrame, dependencies: dict | None = None) -> DataFrame:
     """Earliest / latest start and finish, slack and the critical flag
     for every node of the resolver DAG with `duration` days per node
-    (forward and backward longest-path relaxation, one join per round)."""
+    (forward and backward longest-path relaxation, one join per round, until
+    nothing changes; more rounds than nodes mean a cycle)."""
     ensure_checkpoint_dir(spark)
-    edges = spark.createDataFrame([(s, d) for s, ds in config.RESOLVER_DEPENDENCIES.items() for d in ds],
+    edges = spark.createDataFrame([(s, d) for s, ds in (dependencies or config.RESOLVER_DEPENDENCIES).items() for d in ds],
                                   "src string, dst string")
     nodes = durations.select("node", F.col("duration").cast("double").alias("dur"))
     es = nodes.select("node", F.lit(0.0).alias("es"))
-    for _ in range(max_rounds):
+    rounds = nodes.count() + 1
+    for _ in range(rounds):
         cand = es.join(nodes, "node").join(edges, F.col("node") == F.col("src")) \
             .groupBy(F.col("dst").alias("node")).agg(F.max(F.col("es") + F.col("dur")).alias("c"))
         new = es.join(cand, "node", "left").select("node", F.greatest("es", F.coalesce("c", F.lit(0.0))).alias("es")) \
@@ -51,10 +53,12 @@ def schedule(spark: SparkSession, durations: DataFrame, max_rounds: int = 64) ->
         es = new
         if not changed:
             break
+    else:
+        raise ValueError("the dependencies have a cycle")
     x = es.join(nodes, "node").withColumn("ef", F.col("es") + F.col("dur"))
     end = x.agg(F.max("ef").alias("end")).first()["end"]
     lf = nodes.select("node", F.lit(end).alias("lf"))
-    for _ in range(max_rounds):
+    for _ in range(rounds):
         ls = lf.join(nodes, "node").select("node", (F.col("lf") - F.col("dur")).alias("ls"))
         cand = ls.join(edges, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.min("ls").alias("c"))
         new = lf.join(cand, "node", "left").select("node", F.least("lf", F.coalesce("c", F.lit(end))).alias("lf")) \
@@ -63,6 +67,8 @@ def schedule(spark: SparkSession, durations: DataFrame, max_rounds: int = 64) ->
         lf = new
         if not changed:
             break
+    else:
+        raise ValueError("the dependencies have a cycle")
     out = x.join(lf, "node").withColumn("ls", F.col("lf") - F.col("dur"))
     return out.select("node", F.col("dur").alias("duration"), F.col("es").alias("earliest_start"),
                       F.col("ef").alias("earliest_finish"), F.col("ls").alias("latest_start"), F.col("lf").alias("latest_finish"),

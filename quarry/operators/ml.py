@@ -13,24 +13,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.ranking import histogram_rank
+from quarry.session import materialize_table
 
 
 def ordered_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str = "row_number") -> DataFrame:
     """Row number within groups by `order`, without one task per group.
 
-    Rows are range-partitioned on (groups, order); each partition numbers
-    its rows per group locally; a table of per-(partition, group) counts
-    (size = partitions x groups present) gives each partition its offset.
+    Rows are range-partitioned on (groups, order) and written once with the
+    number of their range; rows and counts are then read from the same
+    files, so both see the same ranges.  Each range numbers its rows per
+    group, the counts of the ranges before it give the offset.
     """
     g, o = list(groups), list(order)
-    n = max(df.rdd.getNumPartitions(), 1)
-    x = df.repartitionByRange(n, *g, *o).withColumn("_p", F.spark_partition_id())
+    x = materialize_table(df.repartitionByRange(*g, *o).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = x.groupBy("_p", *g).agg(F.count(F.lit(1)).alias("_c")).select(
+        "_p", *g, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     x = x.withColumn("_lr", F.row_number().over(Window.partitionBy("_p", *g).orderBy(*o)))
-    cnt = x.groupBy("_p", *g).agg(F.count(F.lit(1)).alias("_c"))
-    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.join(F.broadcast(cnt.select("_p", *g, "_off")), ["_p", *g], "left")
-    return x.withColumn(out, (F.col("_off") + F.col("_lr")).cast("long")).drop("_p", "_lr", "_off")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ["_p", *g]]
+    return (x.alias("x").join(offsets.alias("n"), same)
+            .select(*[F.col(f"x.`{c}`") for c in df.columns], (F.col("_off") + F.col("_lr")).cast("long").alias(out)))
 
 
 def stratified_split(df: DataFrame, label: str, key: Column, fractions=(0.6, 0.2)) -> DataFrame:

@@ -216,15 +216,8 @@ SELECT start, array_to_string(path, '>') AS path, weight, bottleneck FROM (
 def q_g7(spark, sf):
     _, edges = graph.dependency_graph(spark)
     counts = cascade.node_counts(enhanced_record(spark, sf))
-    paths = graph.paths_to(edges, config.LOCK_NODE[0]).filter(F.col("length") > 1)
-    pw = paths.select("start", "path", F.explode("path").alias("node")).filter(F.col("node") != config.LOCK_NODE[0]) \
-        .join(counts, "node", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    agg = pw.groupBy("start", "path").agg(F.sum("count").cast("long").alias("weight"),
-                                         F.max(F.struct("count", "node"))["node"].alias("bottleneck"))
-    best = agg.groupBy("start").agg(F.max(F.struct(F.col("weight"), (-F.hash(F.lit(0))).alias("_z"),
-                                                   F.col("path"))).alias("b"))
-    # ties on weight: smallest path (max over -path is not available, so re-rank)
-    top = agg.join(best.select("start", F.col("b.weight").alias("weight")), ["start", "weight"]) \
-        .groupBy("start", "weight").agg(F.min(F.struct("path", "bottleneck")).alias("m"))
-    return finalize(top.select("start", F.array_join("m.path", ">").alias("path"), "weight",
-                               F.col("m.bottleneck").alias("bottleneck")))
+    best = graph.heaviest_paths_to(edges, counts, config.LOCK_NODE[0])
+    top = best.select("start", "path", "weight", F.explode("path").alias("node")).filter(F.col("node") != config.LOCK_NODE[0]) \
+        .join(counts, "node", "left").groupBy("start", "path", "weight") \
+        .agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("count"), F.col("node")))["node"].alias("bottleneck"))
+    return finalize(top.select("start", F.array_join("path", ">").alias("path"), "weight", "bottleneck"))

@@ -19,8 +19,8 @@ p0 AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\n\\n+'
   lambda x: x <> '') AS ps FROM d),
 p AS (SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) - 1 AS para_idx FROM p0),
 s0 AS (SELECT doc_id, para_idx, list_filter(list_transform(string_split(regexp_replace(regexp_replace(para,
-  '\\b({_ABBR})\\.\\s', '\\1<DOT> ', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-  lambda x: regexp_replace(replace(x, '<DOT>', '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM p),
+  '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\b({_ABBR})\\.' || chr(1), '\\1. ', 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM p),
 s AS (SELECT doc_id, para_idx, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_idx FROM s0)"""
 _WC = "CASE WHEN regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE len(string_split_regex(regexp_replace(sentence, '^\\s+|\\s+$', '', 'g'), '\\s+')) END"
 

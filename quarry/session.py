@@ -37,15 +37,17 @@ def get_spark(app: str = "quarry", cpus: int | str = "*", shuffle_partitions: in
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's `spark.checkpoint.dir` wins.  Only when it is unset (tests,
-    local runs) a private folder under the system temp dir is created.
+    The cluster's `spark.checkpoint.dir` wins.  Only in local mode, where
+    driver and executors are one process, may it be unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
+    if not conf_dir and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not conf_dir:  # one process, as in tests
         conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -5,15 +5,14 @@ under the cluster's shared checkpoint folder (file sink, append mode), so a
 restarted query resumes from its checkpoint and no result passes through
 the driver.
 
-* T6 / T4 - tumbling-window counts and digests with a watermark (append).
-* T12     - session windows of user activity (append).
+* T6 / T4 - tumbling-window counts and digests with a watermark.
+* T12     - session windows of user activity.
 * T1      - exact dedup: `applyInPandasWithState` keyed by dedup key; the
             state is one timestamp (the last kept alert).
 * T2      - fatigue: state per recipient holds the kept timestamps of the
             last day only.
 * T11     - circuit state per component from error / success events.
-* T9      - `foreachBatch` upsert of daily aggregates (dynamic partition
-            overwrite of the touched days).
+* T9      - `foreachBatch` sums of each batch by day, added up on read.
 Rows later than the watermark are dropped by Spark's stateful operators.
 """
 from __future__ import annotations
@@ -31,12 +30,13 @@ from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import load
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream, whether it is one file or a folder of
+    files; a trigger takes all that has come since the last one."""
     schema = load(spark, sf_dir, "events").schema
     # event-time columns must be TIMESTAMP for watermarks; results are cast
     # back to TIMESTAMP_NTZ (a round trip in the session time zone)
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir)
+    return (spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")  # a pattern: one file will do as well as a folder
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -75,6 +75,28 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> Dat
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_complete(df: DataFrame, name: str) -> DataFrame:
+    """Drain everything available into a table of all groups, those still open
+    included: every trigger writes the whole result (complete mode), the
+    last one is read."""
+    spark = df.sparkSession
+    out, ckpt = _paths(spark, name)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    found = spark.read.schema(f"{_ddl(df)}, epoch long").parquet(out)
+    last = found.agg(F.max("epoch").alias("last"))
+    return found.join(F.broadcast(last), F.col("epoch") == F.col("last")).select(*df.columns)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def hourly_counts(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Alerts per tumbling hour and category; a window is emitted once
     the watermark passes its end."""
@@ -210,15 +232,19 @@ def circuit_states(events: DataFrame, threshold: int = 3, reset_minutes: int = 6
 
 
 def daily_upsert(events: DataFrame, table_path: str) -> None:
-    """Per micro-batch, recompute the touched days from the batch and
-    overwrite exactly those day partitions (idempotent on replay)."""
+    """The day sums of each micro-batch, stored under the batch's number
+    (a batch that is replayed replaces its own); `daily_totals` adds them."""
     def write(batch: DataFrame, epoch: int) -> None:
         agg = batch.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
             F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
-        (agg.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
-         .parquet(table_path))
+        agg.write.mode("overwrite").parquet(f"{table_path}/batch={epoch}")
 
     spark = events.sparkSession
     _, ckpt = _paths(spark, "daily_upsert")
     q = events.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def daily_totals(spark: SparkSession, table_path: str) -> DataFrame:
+    """The day totals over all stored batches."""
+    return spark.read.parquet(table_path).groupBy("day", "event_type").agg(F.sum("events").alias("events"), F.sum("value").alias("value"))

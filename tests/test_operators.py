@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import argmax_name, pct_rank_avg, top_n_text
@@ -187,13 +188,77 @@ def test_stream_fatigue_equals_batch(spark):
     assert batch == stream
 
 
-def test_chunking_invariants():
-    from quarry.operators.textops import chunk_one
-    text = ("Dr. Smith saw the patient. " * 40 + "\n\n" + "Short para.\n\n" + "Another sentence here! " * 30)
-    chunks = chunk_one(text)
-    assert chunks and all(len(c) >= 150 for c in chunks)
-    assert all(len(c) <= 500 + 200 for c in chunks)
-    assert chunk_one("tiny") == ["tiny"] and chunk_one("   ") == []
+def test_chunking(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators.textops import chunk_texts
+    long_para, short, exclaim = "Dr. Smith saw the patient. " * 40, "Short para.", "Another sentence here! " * 30
+    text = long_para + "\n\n" + short + "\n\n\n\n" + exclaim
+    rows = spark.createDataFrame([(0, text), (1, "tiny"), (2, "   "), (3, None), (4, "x" * 2000), (5, "A b. " * 300)], "id int, t string")
+    got = {r.id: r.c for r in rows.select("id", chunk_texts(F.col("t")).alias("c")).collect()}
+    assert got[1] == ["tiny"] and got[2] == got[3] == []
+    assert got[4] == ["x" * 2000]  # one sentence has no inner cut
+    sentence = "Dr. Smith saw the patient."
+    n = 500 // len(sentence)  # whole sentences up to the size
+    assert got[0][0] == " ".join([sentence] * n)
+    assert got[0][1].startswith(sentence) and all(150 <= len(c) <= 500 + 200 for c in got[0])
+    # a third of a chunk's sentences comes again in the next one
+    assert sum(c.count(sentence) for c in got[0]) > 40 and got[0][-1].endswith("Another sentence here!")
+    assert all(set(c.split()) <= {"A", "b."} for c in got[5])
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_row_numbers_and_carries_over_many_ranges(spark, partitions):
+    from quarry.operators import ml
+    pdf = pd.DataFrame({"k": np.arange(4000), "g": np.arange(4000) % 3, "t": np.random.default_rng(3).permutation(4000), "extra": "x"})
+    pdf.loc[::7, "g"] = 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(pdf).repartition(partitions)
+        got = ml.ordered_row_number(df, ["g"], ["t"], "rn").toPandas().sort_values("k")
+        assert (got["rn"].to_numpy() == pdf.groupby("g")["t"].rank().astype(int).to_numpy()).all() and list(got.columns) == [*pdf.columns, "rn"]
+        lag = G.previous_in_order(df, ["t"], "k", "prev").toPandas().sort_values("t")
+        assert np.allclose(lag["prev"].fillna(-1), pdf.sort_values("t")["k"].shift(1).fillna(-1)) and len(lag) == 4000
+        more = __import__("quarry.operators.reports", fromlist=["oversample"]).oversample(df, "g", "k")
+        assert more.groupBy("g").count().select("count").distinct().count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_chain_graphs(spark):
+    from quarry.operators import graph, impact
+    n = 70  # longer than the fixed number of rounds there once was
+    names = [f"n{i:03d}" for i in range(n)]
+    edges = spark.createDataFrame([(a, b) for a, b in zip(names, names[1:])] + [(names[0], names[2])], "src string, dst string")
+    short = {r.start: r for r in graph.shortest_paths_to(edges, names[-1]).collect()}
+    assert len(short) == n - 1 and short[names[0]].path == [names[0], *names[2:]] and short[names[1]].length == n - 1
+    n, names = 12, names[:12]  # many rounds of several jobs each
+    edges = edges.filter(F.col("dst") <= names[-1])
+    weights = spark.createDataFrame([(x, 1) for x in names], "node string, count long")
+    heavy = {r.start: r for r in graph.heaviest_paths_to(edges, weights, names[-1]).collect()}
+    assert heavy[names[0]].path == names and heavy[names[0]].weight == n - 1
+    with pytest.raises(ValueError):
+        graph.heaviest_paths_to(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "z")], "src string, dst string"), spark.createDataFrame([("a", 1), ("b", 1)], "node string, count long"), "z")
+    assert graph.reachable(edges, spark.createDataFrame([(names[0],)], "node string")).count() == n - 1
+    days = spark.createDataFrame([(x, 1.0) for x in names], "node string, duration double")
+    plan = impact.schedule(spark, days, {a: [b] for a, b in zip(names, names[1:])})
+    assert plan.filter("critical").count() == n and plan.agg({"earliest_finish": "max"}).first()[0] == n
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_streams_read_folders_and_lose_nothing(spark, files, tmp_path):
+    from pyspark.sql import functions as F
+    from quarry.streaming import alerts_stream as ST
+    from tests.conftest import SF_SMALL
+    ev = spark.read.parquet(SF_SMALL + "/events.parquet")
+    n = ev.count()
+    ev.repartition(files, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    sf = str(tmp_path)
+    table = str(tmp_path / "days")
+    ST.daily_upsert(ST.event_stream(spark, sf), table)
+    assert ST.daily_totals(spark, table).agg(F.sum("events")).first()[0] == n
+    assert ST.run_complete(ST.usage_sessions(ST.event_stream(spark, sf)), "s").agg(F.sum("events")).first()[0] == n
+    assert ST.run_complete(ST.hourly_counts(ST.alert_stream(spark, sf)), "h").agg(F.sum("alerts")).first()[0] == n
+    assert ST.run_to_parquet(ST.dedup_stream(ST.alert_stream(spark, sf)), "d").count() == n
 
 
 def test_escalation_timeline_matches_simulation(spark):
