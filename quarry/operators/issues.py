@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions.exprs import argmax_name, col_or_lit, num
+from quarry.functions.quantiles import exact_quantiles
 
 TYPES = [t[0] for t in config.ISSUE_TYPES]
 META = {t[0]: t for t in config.ISSUE_TYPES}
@@ -90,12 +91,9 @@ def priority_tiers(df: DataFrame) -> DataFrame:
         term = F.col(f"severity_{t}") * F.lit(META[t][6] / 100.0)
         score = term if score is None else score + term
     out = df.withColumn("priority_score", F.least(score, F.lit(100.0)))
-    q = out.filter(F.col("total_issues") > 0).agg(
-        F.percentile("priority_score", 0.25).alias("_p25"), F.percentile("priority_score", 0.5).alias("_p50"),
-        F.percentile("priority_score", 0.75).alias("_p75"), F.percentile("priority_score", 0.9).alias("_p90"))
-    q = q.select(*[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in
-                   [("_p25", 5.0), ("_p50", 10.0), ("_p75", 25.0), ("_p90", 50.0)]])
-    out = out.crossJoin(F.broadcast(q))
+    some = out.filter(F.col("total_issues") > 0).select("priority_score")
+    cuts = exact_quantiles(some, ["priority_score"], [0.25, 0.5, 0.75, 0.9])["priority_score"]
+    out = out.select("*", *[F.lit(d if v is None else v).alias(c) for c, v, d in zip(("_p25", "_p50", "_p75", "_p90"), cuts, (5.0, 10.0, 25.0, 50.0))])
     c = F.col
     safety = (c("issue_sae_dm_pending") == 1) | (c("issue_sae_safety_pending") == 1)
     s = c("priority_score")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.quantiles import exact_quantiles
 from quarry.functions.ranking import histogram_rank
 from quarry.session import materialize_table
 
@@ -62,15 +63,14 @@ def variance_screen(df: DataFrame, cols: Sequence[str], threshold: float = 0.01)
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """M4: (x - median) / IQR per column; IQR 0 -> 1.  Exact quantiles from
-    one aggregate (their buffers hold distinct values, not rows)."""
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(f"{c}__q") for c in cols])
-    x = df.crossJoin(F.broadcast(q))
+    """M4: (x - median) / IQR per column; IQR 0 -> 1."""
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     out = []
     for c in cols:
-        iqr = F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0]
-        out.append(((F.col(c).cast("double") - F.col(f"{c}__q")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias(f"{c}_scaled"))
-    return x.select(*keys, *out)
+        low, mid, high = (F.lit(x).cast("double") for x in q[c])
+        iqr = high - low
+        out.append(((F.col(c).cast("double") - mid) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias(f"{c}_scaled"))
+    return df.select(*keys, *out)
 
 
 def zscore_drivers(df: DataFrame, keys: Sequence[str], cols: Sequence[str], z: float = 2.0, top: int = 3) -> DataFrame:
@@ -230,10 +230,10 @@ def pca_residual_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     mm = lambda c, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
     x = x.select(*keys, "recon_error", "max_abs_z", (mm("recon_error", "a0", "a1") * 0.6 + mm("max_abs_z", "b0", "b1") * 0.4)
                  .alias("anomaly_score"))
-    q = x.agg(F.percentile("anomaly_score", [0.9, 0.95, 0.99]).alias("_q"))
-    x = x.crossJoin(F.broadcast(q))
-    sev = F.when(F.col("anomaly_score") >= F.col("_q")[2], "extreme").when(F.col("anomaly_score") >= F.col("_q")[1], "high") \
-        .when(F.col("anomaly_score") >= F.col("_q")[0], "moderate").otherwise("normal")
+    x = materialize_table(x, "anomaly-scores")
+    moderate, high, extreme = (F.lit(v).cast("double") for v in exact_quantiles(x, ["anomaly_score"], [0.9, 0.95, 0.99])["anomaly_score"])
+    score = F.col("anomaly_score")
+    sev = F.when(score >= extreme, "extreme").when(score >= high, "high").when(score >= moderate, "moderate").otherwise("normal")
     return x.select(*keys, "recon_error", "max_abs_z", "anomaly_score", sev.alias("severity"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.operators.issues import META, TYPES
+from quarry.functions.quantiles import exact_quantiles
 from quarry.operators.ml import ordered_row_number
 
 
@@ -135,11 +136,11 @@ def tag_statistics(tags: DataFrame) -> DataFrame:
 
 def impute(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """M3: exact median for numeric columns, mode (ties -> smallest) for
-    categorical ones, from one aggregate broadcast back."""
-    stats = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"{c}__med") for c in numeric],
-                   *[F.mode(c, deterministic=True).alias(f"{c}__mode") for c in categorical])
+    categorical ones."""
+    median = exact_quantiles(df, numeric, [0.5])
+    stats = df.agg(F.count("*").alias("_n"), *[F.mode(c, deterministic=True).alias(f"{c}__mode") for c in categorical])
     x = df.crossJoin(F.broadcast(stats))
-    return x.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.col(f"{c}__med")).alias(c) for c in numeric],
+    return x.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(median[c][0])).alias(c) for c in numeric],
                     *[F.coalesce(F.col(c), F.col(f"{c}__mode")).alias(c) for c in categorical])
 
 

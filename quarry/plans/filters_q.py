@@ -5,6 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from quarry.functions.quantiles import exact_quantiles
 from quarry import config
 from quarry.operators import collab, filters as FL, issues as IS
 from quarry.plans import sqlbase as S
@@ -176,8 +177,8 @@ SELECT count(*) AS patients, round(quantile_cont(dqi_score, 0.5), 6) AS p50, rou
   count(*) FILTER (WHERE dqi_score < 75) AS below_75, count(*) FILTER (WHERE dqi_score < 50) AS below_50 FROM elock""")
 def q_m24(spark, sf):
     e = enhanced_record(spark, sf)
-    q = F.percentile("dqi_score", [0.5, 0.1, 0.05, 0.01])
-    r = e.agg(F.count(F.lit(1)).alias("patients"), q.alias("_q"), F.count(F.when(F.col("dqi_score") < 75, 1)).alias("below_75"),
+    names = ("p50", "p10", "p05", "p01")
+    q = exact_quantiles(e, ["dqi_score"], [0.5, 0.1, 0.05, 0.01])["dqi_score"]
+    r = e.agg(F.count(F.lit(1)).alias("patients"), F.count(F.when(F.col("dqi_score") < 75, 1)).alias("below_75"),
               F.count(F.when(F.col("dqi_score") < 50, 1)).alias("below_50"))
-    return finalize(r.select("patients", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p10"), F.col("_q")[2].alias("p05"),
-                             F.col("_q")[3].alias("p01"), "below_75", "below_50"))
+    return finalize(r.select("patients", *[F.lit(v).cast("double").alias(n) for n, v in zip(names, q)], "below_75", "below_50"))

@@ -315,3 +315,34 @@ def test_record_plan_pushes_filters_and_prunes_columns(spark):
     assert "PushedFilters: [Or(" in li[0]
     schema = li[0].split("ReadSchema: struct<")[1].split(">")[0]
     assert schema.count(":") == 8 and "l_extendedprice" not in schema
+
+
+def test_exact_quantiles(spark):
+    from quarry.functions.quantiles import exact_quantiles
+    r = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": r.normal(size=3001), "b": np.exp(r.normal(size=3001) * 40), "c": r.integers(0, 3, 3001).astype(float), "d": 7.0, "e": np.nan})
+    pdf.loc[::5, "a"] = None
+    qs = [0, 0.01, 0.25, 0.5, 0.9, 1]
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, e double").repartition(6)
+    got = exact_quantiles(df, list(pdf.columns), qs)
+    for c in "abcd":
+        assert np.allclose(got[c], pdf[c].dropna().quantile(qs).to_numpy(), rtol=1e-12)
+    assert got["e"] == [None] * len(qs)
+
+
+def test_vector_topk_in_blocks(spark):
+    from quarry.operators import vector as VX
+    r = np.random.default_rng(6)
+    m = r.normal(size=(300, 8))
+    m[200:] = m[:100]  # ties
+    corpus = spark.createDataFrame([(i, [float(x) for x in v], "g%d" % (i % 2)) for i, v in enumerate(m)], "vec_id long, embedding array<double>, g string").repartition(5)
+    q = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(20)], "query_id long, qvec array<double>")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect())
+    one = key(VX.cosine_topk(corpus, q, 7))
+    assert one == key(VX.cosine_topk(corpus, q, 7, block_bytes=300))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for row in q.collect():
+        s = unit @ (np.array(row["qvec"]) / np.linalg.norm(row["qvec"]))
+        want = sorted(range(300), key=lambda i: (-round(s[i], 12), i))[:7]
+        assert [x[2] for x in one if x[0] == row["query_id"]] == want
+    assert VX.cosine_topk(corpus, q.limit(0), 7).count() == 0
