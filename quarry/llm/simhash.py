@@ -271,7 +271,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the least doc_id of each component, once each.
     A component without any doc_id keeps its rows."""
     kept = written(grouped(docs).select("component_id", "keep_key").where("component_id IS NOT NULL").distinct(), "keepers")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    stay = (keyed.join(kept.select(F.col("component_id").alias("doc_id"), F.col("keep_key").alias("_text_key")), ["doc_id", "_text_key"], "left_semi")
-            .dropDuplicates(["doc_id", "_text_key"]))
+    key = "text_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    stay = (keyed.join(kept.select(F.col("component_id").alias("doc_id"), F.col("keep_key").alias(key)), ["doc_id", key], "left_semi")
+            .dropDuplicates(["doc_id", key]))
     return stay.unionByName(keyed.where("doc_id IS NULL")).select(*docs.columns)
