@@ -1,4 +1,4 @@
-"""Activity statistics and issue features (A29, A34, A37, J9, P20, P23-P25,
+"""Activity, study and issue statistics (A9, A29, A34, A37, J6, J7, J9, P20, P23-P25,
 W14, X9): conditional aggregates, expressions and windows per small key."""
 from __future__ import annotations
 
@@ -103,3 +103,26 @@ def issue_timeline(issues: DataFrame, log: DataFrame) -> DataFrame:
     changed = log.select("issue_id", "ts", F.col("seq").cast("long").alias("entry"), F.lit("status_changed").alias("event"), "status")
     w = Window.partitionBy("issue_id").orderBy("ts", "entry", "status")
     return made.unionByName(changed).withColumn("position", F.row_number().over(w))
+
+
+def study_metrics(record: DataFrame, low: float = 90.0) -> DataFrame:
+    """Study metrics, with what its sites say left-joined: the worst
+    site mean, and the sites with a mean under `low`.  Sites are rolled up
+    once; both levels come from that small table but for the site count."""
+    sites = record.groupBy("study_id", "site_id").agg(
+        F.count("*").alias("patients"), F.sum("dqi_score").alias("dqi"), F.count("dqi_score").alias("scored"),
+        *[F.count_if(F.col(c)).alias(n) for c, n in (("tier1_clean", "tier1_clean"), ("tier2_clean", "tier2_clean"), ("dblock_tier1_ready", "ready"))])
+    base = sites.groupBy("study_id").agg(
+        *[F.sum(c).alias(c) for c in ("patients", "tier1_clean", "tier2_clean", "ready")], F.count("site_id").alias("sites"),
+        (F.sum("dqi") / F.sum("scored")).alias("dqi_mean"))
+    mean = F.col("dqi") / F.col("scored")
+    worst = sites.groupBy("study_id").agg(F.min(mean).alias("worst_site_dqi"), F.count_if(mean < low).alias("low_sites"))
+    return base.join(worst, "study_id", "left").withColumn("ready_rate", F.col("ready") * 100.0 / F.col("patients"))
+
+
+def by_region(metrics: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Site metrics get their region from a lookup with one row per site
+    (its first region by name), sites without one are `Unknown`."""
+    one = lookup.groupBy("site_id").agg(F.min("region").alias("region"))
+    x = metrics.join(one, "site_id", "left").withColumn("region", F.coalesce("region", F.lit("Unknown")))
+    return x.groupBy("region").agg(F.count("*").alias("sites"), F.sum("patients").alias("patients"), F.avg("dqi_mean").alias("mean_of_sites"))

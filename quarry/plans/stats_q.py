@@ -1,4 +1,4 @@
-"""Activity statistics and issue features (A29, A34, A37, J9, P20, P23-P25,
+"""Activity, study and issue statistics (A9, A29, A34, A37, J6, J7, J9, P20, P23-P25,
 W14, X9)."""
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from quarry.operators import textops as TX
 from quarry.plans.collab_q import ISSUES_SQL, LOG_SQL
 from quarry.plans.gov_q import PRED_SQL
 from quarry.plans.registry import finalize, query
+from quarry.plans.scores_q import ENH, enhanced_record
 from quarry.plans.text_q import SENT_SQL
 from quarry.plans.trust_q import INTER_SQL
 from quarry.sources import testmap
@@ -100,3 +101,25 @@ SELECT issue_id, CAST(ts AS DATE) AS day, event, status, row_number() OVER (PART
 def q_x9(spark, sf):
     t = ST.issue_timeline(testmap.issues(spark, sf), testmap.status_log(spark, sf))
     return finalize(t.select("issue_id", F.to_date("ts").alias("day"), "event", "status", "position"))
+
+
+@query("j6_study_metrics", ENH + """,
+s AS (SELECT study_id, site_id, avg(dqi_score) AS m FROM elock GROUP BY ALL),
+w AS (SELECT study_id, min(m) AS worst_site_dqi, count(*) FILTER (WHERE m < 90) AS low_sites FROM s GROUP BY 1),
+b AS (SELECT study_id, count(*) AS patients, count(DISTINCT site_id) AS sites, avg(dqi_score) AS dqi_mean, count(*) FILTER (WHERE tier1_clean) AS tier1_clean,
+  count(*) FILTER (WHERE tier2_clean) AS tier2_clean, count(*) FILTER (WHERE dblock_tier1_ready) AS ready FROM elock GROUP BY 1)
+SELECT b.study_id, patients, sites, round(dqi_mean, 6) AS dqi_mean, tier1_clean, tier2_clean, ready, round(worst_site_dqi, 6) AS worst_site_dqi, low_sites,
+  round(ready * 100.0 / patients, 6) AS ready_rate FROM b LEFT JOIN w ON w.study_id = b.study_id""")
+def q_j6(spark, sf):
+    return finalize(ST.study_metrics(enhanced_record(spark, sf)))
+
+
+@query("j7_region_lookup", ENH + """,
+m AS (SELECT site_id, count(*) AS patients, avg(dqi_score) AS dqi_mean FROM elock GROUP BY 1),
+k AS (SELECT site_id, min(region) AS region FROM elock WHERE tier1_clean GROUP BY 1)
+SELECT coalesce(region, 'Unknown') AS region, count(*) AS sites, CAST(sum(patients) AS BIGINT) AS patients, round(avg(dqi_mean), 6) AS mean_of_sites
+FROM m LEFT JOIN k ON k.site_id = m.site_id GROUP BY 1""")
+def q_j7(spark, sf):
+    e = enhanced_record(spark, sf)
+    sites = e.groupBy("site_id").agg(F.count("*").alias("patients"), F.avg("dqi_score").alias("dqi_mean"))
+    return finalize(ST.by_region(sites, e.filter("tier1_clean").select("site_id", "region").distinct()))
