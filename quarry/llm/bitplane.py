@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -66,6 +66,9 @@ _plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 BYTE_LETTERS = {b: b for b in _plain} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_plain)))}
 LETTERS = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
+#: Whole texts in, the ids of each out.
+Encode = Callable[[list[str]], list[np.ndarray]]
+
 _MEMOS: dict[str, PieceMemo] = {}
 
 
@@ -78,7 +81,7 @@ def library_memo(path: str) -> PieceMemo:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        tokenizer.encode_special_tokens = True  # their strings are ordinary text here; library_ids cuts them out first
 
         model = tokenizer.model
 
@@ -95,12 +98,46 @@ def library_memo(path: str) -> PieceMemo:
     return _MEMOS[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, planes: str = "byte", block_ids: int = BLOCK_IDS) -> None:
-    """Encode every text and write `folder`/chunks and `folder`/index."""
+_ADDED: dict[str, Encode] = {}
+
+
+def library_ids(path: str) -> Encode:
+    """Whole texts to the ids that the library gives with the file as loaded
+    (`add_special_tokens=False`): each added token in a text is its own id.
+
+    The library cuts a text at its added tokens before anything else, so the
+    texts are cut there first and the memo sees only what stands between.  A
+    file whose added tokens also take in what is around them, or match
+    normalised text, goes through the library whole."""
+    if path not in _ADDED:
+        memo = library_memo(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        added = tokenizer.get_added_tokens_decoder()
+        number = {t.content: np.array([i], np.uint32) for i, t in added.items()}
+        cut = re.compile(f"({'|'.join(map(re.escape, sorted(number, key=len, reverse=True)))})")  # at one place the longest counts
+
+        def whole(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def ids(texts: list[str]) -> list[np.ndarray]:
+            parts = [cut.split(t) if any(c in t for c in number) else [t] for t in texts]
+            between = iter(memo.ids([p for some in parts for p in some[::2]]))
+            return [next(between) if len(some) == 1 else np.concatenate([number[p] if k % 2 else next(between) for k, p in enumerate(some)]) for some in parts]
+
+        _ADDED[path] = whole if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()) else ids
+    return _ADDED[path]
+
+
+def write_token_files(docs: DataFrame, folder: str, path: str, planes: str = "byte", block_ids: int = BLOCK_IDS, added_tokens: bool = False) -> None:
+    """Encode every text and write `folder`/chunks and `folder`/index.  With
+    `added_tokens` the ids are those of the library with the file as loaded;
+    without, the strings of special tokens are ordinary text."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part = library_memo(path), TaskContext.get().partitionId()
+        ids_of, part = library_ids(path) if added_tokens else library_memo(path).ids, TaskContext.get().partitionId()
         held = bytearray()
         chunk = written = 0
         starts: list[dict] = []
@@ -125,7 +162,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, planes: str = "by
         size = 4 * block_ids
         for batch in batches:
             for block in text_blocks(batch):
-                for doc_id, ids in zip(column(block, "doc_id").to_pylist(), memo.ids(texts_of(block))):
+                for doc_id, ids in zip(column(block, "doc_id").to_pylist(), ids_of(texts_of(block))):
                     last = {"doc_id": doc_id, "start": written + len(held) // 4}
                     starts.append(last)
                     held += ids.astype("<u4").tobytes()

@@ -33,7 +33,7 @@ def op2_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bitplane import read_digests, write_token_files
 
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-token-files-{uuid.uuid4().hex[:12]}"
-    write_token_files(table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"))
+    write_token_files(table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"), added_tokens=True)
     return read_digests(spark, folder)
 
 

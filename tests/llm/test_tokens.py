@@ -113,3 +113,30 @@ def test_token_files(spark, awkward, library, tmp_path, kind, block):
 def test_token_files_of_nothing(spark, nothing, tmp_path):
     bitplane.write_token_files(nothing, str(tmp_path), P.path("byte_bpe_50k.json"))
     assert bitplane.read_digests(spark, str(tmp_path)).collect() == []
+
+
+def test_bitplane_query_equals_the_library_as_loaded(spark, tmp_path):
+    from quarry.llm.entries import QUERIES
+
+    loaded = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"abc {end} def", f"a  {end}{end}  b", end, f"{end} \n x", f"don't{end}'t <|endoftext|", *(end.join(noise(3, k)) for k in range(40)), *noise(9, 99)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op2_bitplane_tokens"](spark, str(tmp_path)).collect())
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = [*loaded.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert loaded.token_to_id(end) in loaded.encode(texts[0], add_special_tokens=False).ids and got == want
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"single_word": True}])
+def test_added_tokens_of_any_kind(tmp_path, flags):
+    from tokenizers import AddedToken
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.add_tokens([AddedToken("<x>", normalized=False, **flags), AddedToken("<x>y", normalized=False)])
+    t.save(str(tmp_path / "own.json"))
+    texts = ["a <x>y b<x> <x>y<x>", "a  <x> ", "z", "", " <|endoftext|><x>"]
+    assert [g.tolist() for g in bitplane.library_ids(str(tmp_path / "own.json"))(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
