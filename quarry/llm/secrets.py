@@ -7,8 +7,10 @@ runs of hexadecimal digits).
 The lexer reads source and configuration syntax: every line with an
 assignment sign is cut into strings, names and signs, and gives name-literal
 pairs (`NAME = "..."`, `name: value`, `"name" => '...'`, `name: type = "..."`,
-`export NAME=value`, `<name>value</name>`).  Literals joined by `+` are one
-value.  A name that stands for earlier literals passes them on, so a constant
+`export NAME=value`, `<name>value</name>`, `map["name"] = "..."`).  A type may
+have brackets, a string a prefix (`b"..."`) or three quotes, and a value may
+stand on the lines behind its sign.  Literals joined by `+`, or side by side
+in round brackets, are one value.  A name that stands for earlier literals passes them on, so a constant
 with a harmless name is found when a sensitive one receives it.  A pair's
 score adds what the words of the target name say to what the literal looks
 like; pieces of a literal that reach the threshold are spans of kind `lexed`.
@@ -47,13 +49,25 @@ NAME_WEIGHTS = {
 NEEDED_NAME, NEEDED_SCORE = 2, 5
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|dummy|redacted|xxxx|\*\*\*|^<.*>$|\$\{|\{\{|%\(")
 
-_LINE = re.compile(r"[^\n]*[=:>][^\n]*")
+_SIGN = re.compile("[=:>]")
 _TOKEN = re.compile(r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
                     r"""|(?P<sign>:=|=>|[=!<>]=|[=:])|(?P<plus>\+)|(?P<end>[;,()\[\]{}])"""
                     r"""|(?P<word>[^\s"'`=:+;,()\[\]{}]+)|(?P<quote>["'`])""")
 _BARE = re.compile(r"""[^\s"'`;,()\[\]{}]+""")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*")
 _TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<\n]+)</\1>")
+_PREFIX = r"(?:(?i:[bfrultnexsc]|br|rb|fr|rf|tr|rt|lr|ur|u8|u8r)#*|[@$]{1,2})"
+_GLUED = re.compile(_PREFIX + r"""(?=["'`])""")  # letters that belong to the string behind them
+_KEY = re.compile(r"[^\S\n]*(?:=>|:|=(?!=))")  # what stands behind a name
+_CHAIN = re.compile(r"[^\S\n]*(?:=>|=(?![=>]))(?=[^\S\n]*[^\s,;)}\]])")
+_ATOM = re.compile(r"""[&*]*(?:'\w+\s+)?(?:(?:mut|const|dyn)\s+)?[A-Za-z_][\w.]*(?:::[A-Za-z_][\w.]*)*|"[^"\n]*"|'[^'\n]*'""")
+_UNION = re.compile(r"[?!]?[^\S\n]*\|[^\S\n]*")
+_EQUALS = re.compile(r"[?!]?(?:[^\S\n]+(?==(?![=>]))|(?==(?![=>])[^\S\n]*" + _PREFIX + r"""?["'`]))""")
+_QUOTED_TYPE = re.compile(r"[^\S\n]*=(?![=>])[^\S\n]*" + _PREFIX + r"""?["'`]""")
+_BLOCK = re.compile(r"[|>][+-]?\d?(?=[^\S\n]*\n)")  # YAML's block scalars
+# The next line when a value is pending: a string that is no key, or one word alone; with + in front, a string or a name.
+_NEXT = re.compile(r"""\s*(?P<plus>\+\s*)?(?:(?P<str>""" + _PREFIX + r"""?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`))"""
+                   r"""(?![^\S\n]*(?:=>|:|=(?!=)))|(?P<word>[^\s"'`;,()\[\]{}:=]+=*)[^\S\n]*[;,)]*[^\S\n]*(?=\n|\Z))""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Piece = tuple[int, int]
@@ -81,8 +95,50 @@ class Lexer:
         self.text = text
         self.known: dict[str, list[Piece]] = {}
         self.found: set[Piece] = set()
-        for line in _LINE.finditer(text):
-            self._line(line.start(), line.end())
+        self._closing: dict[int, int] | None = None
+        self._untyped = 0  # no annotation begins before this place
+        at = 0
+        while sign := _SIGN.search(text, at):
+            at = self._line(text.rfind("\n", 0, sign.start()) + 1, self._end(sign.end()))
+
+    def _end(self, at: int) -> int:
+        """The end of the line."""
+        end = self.text.find("\n", at)
+        return len(self.text) if end < 0 else end
+
+    def _close(self, at: int) -> int:
+        """Where the bracket that opens at `at` is closed, or -1."""
+        if self._closing is None:
+            self._closing = {}
+            for opening, both in ("[", r"[\[\]]"), ("<", r"[<>]"):
+                held: list[int] = []
+                for m in re.finditer(both, self.text):
+                    if m[0] == opening:
+                        held.append(m.start())
+                    elif held:
+                        self._closing[held.pop()] = m.start()
+        return self._closing.get(at, -1)
+
+    def _annotated(self, at: int) -> int:
+        """The place of the = behind an annotation that begins at `at`, or -1:
+        names with brackets of any depth, joined by |."""
+        if at < self._untyped:
+            return -1
+        text, plain = self.text, True
+        while atom := _ATOM.match(text, at):
+            at = atom.end()
+            while text[at:at + 1] in ("[", "<"):
+                at, plain = self._close(at) + 1, False
+                if not at:
+                    return -1
+            if equals := _EQUALS.match(text, at):
+                return equals.end()
+            if not (union := _UNION.match(text, at)):
+                break
+            at = union.end()
+        if plain:
+            self._untyped = at
+        return -1
 
     def _give(self, targets: list[str], pieces: list[Piece]) -> None:
         if not pieces:
@@ -94,55 +150,106 @@ class Lexer:
         if name >= NEEDED_NAME and name + literal_score(value) >= NEEDED_SCORE:
             self.found.update(pieces)
 
-    def _line(self, at: int, end: int) -> None:
-        for tag in _TAG.finditer(self.text, at, end):
+    def _line(self, at: int, end: int) -> int:
+        """Lexes a line, and the next ones while a value is pending; returns
+        the end of the last."""
+        text = self.text
+        for tag in _TAG.finditer(text, at, end):
             self._give([tag[1]], [tag.span(2)])
         targets: list[str] = []  # names that wait for a value
         last = ""  # a name that a sign may follow
         pieces: list[Piece] = []
-        joined = signed = False
-        while token := _TOKEN.search(self.text, at, end):
+        before: list[str] = []  # names before the brackets that are open
+        joined = signed = colon = grouped = False
+        while True:
+            token = _TOKEN.search(text, at)
+            if token is None or token.start() >= end:
+                follows = _NEXT.match(text, end) if signed else None
+                if follows is None:
+                    break
+                word = follows["word"]
+                if follows["plus"]:
+                    if not pieces or (word and word not in self.known):
+                        break
+                    joined = True
+                elif not joined and not (grouped and follows["str"]):
+                    break
+                begin, end = end, self._end(follows.end())
+                for tag in _TAG.finditer(text, begin, end):
+                    self._give([tag[1]], [tag.span(2)])
+                continue
             kind, at = token.lastgroup, token.end()
             if kind == "sign" and token[0] in ("=", ":", ":=", "=>"):
                 if signed and pieces and not last:
                     self._give(targets, pieces)
                     targets = []
+                if not signed or (grouped and not last):
+                    targets = []
                 if last:
-                    if not signed:
-                        targets = []
                     targets.append(last)
-                signed, pieces, last, joined = bool(targets), [], "", True
+                signed, pieces, last, joined, colon, grouped = bool(targets), [], "", True, token[0] == ":", False
             elif kind == "plus":
                 joined = True
             elif kind == "str":
                 span = (token.start() + 1, token.end() - 1)
-                if signed and joined:
+                if signed and joined and not pieces and token[0] in ('""', "''") and text[at:at + 1] == token[0][0]:
+                    close = text.find(token[0][0] * 3, at + 1)
+                    if close >= 0:  # three quotes
+                        self._give(targets, [(at + 1, close)])
+                        if close > end:  # its lines are read too
+                            targets, signed, last, joined, at = [], False, "", False, at + 1
+                            continue
+                        span, at = (at + 1, close), close + 3
+                content = text[slice(*span)]
+                if signed and colon and joined and not pieces and _QUOTED_TYPE.match(text, at):
+                    continue
+                elif signed and (joined or grouped) and not (grouped and _NAME.fullmatch(content) and _KEY.match(text, at)):
                     pieces = [*pieces, span]
                     last, joined = "", False
+                    if _NAME.fullmatch(content) and text[at:at + 1] == ":":
+                        last = content
                 else:
                     self._give(targets, pieces) if signed else None
-                    targets, signed, pieces, last = [], False, [], self.text[slice(*span)]
-                if not signed and not _NAME.fullmatch(last):
-                    last = ""
-                elif signed and _NAME.fullmatch(self.text[slice(*span)]) and self.text[at:at + 1] == ":":
-                    last = self.text[slice(*span)]
-            elif kind == "word" and signed and joined:
+                    targets, signed, pieces = [], False, []
+                    last = content if _NAME.fullmatch(content) else ""
+            elif kind == "word" and signed and token[0] == "\\" and text[at:at + 2].lstrip("\r")[:1] == "\n":
+                joined = joined or bool((follows := _NEXT.match(text, at)) and follows["str"])  # the line goes on
+            elif kind == "word" and signed and joined and not (grouped and _NAME.fullmatch(token[0]) and _KEY.match(text, at)):
                 word = token[0]
-                if word in self.known:
+                if (glued := _GLUED.match(text, token.start())) and glued.end() == at:
+                    continue
+                if _NAME.fullmatch(word) and not pieces and _CHAIN.match(text, at):
+                    last, joined = word, False  # another name, or a type between the name and its value
+                elif colon and not pieces and (equals := self._annotated(token.start())) >= 0:
+                    at, end = equals, max(end, self._end(equals))  # a longer type
+                elif word in self.known:
                     pieces, last, joined = [*pieces, *self.known[word]], "", False
-                elif _NAME.fullmatch(word) and re.match(r"\s*=", self.text[at:end]) and not pieces:
-                    last, joined = word, False  # a type between the name and its value
+                elif colon and not pieces and _BLOCK.match(text, token.start()):
+                    continue
                 else:
-                    bare = _BARE.match(self.text, token.start(), end)
+                    bare = _BARE.match(text, token.start(), end)
                     at = bare.end()
                     pieces, last, joined = [*pieces, bare.span()], "", False
+            elif token[0] == "(" and signed and joined and not pieces:
+                grouped = True
             elif kind == "word" or kind == "end":
                 if signed:
                     self._give(targets, pieces)
-                targets, signed, pieces, joined = [], False, [], False
-                last = token[0] if kind == "word" and _NAME.fullmatch(token[0]) else ""
+                name, open_name = "", last
+                if kind == "word":
+                    name = token[0] if _NAME.fullmatch(token[0]) else ""
+                elif token[0] == "[":
+                    before.append(open_name)
+                elif token[0] == "]" and before:
+                    owner = before.pop()
+                    if owner:  # the key or the name before the bracket, what says more
+                        name = max(open_name, owner, key=name_score) if open_name else owner
+                    elif text[token.start() - 1] in "\"'`":
+                        name = open_name
+                targets, signed, pieces, joined, grouped, last = [], False, [], False, False, name
         if signed:
             self._give(targets, pieces)
+        return end
 
 
 def find(text: str) -> list[tuple[int, int, str]]:

@@ -155,6 +155,40 @@ def test_lexed_literals(text, literals):
     assert not any(x in secrets.redacted(text) for x in literals)
 
 
+V = "Zk3Lm9Pq2Xw7"
+
+
+@pytest.mark.parametrize("text", [
+    f'config["db_password"] = "{V}"', f"os.environ['API_TOKEN'] = '{V}'", f"$c['password'] = '{V}';", f'char password[] = "{V}";', f'char password[32] = "{V}";',
+    f'secret["prod"] = "{V}"', f'a[0]["db_password"] = "{V}"', f'{{["password"] = "{V}"}}', f'x = d["password"] = "{V}"',
+    f'AUTH_SECRET = b"{V}"', f'AUTH_SECRET = f"{V}"', f"auth_secret: rb'{V}'", f'wchar_t *p, password_[] = L"{V}"', f'd[b"password"] = b"{V}"', f'SECRET = $"{V}"', f'SECRET = """{V}"""', f'SECRET = r#"{V}"#',
+    f'password: Optional[str] = "{V}"', f'password: dict[str, list[tuple[int, Optional[str]]]] | None = "{V}"', f'password: Foo<Bar<string>> = "{V}"', f'password: "Optional[str]" = "{V}"',
+    f'password: str | None = "{V}"', f'password: Annotated[\n    str, 1\n] = "{V}"', f'def f(self, password: Optional[str] = b"{V}"):', f'let password: &\'static str = "{V}";', f'val password: String? = "{V}"',
+    f'password =\n    "{V}"\n', f'{{"password":\n\n  "{V}", "a": 1}}', f'password = (\n    "{V}"\n)', f'password = \\\n    "{V}"', f'password:\n  {V}\nuser: x', f'password: >-\n  {V}\n', f'password =\r\n  b"{V}"\r\n',
+    f'K1 = "{V}"\nclient.secret_key =\n  K1\n', f'credentials:\n  api_key: {V}\n', f'auth = ("password" => "{V}")', f'T = """\npassword_: "{V}"\n"""', f'SECRET=\nNEXT_TOKEN="{V}"', f'x = (password: "{V}", a: 1)', f'const password: string =\n  "{V}";'])
+def test_lexed_forms(text):
+    assert [text[a:z] for a, z, k in secrets.find(text) if k == "lexed"] == [V]
+    assert V not in secrets.redacted(text)
+
+
+@pytest.mark.parametrize("text,literals", [
+    ('password = "Zk3Lm9" +\n  "Pq2Xw7"', ["Zk3Lm9", "Pq2Xw7"]), ('password = "Zk3Lm9"\n  + b"Pq2Xw7";', ["Zk3Lm9", "Pq2Xw7"]), ('password = (\n "Zk3Lm9"\n "Pq2Xw7"\n)', ["Zk3Lm9", "Pq2Xw7"]),
+    ('password: str = "Zk3Lm9Pq2Xw7"\napi_key: str = "Yk3Lm9Pq2Xw7"', ["Zk3Lm9Pq2Xw7", "Yk3Lm9Pq2Xw7"]), ('INFO: token = "Zk3Lm9Pq2Xw7"', ["Zk3Lm9Pq2Xw7"]),
+    ('password = "Zk3Lm9" \\\n  "Pq2Xw7"', ["Zk3Lm9", "Pq2Xw7"]), ("signing_secret: abCd1234Efgh567=\n", ["abCd1234Efgh567="]),
+    ('password: "Zk3Lm9Pq2Xw7"\n+ other_token: "Yk3Lm9Pq2Xw7"', ["Zk3Lm9Pq2Xw7", "Yk3Lm9Pq2Xw7"]), ("[password]: https://host/Zk3Lm9Pq2Xw7", []), ('password:\n"user_name1": "x"\n', [])])
+def test_lexed_over_lines(text, literals):
+    assert [text[a:z] for a, z, k in secrets.find(text) if k == "lexed"] == literals
+
+
+def test_lexer_time_follows_the_text():
+    import time
+
+    for unit in ("a:x[", "a::b", 'p="""', '\\"""', "a: b|", "token=\n", "[password]=", "word ", "p=(", "<a:x<", 'a:"', "p='\n+", "a[", "x: (\n"):
+        began = time.process_time()
+        secrets.find("k: v " + unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 6, unit
+
+
 def test_secret_tables(awkward, nothing):
     got = {r["doc_id"]: r for r in secrets.scan(awkward).where("doc_id IS NOT NULL").collect()}
     assert (got[9]["n_assign"], got[9]["n_hex"], got[9]["n_lexed"]) == (2, 1, 2)
