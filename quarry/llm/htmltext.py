@@ -9,13 +9,16 @@ below, whose rows are made up for the purpose.
 
 Defined results: a null or empty page, or one without main text, has an empty
 text; tags that are never closed end with what encloses them; script, style
-and other non-text elements are skipped whole; repeated rows repeat; an empty
+and other non-text elements are skipped whole, and without an end tag the raw
+ones of them (script, style, iframe, textarea, title) take the rest of the
+page, the others end at the next block as well; repeated rows repeat; an empty
 table gives an empty one; other columns are left behind.
 """
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,6 +32,10 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template svg math canvas iframe object audio video textarea select title head button datalist map".split())
+#: Those of them whose content is no markup: only their own end tag ends them.
+RAW_TEXT = frozenset("script style iframe textarea title".split())
+#: Tags that end a skipped element without an end tag, as does the end of what encloses it.
+_BEGINS = frozenset("article main section p h1 h2 h3 h4 h5 h6 div ul ol dl table blockquote pre figure header footer nav aside form address hr".split())
 #: Elements that leave a block whole.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
@@ -67,6 +74,47 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Behind the end tag of an element whose content is no markup."""
+    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _closed(page: str) -> dict[int, int]:
+    """Where the skipped elements with markup inside end, by where they
+    begin; those without an end tag of their own are left out."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depth: Counter[str] = Counter()
+    at = 0
+    while mark := _MARKUP.search(page, at):
+        at = mark.end()
+        if mark[2] is None:
+            continue
+        tag = mark[2].lower()
+        if mark[1]:
+            if depth[tag]:
+                while True:
+                    was, start = stack.pop()
+                    depth[was] -= 1
+                    if was == tag:
+                        break
+                if tag in SKIPPED:
+                    out[start] = at
+        elif not mark[3].rstrip().endswith("/"):
+            if tag in RAW_TEXT:
+                at = _raw_end(page, tag, at)
+            elif tag not in VOID:
+                if tag in ("button", "select") and depth[tag]:  # one inside another: the first was never closed
+                    k = max(i for i, (t, _) in enumerate(stack) if t == tag)
+                    depth[tag] -= 1
+                    depth[""] += 1
+                    stack[k] = ("", -1)
+                stack.append((tag, mark.start()))
+                depth[tag] += 1
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's flat text blocks, in order."""
     out: list[Block] = []
@@ -74,6 +122,8 @@ def blocks_of(page: str) -> list[Block]:
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in the article, in furniture
     anchors = 0
+    closed: dict[int, int] | None = None
+    unclosed = False  # a skipped element is on the stack
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -103,8 +153,17 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (at if tag == "head" else len(page))
+                if tag == "head":
+                    end = re.compile(r"</head\b[^>]*>", re.I).search(page, at)
+                    at = end.end() if end else at
+                elif tag in RAW_TEXT:
+                    at = _raw_end(page, tag, at)
+                else:
+                    closed = _closed(page) if closed is None else closed
+                    at = closed.get(mark.start(), at)
+                    if at == mark.end():  # never closed: furniture up to what ends it
+                        stack.append((tag, bool(stack and stack[-1][1]), True))
+                        unclosed = True
             continue
         if tag == "br":
             parts.append(" ")
@@ -117,6 +176,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         anchors = 0
+        if unclosed and not closing and tag in _BEGINS:
+            del stack[next((i for i, (t, _, _) in enumerate(stack) if t in SKIPPED), len(stack)):]
+            unclosed = False
         if tag in VOID or (not closing and attributes.rstrip().endswith("/")):
             continue
         _, article, furniture = stack[-1] if stack else ("", False, False)

@@ -219,6 +219,20 @@ def test_main_text():
     assert htmltext.main_text(plain, tree) == " ".join(["word"] * 60) + "\n" + " ".join(["more"] * 50)
 
 
+@pytest.mark.parametrize("tag", sorted(htmltext.SKIPPED - htmltext.RAW_TEXT - {"head"}))
+def test_skipped_element_without_end(tag):
+    tree = htmltext.grow(htmltext.LABELLED)
+    article = "<article><h1>Head</h1><p>Text of it</p></article>"
+    other = f"<{tag}>Other</{tag}>"
+    for page in (f"<nav><ul><li><{tag}>Menu</ul></nav>{article}", f"<body><{tag} class=x>Menu {article}</body>", f"<div><{tag}>Menu</div>{article}<div>{other}</div>",
+                 f"<{tag}>Menu{article}{other}", f"{other}{article}<nav><{tag}>Menu</nav>", f"<article><h1>Head</h1><{tag}>Menu<p>Text of it</p></article>",
+                 f"<article><h1>Head</h1><{tag}><p>Hidden words</p><b>x</b></{tag}><p>Text of it</p></article>"):
+        assert htmltext.main_text(page, tree) == "Head\nText of it", page
+    plain = "<p>" + "word " * 60 + "</p><p>" + "more " * 50 + "</p>"
+    assert htmltext.main_text(f"<body><{tag}>Menu{plain}</body>", tree) == htmltext.main_text(plain, tree) != ""
+    assert htmltext.main_text("<div>" + f"<{tag}>x" * 3000 + article, tree) == "Head\nText of it"
+
+
 def test_pages_against_the_article_element(spark):
     import html
     got = {r["page_id"]: r for r in htmltext.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
