@@ -212,9 +212,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "quality"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())],
                                              names=["doc_id", "quality", "bag"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    copies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # one text of each chosen document, however often its id is repeated
+    least = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")).alias("text")
+    texts = copies.groupBy("doc_id").agg(least, F.first("quality").alias("quality"))
     got = map_arrow(texts, features, "doc_id bigint, quality double, bag binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["bag"])))[:rows]
+    got = sorted(got, key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, N_FEATURES).astype(np.float64) for r in got]
     return fit(bags, np.array([r["quality"] >= 0.5 for r in got], float))
 

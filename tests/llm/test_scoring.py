@@ -126,6 +126,17 @@ def test_spans_map_back_to_the_text():
     assert [text[a:z] for a, z in scan.spans(text)] == ["BROWN fox\tjumps! été"]
 
 
+def test_training_takes_each_document_once(spark, monkeypatch):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % quality.FOLDS][:6]
+    docs = spark.createDataFrame([(i, f"text {k} of {i}") for i in ids for k in range(50 if i == ids[0] else 1)] + [(ids[1], None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((len(bags), y.tolist())))
+    quality.train(docs.repartition(5), labels, rows=6)
+    quality.train(docs.repartition(3), labels, rows=4)
+    assert seen[0] == (6, [0, 1, 0, 1, 0, 1]) and seen[1][0] == 4
+
+
 # secrets
 
 
