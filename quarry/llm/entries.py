@@ -128,3 +128,10 @@ def op7_html_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_pii_spans")
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
