@@ -135,3 +135,10 @@ def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.pii import digest
 
     return digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.repair import report
+
+    return report(table(spark, sf_dir, "conversations"))
