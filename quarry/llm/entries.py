@@ -142,3 +142,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.repair import report
 
     return report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.variants import groups
+
+    return groups(table(spark, sf_dir, "documents"))
