@@ -133,7 +133,8 @@ def test_given_table_and_awkward_rows(spark, awkward, nothing):
 
 
 def test_very_long_words_take_time_by_their_length(spark):
-    word = "".join(random.Random(1).choice("abc") for _ in range(60_000))
+    rng = random.Random(1)
+    word = "".join(rng.choice("abc") for _ in range(60_000))
     words = [word, word[:30_000] + "x" + word[30_001:], word + "a", word[1:], "y" + word[1:]]
     t = time.time()
     got = {(r["word"], r["other"]) for r in variants.near_pairs(vocabulary(spark, words)).collect()}
