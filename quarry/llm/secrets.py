@@ -24,10 +24,10 @@ redaction keeps all of them.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -78,14 +78,62 @@ def name_score(name: str) -> int:
     return sum(NAME_WEIGHTS.get(w.lower(), 0) for w in _PARTS.findall(name))
 
 
-def literal_score(value: str) -> int:
-    """Length, entropy and mix of characters against prose and placeholders."""
-    if len(value) < 8 or PLACEHOLDER.search(value):
-        return -9
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
-    return (n >= 12) + (entropy >= 2.9) + (kinds >= 2) - 2 * any(c.isspace() for c in value) - 2 * (kinds < 2)
+class Value:
+    """A literal, or what several values give side by side.
+
+    Values are shared, never copied: a name that stands for another's value
+    points at it.  What the score needs is additive, so it is worked out once
+    for each value from its parts, and its spans are gathered once at the end,
+    however often a constant is joined with itself."""
+
+    __slots__ = ("span", "parts", "counts", "flags")
+
+    def __init__(self, span: Piece | None = None, parts: tuple[Value, ...] = ()):
+        self.span, self.parts = span, parts
+        self.counts: np.ndarray | None = None  # of code points, by their last seven bits
+        self.flags: set[str] = set()
+
+    def read(self, literal: str) -> None:
+        self.counts = np.bincount(np.frombuffer(literal.encode("utf-32-le"), np.uint32) & 127, minlength=128).astype(np.float32)
+        self.flags = {name for name, f in CHARACTERS.items() if any(map(f, literal))}
+        if PLACEHOLDER.search(literal):
+            self.flags.add("placeholder")
+
+    def weigh(self, text: str) -> None:
+        """Counts and flags of this value and of those it is made of."""
+        waiting = [self]
+        while waiting:
+            value = waiting[-1]
+            if value.counts is not None:
+                waiting.pop()
+            elif value.span is not None:
+                value.read(text[slice(*value.span)])
+            elif unread := [p for p in value.parts if p.counts is None]:
+                waiting += unread
+            else:
+                value.counts = sum(p.counts for p in value.parts)
+                if value.counts.sum() > 1e30:  # a constant doubled a hundred times
+                    value.counts /= np.float32(1e20)
+                value.flags = set().union(*(p.flags for p in value.parts))
+
+    def score(self) -> int:
+        """Length, entropy and mix of characters against prose and placeholders."""
+        n = self.counts.sum()
+        if n < 8 or "placeholder" in self.flags:
+            return -9
+        shares = self.counts[self.counts > 0] / n
+        entropy = -float((shares * np.log2(shares)).sum())
+        kinds = len(self.flags & {"lower", "upper", "digit"})
+        return int(n >= 12) + (entropy >= 2.9) + (kinds >= 2) - 2 * ("space" in self.flags) - 2 * (kinds < 2)
+
+
+CHARACTERS = {"lower": str.islower, "upper": str.isupper, "digit": str.isdigit, "space": str.isspace}
+
+
+def literal_score(literal: str) -> int:
+    value = Value()
+    value.read(literal)
+    return value.score()
 
 
 class Lexer:
@@ -93,8 +141,8 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text = text
-        self.known: dict[str, list[Piece]] = {}
-        self.found: set[Piece] = set()
+        self.known: dict[str, Value] = {}
+        self._secret: list[Value] = []
         self._closing: dict[int, int] | None = None
         self._untyped = 0  # no annotation begins before this place
         at = 0
@@ -140,25 +188,36 @@ class Lexer:
             self._untyped = at
         return -1
 
-    def _give(self, targets: list[str], pieces: list[Piece]) -> None:
+    def found(self) -> set[Piece]:
+        """The spans of all literals that secrets are made of."""
+        seen, waiting = set(map(id, self._secret)), list(self._secret)
+        for value in waiting:
+            fresh = [p for p in {id(p): p for p in value.parts}.values() if id(p) not in seen]
+            seen.update(map(id, fresh))
+            waiting += fresh
+        return {value.span for value in waiting if value.span is not None}
+
+    def _give(self, targets: list[str], pieces: list[Value]) -> None:
         if not pieces:
             return
+        value = pieces[0] if len(pieces) == 1 else Value(parts=tuple(pieces))
         for name in targets:
-            self.known[name] = pieces
-        value = "".join(self.text[a:z] for a, z in pieces)
+            self.known[name] = value
         name = max(map(name_score, targets))
-        if name >= NEEDED_NAME and name + literal_score(value) >= NEEDED_SCORE:
-            self.found.update(pieces)
+        if name >= NEEDED_NAME:
+            value.weigh(self.text)
+            if name + value.score() >= NEEDED_SCORE:
+                self._secret.append(value)
 
     def _line(self, at: int, end: int) -> int:
         """Lexes a line, and the next ones while a value is pending; returns
         the end of the last."""
         text = self.text
         for tag in _TAG.finditer(text, at, end):
-            self._give([tag[1]], [tag.span(2)])
+            self._give([tag[1]], [Value(tag.span(2))])
         targets: list[str] = []  # names that wait for a value
         last = ""  # a name that a sign may follow
-        pieces: list[Piece] = []
+        pieces: list[Value] = []
         before: list[str] = []  # names before the brackets that are open
         joined = signed = colon = grouped = False
         while True:
@@ -176,7 +235,7 @@ class Lexer:
                     break
                 begin, end = end, self._end(follows.end())
                 for tag in _TAG.finditer(text, begin, end):
-                    self._give([tag[1]], [tag.span(2)])
+                    self._give([tag[1]], [Value(tag.span(2))])
                 continue
             kind, at = token.lastgroup, token.end()
             if kind == "sign" and token[0] in ("=", ":", ":=", "=>"):
@@ -195,7 +254,7 @@ class Lexer:
                 if signed and joined and not pieces and token[0] in ('""', "''") and text[at:at + 1] == token[0][0]:
                     close = text.find(token[0][0] * 3, at + 1)
                     if close >= 0:  # three quotes
-                        self._give(targets, [(at + 1, close)])
+                        self._give(targets, [Value((at + 1, close))])
                         if close > end:  # its lines are read too
                             targets, signed, last, joined, at = [], False, "", False, at + 1
                             continue
@@ -204,7 +263,7 @@ class Lexer:
                 if signed and colon and joined and not pieces and _QUOTED_TYPE.match(text, at):
                     continue
                 elif signed and (joined or grouped) and not (grouped and _NAME.fullmatch(content) and _KEY.match(text, at)):
-                    pieces = [*pieces, span]
+                    pieces.append(Value(span))
                     last, joined = "", False
                     if _NAME.fullmatch(content) and text[at:at + 1] == ":":
                         last = content
@@ -223,13 +282,15 @@ class Lexer:
                 elif colon and not pieces and (equals := self._annotated(token.start())) >= 0:
                     at, end = equals, max(end, self._end(equals))  # a longer type
                 elif word in self.known:
-                    pieces, last, joined = [*pieces, *self.known[word]], "", False
+                    pieces.append(self.known[word])
+                    last, joined = "", False
                 elif colon and not pieces and _BLOCK.match(text, token.start()):
                     continue
                 else:
                     bare = _BARE.match(text, token.start(), end)
                     at = bare.end()
-                    pieces, last, joined = [*pieces, bare.span()], "", False
+                    pieces.append(Value(bare.span()))
+                    last, joined = "", False
             elif token[0] == "(" and signed and joined and not pieces:
                 grouped = True
             elif kind == "word" or kind == "end":
@@ -262,7 +323,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if signs or "</" in text:
-        spans += [(a, z, "lexed") for a, z in Lexer(text).found]
+        spans += [(a, z, "lexed") for a, z in Lexer(text).found()]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

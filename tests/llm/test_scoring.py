@@ -194,12 +194,28 @@ def test_lexed_over_lines(text, literals):
 def test_lexer_time_follows_the_text():
     import time
 
-    for unit in ("a:x[", "a::b", 'p="""', '\\"""', "a: b|", "token=\n", "[password]=", "word ", "p=(", "<a:x<", 'a:"', "p='\n+", "a[", "x: (\n"):
+    for unit in ("a:x[", "a::b", 'p="""', '\\"""', "a: b|", "token=\n", "[password]=", "word ", "p=(", "<a:x<", 'a:"', "p='\n+", "a[", "x: (\n", "a=a+a\n", "a=a+b\nb=b+a\n", "password=password+a\n", 'token="a1"+token\n'):
         began = time.process_time()
         secrets.find("k: v " + unit * (200_000 // len(unit)))
         assert time.process_time() - began < 6, unit
 
 
+def test_constants_joined_with_themselves():
+    """Doubling, Fibonacci and growing chains: the spans are those of the literals, in time that follows the text."""
+    import time
+
+    began = time.process_time()
+    for chain, want in [("a = a + a\n" * 400, [V]), ("b = a + b\na = b + a\n" * 400, [V, "Yk3Lm9Pq2Xw8"]),
+                        ('a = a + "x1"\n' * 20_000, [V, *["x1"] * 20_000]), ('a = "y2"' + ' + "z3"' * 20_000 + "\n", ["y2", *["z3"] * 20_000])]:
+        text = f'a = "{V}"\nb = "Yk3Lm9Pq2Xw8"\n{chain}password = a\n'
+        assert [text[z:y] for z, y, k in secrets.find(text) if k == "lexed"] == want
+    assert time.process_time() - began < 12
+    text = f'a = "{V}"\n' + "a = a + a\n" * 100 + "password = a\n"
+    began = time.process_time()
+    assert [text[z:y] for z, y, k in secrets.find(text) if k == "lexed"] == [V]
+    assert time.process_time() - began < 0.1
+
+
 def test_secret_tables(awkward, nothing):
     got = {r["doc_id"]: r for r in secrets.scan(awkward).where("doc_id IS NOT NULL").collect()}
     assert (got[9]["n_assign"], got[9]["n_hex"], got[9]["n_lexed"]) == (2, 1, 2)
