@@ -8,9 +8,8 @@ labels, so encoder, attention and output are learnt together from them.
 
 The model is fitted with numpy at the driver on a bounded sample: at most
 `TRAIN_ROWS` labelled documents (those with the least hash of doc_id among the
-rows that may be learnt from), each with at most `TRAIN_PASSAGES` passages
-spread evenly over its text.  Scoring has no such bounds.  Nothing but the
-text enters a score.
+rows that may be learnt from), each with its whole text.  Scoring has no such
+bound.  Nothing but the text enters a score.
 
 Defined results: a null, empty or white text is a bag of one blank passage and
 gets a score; without labels of both classes every score is their mean (0.5
@@ -31,7 +30,6 @@ from quarry.llm.common import column, map_arrow, text_blocks, texts_of
 
 PASSAGE_WORDS = 64
 TRAIN_ROWS = 4000
-TRAIN_PASSAGES = 512
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -130,7 +128,12 @@ class Model:
     def scores(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not self.w:
             return np.full(len(at), float(self.mean[0]))
-        return forward(self.w, (rows - self.mean) / self.scale, at)["p"]
+        return forward(self.w, standardised(rows, self.mean, self.scale), at)["p"]
+
+
+def standardised(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What the encoder sees, in training and in scoring alike."""
+    return np.clip((rows - mean) / scale, -8, 8)
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -170,7 +173,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
         return Model(np.array([labels.mean() if len(labels) else 0.5]), np.ones(1), {})
     rows = np.concatenate(bags)
     mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-3
-    bags = [np.clip((b - mean) / scale, -8, 8) for b in bags]
+    bags = [standardised(b, mean, scale) for b in bags]
     rng = np.random.default_rng(seed)
     shapes = {"W": (rows.shape[1], hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "a": (gate,), "c": (hidden,)}
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) * (k != "b") for k, s in shapes.items()}
@@ -208,7 +211,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for block in text_blocks(batch):
             x, at = encode(texts_of(block))
             bags = np.split(x, at[1:])
-            bags = [b if len(b) <= TRAIN_PASSAGES else b[np.linspace(0, len(b) - 1, TRAIN_PASSAGES).astype(int)] for b in bags]
             yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "quality"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())],
                                              names=["doc_id", "quality", "bag"])
 
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _scored(model: Model, texts: list[str]) -> np.ndarray:
     x, at = encode(texts)
-    return model.scores(np.clip(x, -1e6, 1e6).astype(np.float64), at)
+    return model.scores(x.astype(np.float64), at)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -251,10 +251,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
     """doc_id, text_key, fp, component_id, keep_key: the component's least
-    doc_id, and the text key of the row that stands for the component."""
+    doc_id, and the text key of the row that stands for the component (of a
+    component without any doc_id, its least text key)."""
     rows = written(fingerprints(docs, k), "fingerprints")
-    row = F.struct("doc_id", "text_key")
-    distinct = written(rows.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("first")), "distinct-fps")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    distinct = written(rows.groupBy("fp").agg(F.min(row).alias("first")), "distinct-fps")
     roots = components(links(distinct.select("fp"), radius))
     named = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least"))
@@ -268,13 +269,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the least doc_id of each component, once each.
-    A component without any doc_id keeps its rows."""
-    kept = written(grouped(docs).select("component_id", "keep_key").where("component_id IS NOT NULL").distinct(), "keepers")
+    """One document of each component: that with the least doc_id, or, where
+    no member has a doc_id, one with the least text key."""
+    kept = written(grouped(docs).select("component_id", "keep_key").distinct(), "keepers")
     key = "text_key"
     while key in docs.columns:
         key += "_"
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    stay = (keyed.join(kept.select(F.col("component_id").alias("doc_id"), F.col("keep_key").alias(key)), ["doc_id", key], "left_semi")
-            .dropDuplicates(["doc_id", key]))
-    return stay.unionByName(keyed.where("doc_id IS NULL")).select(*docs.columns)
+    named = kept.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id"), F.col("keep_key").alias(key))
+    nameless = kept.where("component_id IS NULL").select(F.col("keep_key").alias(key))
+    stay = keyed.join(named, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    alone = keyed.where("doc_id IS NULL").join(nameless, key, "left_semi").select(keyed.columns).dropDuplicates([key])
+    return stay.select(keyed.columns).unionByName(alone).select(*docs.columns)

@@ -47,6 +47,41 @@ def test_a_text_is_encoded_alone_as_among_others():
     assert np.isfinite(rows).all()
 
 
+def plain_features(words):
+    """A passage's shares of characters and shapes of words, by loops; `words` with the white space behind each."""
+    data = b"".join(w + gap for w, gap in words)
+    classes = [c.encode() for c in quality._CLASSES]
+    kind = lambda b: len(classes) if b >= 128 else next((k for k, c in enumerate(classes) if bytes([b]) in c), quality.N_CLASSES - 1)
+    counts = [0] * quality.N_CLASSES
+    for b in data:
+        counts[kind(b)] += 1
+    n, only = len(words), [w for w, _ in words]
+    ends = [w[-1] for w in only]
+    shapes = [sum(map(len, only)) / 8, sum(len(w) ** 2 for w in only) / 64, sum(a == b for a, b in zip(only, only[1:])), len(set(only)),
+              sum(65 <= w[0] <= 90 for w in only), sum(not (b >= 128 or kind(b) < 3) for b in ends), sum(len(w) == 1 for w in only)]
+    return [c / len(data) for c in counts] + [x / n for x in shapes] + [n / quality.PASSAGE_WORDS]
+
+
+def test_encoder_and_score_against_loops():
+    text = "The cat, the cat cat sat.\n\nÉtait-il $$ 42? a B | x*y " * 9 + "end"
+    rows, at = quality.encode([text, "@@@@ ####"])
+    words = re.findall(rb"([^ \t\n\r\x0b\x0c]+)([ \t\n\r\x0b\x0c]*)", text.encode())
+    words[-1] = (words[-1][0], b"\n")  # the text's end counts as one line end
+    want = [plain_features(words[i:i + quality.PASSAGE_WORDS]) for i in range(0, len(words), quality.PASSAGE_WORDS)]
+    assert np.allclose(rows[:at[1], :quality.N_CLASSES + quality.N_SHAPE], want, atol=1e-6)
+    bags = [quality.encode([t])[0].astype(float) for t in ["plain words of a text here", "more of the plain words", "also some plain words there", "yet more plain words in it"] * 3]
+    model = quality.fit(bags, np.array([0, 1, 0, 1] * 3, float), epochs=2)
+    for bag in np.split(rows.astype(float), at[1:]):
+        weights, hidden = [], []
+        for x in bag:
+            x = np.array([min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)])  # as in training
+            h = np.tanh(x @ model.w["W"] + model.w["b"])
+            weights.append(np.exp((np.tanh(h @ model.w["V"]) / (1 + np.exp(-(h @ model.w["U"])))) @ model.w["a"]))
+            hidden.append(h)
+        z = sum(a * h for a, h in zip(weights, hidden)) / sum(weights)
+        assert abs(1 / (1 + np.exp(-(z @ model.w["c"] + model.w["bias"]))) - model.scores(bag, np.array([0]))[0]) < 1e-9
+
+
 def test_held_out_accuracy_and_fold():
     got = duckdb.sql(f"SELECT d.doc_id, text, quality FROM '{SF}/documents.parquet' d JOIN '{SF}/labels.parquet' USING (doc_id) ORDER BY 1").fetchall()
     fold = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in got])

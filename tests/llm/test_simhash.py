@@ -48,11 +48,18 @@ def test_near_duplicates(awkward, nothing):
 def test_one_of_each(awkward, nothing):
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
-    # rows 1 and 2 are equal, 3 to 5 have no words, 8 is there twice; null ids stay
-    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([1, 3, 6, 7, 8, 9, -5, 10, None, None], key=str)
+    # rows 1 and 2 are equal, 3 to 5 have no words, 8 is there twice; of the two without an id, one equals 3
+    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([1, 3, 6, 7, 8, 9, -5, 10, None], key=str)
     assert simhash.one_of_each(nothing).collect() == []
 
 
+def test_one_of_each_without_ids(spark):
+    """Copies without an id go with a copy that has one; without any, one of them stays."""
+    t, u = "a text that is here four times over", "another text that nobody has numbered"
+    df = spark.createDataFrame([(1, t), (None, t), (None, t), (2, t), (None, u), (None, u), (3, "a third text with a number")], "doc_id bigint, text string").repartition(3)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(df).collect()) == sorted([(1, t), (0, u), (3, "a third text with a number")])
+
+
 def test_close_pairs_against_brute_force():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
