@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
+from quarry.operators.ml import ordered_row_number
 
 SHARDS = 16
 PART_ITEMS = 8192
@@ -85,7 +86,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).select(
         "doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n_words"), F.xxhash64("text").alias("key"))
+        F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n_words"), F.xxhash64("text").alias("key"),
+        F.monotonically_increasing_id().alias("row"))  # tells equal rows apart once written
     rows = written(rows, "sizes")
     group = ["key", "text_crc32", "size"]
     groups = written(rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("n_words").alias("n_words")), "groups")
@@ -95,18 +97,21 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     pieces = F.ceil(F.greatest(F.col("n") * F.col("size") / most[0], F.col("n") * F.col("n_words") / most[1], F.col("n") / most[2]))
     # at most 3 * shards / PIECE_SHARE groups are over the limit in one of three dimensions
     large = groups.where("n > 1").withColumn("pieces", pieces).where("pieces > 1").select(*group, F.least("pieces", "n").alias("pieces"))
-    cut = rows.join(F.broadcast(large), group, "left").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+    mine = rows.join(F.broadcast(large), group, "left")
+    # rows of a cut group are numbered, so that its pieces are equal however often a doc_id is repeated
+    numbered = ordered_row_number(mine.where("pieces IS NOT NULL"), group, ["doc_id", "row"], "nth").withColumn("piece", F.pmod("nth", "pieces"))
+    whole = mine.where("pieces IS NULL").withColumn("nth", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0).cast("bigint"))
+    cut = whole.unionByName(numbered).drop("pieces", "row")
     cut = written(cut.withColumn("item", F.xxhash64("key", "text_crc32", "size", "piece")), "pieces")
     items = written(cut.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("n_words").alias("tokens"), F.count("*").alias("n_rows")), "items")
-    placed = written(cut.join(shards_of(items, shards), "item").select("doc_id", "size", "text_crc32", "key", "shard"), "placed")
+    placed = written(cut.join(shards_of(items, shards), "item").select("doc_id", "size", "text_crc32", "key", "nth", "shard"), "placed")
     # slots: row numbers inside small hashed parts of a shard, after what earlier parts hold
     spread = n_rows // (shards * SLOT_ROWS) + 1
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "doc_id"), F.lit(spread)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "doc_id", "nth"), F.lit(spread)))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "part").count()
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "key")
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "key", "nth")
     return (placed.withColumn("n", F.row_number().over(inside)).join(offsets, ["shard", "part"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).cast("bigint").alias("slot"),
                     F.lit(None).cast("int").alias("grown_shard")))

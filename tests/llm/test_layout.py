@@ -131,6 +131,19 @@ def test_shards_are_near_equal_with_a_hot_group(spark, monkeypatch):
     assert max(sizes.values()) / min(sizes.values()) < 1.01
 
 
+def test_shards_with_one_row_repeated(spark):
+    """Half of all rows are one row, with one doc_id or none: its copies are dealt evenly."""
+    texts = [(i, " ".join(f"w{(i * 37 + j * j) % 99}" for j in range(20 + i % 40))) for i in range(1000)]
+    for copy in (7, None):
+        got = binpack.assign(spark.createDataFrame(texts + [(copy, "same row " * 20)] * 1000, "doc_id bigint, text string").repartition(5)).collect()
+        total = sum(r["size"] for r in got)
+        shards = {s: [r for r in got if r["shard"] == s] for s in range(16)}
+        assert all(abs(sum(r["size"] for r in v) - total / 16) < 0.01 * total / 16 for v in shards.values())
+        assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in shards.values())
+    letters = binpack.assign(spark.createDataFrame([(i, "x") for i in range(10)], "doc_id bigint, text string")).collect()
+    assert len({r["shard"] for r in letters}) == 10
+
+
 def test_place_takes_the_highest_dot_product():
     v = np.array([[0.5, 0.1, 0.2], [0.3, 0.5, 0.4], [0.2, 0.4, 0.4]])
     left, want = np.full((2, 3), 0.5), []
