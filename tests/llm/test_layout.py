@@ -193,7 +193,7 @@ def test_perspectives(spark):
 
 def test_registry():
     names = sorted(int(n[2:].split("_")[0]) for n in queries())
-    assert names == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert names == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_pipeline_stages(spark, awkward):
