@@ -19,16 +19,30 @@ BINS = 512
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
-    """For each column its quantiles with linear interpolation; nulls do not
-    count; None where a column has no values."""
-    v = {c: F.col(c).cast("double") for c in cols}
-    one = df.agg(*[f(v[c]).alias(f"{name}{i}") for i, c in enumerate(cols) for name, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    """For each column its quantiles with linear interpolation; nulls and NaN
+    do not count, infinite values stand at the ends; None where a column has
+    no values."""
+    inf = float("inf")
+    v = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols}
+    finite = {c: F.when((v[c] > -inf) & (v[c] < inf), v[c]) for c in cols}
+    parts = (("n", lambda c: F.count(v[c])), ("low", lambda c: F.count_if(v[c] == -inf)), ("high", lambda c: F.count_if(v[c] == inf)),
+             ("a", lambda c: F.min(finite[c])), ("b", lambda c: F.max(finite[c])))
+    one = df.agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(cols) for name, f in parts]).first()
     need = {c: [q * (one[f"n{i}"] - 1) for q in qs] if one[f"n{i}"] else [] for i, c in enumerate(cols)}
+
+    def at_first(i: int, rank: int) -> tuple[float, float, int]:
+        if rank < one[f"low{i}"]:
+            return -inf, -inf, 0
+        if rank >= one[f"n{i}"] - one[f"high{i}"]:
+            return inf, inf, 0
+        return one[f"a{i}"], one[f"b{i}"], one[f"low{i}"]
+
     # (column, rank) -> least value, greatest value, number of values before the least
-    ranges = {(c, r): (one[f"a{i}"], one[f"b{i}"], 0) for i, c in enumerate(cols) for pos in need[c] for r in (math.floor(pos), math.ceil(pos))}
+    ranges = {(c, r): at_first(i, r) for i, c in enumerate(cols) for pos in need[c] for r in (math.floor(pos), math.ceil(pos))}
     while open_ := sorted({(c, a, b, past) for (c, _), (a, b, past) in ranges.items() if a < b}):
         def number(c, a, b):
-            return F.least(F.lit(BINS - 1), F.floor((v[c] - F.lit(a)) / F.lit(b - a) * BINS))
+            half = 0.5 if math.isinf(b - a) else 1.0  # the width itself must be finite
+            return F.least(F.lit(BINS - 1), F.floor((v[c] * half - F.lit(a * half)) / F.lit(b * half - a * half) * BINS))
 
         cuts = F.array(*[F.when((v[c] >= F.lit(a)) & (v[c] <= F.lit(b)), F.struct(F.lit(k).alias("k"), number(c, a, b).alias("bin"), v[c].alias("v")))
                          for k, (c, a, b, _) in enumerate(open_)])

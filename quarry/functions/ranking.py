@@ -3,10 +3,9 @@
 `histogram_rank` ranks a value inside optional groups through the table of
 distinct (group, value) counts: rank_min = rows before the value + 1,
 average rank = rows before + (ties + 1) / 2, pct = average / group size
-(pandas `rank(pct=True)`, nulls excluded).  The window then runs over
-distinct values only, and the result is joined back on (group, value).
-For scores with a bounded number of distinct values (rounded composites,
-rule-based indices) the histogram is tiny whatever the row count.
+(pandas `rank(pct=True)`, nulls excluded).  Inside groups the window runs
+over a group's distinct values; without groups the values are summed range by
+range (`running_sums`).  The result is joined back on (group, value).
 """
 from __future__ import annotations
 
@@ -15,20 +14,45 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize_table
+
+
+def running_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Add `{c}_before` for each column of `sums`: its sum over all rows that
+    stand before by `order` (columns that tell rows apart).
+
+    Rows are range-partitioned by `order` and written once with the number of
+    their range; each range sums its own rows, and the totals of the ranges
+    before it (one row for each range) are added.  No task sees all rows."""
+    x = materialize_table(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "running")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy("_p").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    offsets = totals.select("_p", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in sums])
+    return x.join(offsets, "_p").select(*df.columns, *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums])
+
 
 def histogram_rank(df: DataFrame, value: str, groups: Sequence[str] = (), ascending: bool = True,
                    prefix: str | None = None) -> DataFrame:
     p = prefix or value
     g = list(groups)
     h = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value))).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    if not g:  # one order over all values: summed range by range
+        h = running_sums(h.withColumn("_key", F.col(value) if ascending else -F.col(value)), ["_key"], ["_cnt"])
+        h = h.crossJoin(h.agg(F.sum("_cnt").alias("_n"))).select(value, "_cnt", F.col("_cnt_before").alias("_before"), "_n")
+        return df.join(_ranks(h, [], value, p), on=value, how="left")
     order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
     w_before = Window.partitionBy(*g).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
     h = h.select(*g, value, "_cnt",
                  F.coalesce(F.sum("_cnt").over(w_before), F.lit(0)).alias("_before"),
                  F.sum("_cnt").over(w_all).alias("_n"))
-    h = h.select(*g, value,
-                 (F.col("_before") + 1).cast("long").alias(f"{p}_rank_min"),
-                 (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(f"{p}_rank_avg"),
-                 ((F.col("_before") + (F.col("_cnt") + 1) / 2.0) / F.col("_n")).alias(f"{p}_pct"))
-    return df.join(h, on=[*g, value], how="left")
+    return df.join(_ranks(h, g, value, p), on=[*g, value], how="left")
+
+
+def _ranks(h: DataFrame, g: list[str], value: str, p: str) -> DataFrame:
+    return h.select(*g, value,
+                    (F.col("_before") + 1).cast("long").alias(f"{p}_rank_min"),
+                    (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(f"{p}_rank_avg"),
+                    ((F.col("_before") + (F.col("_cnt") + 1) / 2.0) / F.col("_n")).alias(f"{p}_pct"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.quantiles import exact_quantiles
-from quarry.functions.ranking import histogram_rank
+from quarry.functions.ranking import histogram_rank, running_sums
 from quarry.session import materialize_table
 
 
@@ -131,19 +131,23 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
                                  (F.col("_n") / (F.col("_k") * F.col("count"))).alias("class_weight"))
 
 
-def best_f1_threshold(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Precision / recall / F1 at every distinct score used as the
-    threshold (score >= t), from a histogram of scores and cumulative
-    counts over distinct values; returns the best-F1 row (ties: lower t)."""
+def threshold_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """Precision, recall and F1 at every distinct score used as the threshold
+    (score >= t), from the histogram of scores summed range by range."""
     h = df.groupBy(F.col(score).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum(positive.cast("long")).alias("pos"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = h.agg(F.sum("pos").alias("_P"))
-    h = h.select("t", F.sum("n").over(w).alias("predicted_pos"), F.sum("pos").over(w).alias("tp")).crossJoin(tot)
+    h = running_sums(h.withColumn("_down", -F.col("t")), ["_down"], ["n", "pos"])
+    h = h.crossJoin(h.agg(F.sum("pos").alias("_P"))).withColumns({"predicted_pos": F.col("n_before") + F.col("n"), "tp": F.col("pos_before") + F.col("pos")})
     prec = F.col("tp") / F.col("predicted_pos")
     rec = F.when(F.col("_P") > 0, F.col("tp") / F.col("_P")).otherwise(0.0)
     h = h.select("t", prec.alias("precision"), rec.alias("recall"))
-    h = h.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                  2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    return h.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                     2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def best_f1_threshold(df: DataFrame, score: str, positive: Column, min_recall: float = 0.0) -> DataFrame:
+    """The threshold of best F1 among those whose recall reaches
+    `min_recall` (ties: lower t); no row if none does."""
+    h = threshold_curve(df, score, positive).where(F.col("recall") >= min_recall)
     return h.orderBy(F.col("f1").desc(), F.col("t").asc()).limit(1).withColumnRenamed("t", "threshold")
 
 

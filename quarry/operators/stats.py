@@ -105,24 +105,33 @@ def issue_timeline(issues: DataFrame, log: DataFrame) -> DataFrame:
     return made.unionByName(changed).withColumn("position", F.row_number().over(w))
 
 
-def study_metrics(record: DataFrame, low: float = 90.0) -> DataFrame:
-    """Study metrics, with what its sites say left-joined: the worst
-    site mean, and the sites with a mean under `low`.  Sites are rolled up
-    once; both levels come from that small table but for the site count."""
-    sites = record.groupBy("study_id", "site_id").agg(
-        F.count("*").alias("patients"), F.sum("dqi_score").alias("dqi"), F.count("dqi_score").alias("scored"),
-        *[F.count_if(F.col(c)).alias(n) for c, n in (("tier1_clean", "tier1_clean"), ("tier2_clean", "tier2_clean"), ("dblock_tier1_ready", "ready"))])
-    base = sites.groupBy("study_id").agg(
-        *[F.sum(c).alias(c) for c in ("patients", "tier1_clean", "tier2_clean", "ready")], F.count("site_id").alias("sites"),
-        (F.sum("dqi") / F.sum("scored")).alias("dqi_mean"))
-    mean = F.col("dqi") / F.col("scored")
-    worst = sites.groupBy("study_id").agg(F.min(mean).alias("worst_site_dqi"), F.count_if(mean < low).alias("low_sites"))
-    return base.join(worst, "study_id", "left").withColumn("ready_rate", F.col("ready") * 100.0 / F.col("patients"))
+def study_metrics(patients: DataFrame, dqi: DataFrame, clean: DataFrame, lock: DataFrame, issues: DataFrame, low: float = 90.0) -> DataFrame:
+    """Patients of each study, and left-joined what five other
+    aggregates know of it: its sites (with the worst site mean and the sites
+    under `low`), mean score, clean rates, lock readiness among the eligible,
+    and issue totals; 0 where a table has no row of the study.
+
+    Aggregates of one and the same frame are made in one pass over it."""
+    rate = lambda c: (F.avg(F.col(c).cast("double")) * 100).alias(f"{c.split('_')[0]}_rate")
+    parts = [(dqi, [F.avg("dqi_score").alias("mean_dqi")]), (clean, [rate("tier1_clean"), rate("tier2_clean")]),
+             (lock, [F.count_if("dblock_tier1_ready").alias("lock_ready"), F.count_if("dblock_eligible").alias("lock_eligible")]),
+             (issues, [F.sum("total_issues").alias("total_issues")])]
+    frames: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for frame, aggs in parts:
+        frames.setdefault(id(frame), (frame, []))[1].extend(aggs)
+    out = patients.groupBy("study_id").agg(F.count("*").alias("patients"))
+    sites = dqi.groupBy("study_id", "site_id").agg(F.avg("dqi_score").alias("mean"))
+    sites = sites.groupBy("study_id").agg(F.count("site_id").alias("sites"), F.min("mean").alias("worst_site_dqi"), F.count_if(F.col("mean") < low).alias("low_sites"))
+    out = out.join(sites, "study_id", "left")
+    for frame, aggs in frames.values():
+        out = out.join(frame.groupBy("study_id").agg(*aggs), "study_id", "left")
+    out = out.fillna(0)
+    return out.withColumn("lock_rate", F.when(F.col("lock_eligible") > 0, F.col("lock_ready") * 100.0 / F.col("lock_eligible")).otherwise(0.0))
 
 
 def by_region(metrics: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Site metrics get their region from a lookup with one row per site
-    (its first region by name), sites without one are `Unknown`."""
+    """Site metrics get their region from a lookup of all rows, one per
+    site (its first region by name); sites without one are `Unknown`."""
     one = lookup.groupBy("site_id").agg(F.min("region").alias("region"))
     x = metrics.join(one, "site_id", "left").withColumn("region", F.coalesce("region", F.lit("Unknown")))
     return x.groupBy("region").agg(F.count("*").alias("sites"), F.sum("patients").alias("patients"), F.avg("dqi_mean").alias("mean_of_sites"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from quarry.operators import stats as ST
 from quarry.operators import textops as TX
 from quarry.plans.collab_q import ISSUES_SQL, LOG_SQL
+from quarry.plans.core import rec
 from quarry.plans.gov_q import PRED_SQL
+from quarry.plans.issues_q import ISSUES as ISSUE_ROWS_SQL
+from quarry.plans.issues_q import issue_record
 from quarry.plans.registry import finalize, query
 from quarry.plans.scores_q import ENH, enhanced_record
 from quarry.plans.text_q import SENT_SQL
@@ -103,23 +106,30 @@ def q_x9(spark, sf):
     return finalize(t.select("issue_id", F.to_date("ts").alias("day"), "event", "status", "position"))
 
 
-@query("j6_study_metrics", ENH + """,
-s AS (SELECT study_id, site_id, avg(dqi_score) AS m FROM elock GROUP BY ALL),
-w AS (SELECT study_id, min(m) AS worst_site_dqi, count(*) FILTER (WHERE m < 90) AS low_sites FROM s GROUP BY 1),
-b AS (SELECT study_id, count(*) AS patients, count(DISTINCT site_id) AS sites, avg(dqi_score) AS dqi_mean, count(*) FILTER (WHERE tier1_clean) AS tier1_clean,
-  count(*) FILTER (WHERE tier2_clean) AS tier2_clean, count(*) FILTER (WHERE dblock_tier1_ready) AS ready FROM elock GROUP BY 1)
-SELECT b.study_id, patients, sites, round(dqi_mean, 6) AS dqi_mean, tier1_clean, tier2_clean, ready, round(worst_site_dqi, 6) AS worst_site_dqi, low_sites,
-  round(ready * 100.0 / patients, 6) AS ready_rate FROM b LEFT JOIN w ON w.study_id = b.study_id""")
+@query("j6_study_metrics", ENH + "," + ISSUE_ROWS_SQL + """,
+pt AS (SELECT study_id, count(*) AS patients FROM record GROUP BY 1),
+sm AS (SELECT study_id, site_id, avg(dqi_score) AS m FROM elock GROUP BY ALL),
+si AS (SELECT study_id, count(*) AS sites, min(m) AS worst_site_dqi, count(*) FILTER (WHERE m < 90) AS low_sites FROM sm GROUP BY 1),
+dq AS (SELECT study_id, avg(dqi_score) AS mean_dqi FROM elock GROUP BY 1),
+cl AS (SELECT study_id, avg(CAST(tier1_clean AS DOUBLE)) * 100 AS tier1_rate, avg(CAST(tier2_clean AS DOUBLE)) * 100 AS tier2_rate FROM elock GROUP BY 1),
+lo AS (SELECT study_id, count(*) FILTER (WHERE dblock_tier1_ready) AS lock_ready, count(*) FILTER (WHERE dblock_eligible) AS lock_eligible FROM elock GROUP BY 1),
+ti AS (SELECT study_id, sum(total_issues) AS total_issues FROM iss GROUP BY 1)
+SELECT study_id, patients, coalesce(sites, 0) AS sites, round(coalesce(worst_site_dqi, 0), 6) AS worst_site_dqi, coalesce(low_sites, 0) AS low_sites,
+  round(coalesce(mean_dqi, 0), 6) AS mean_dqi, round(coalesce(tier1_rate, 0), 6) AS tier1_rate, round(coalesce(tier2_rate, 0), 6) AS tier2_rate,
+  coalesce(lock_ready, 0) AS lock_ready, coalesce(lock_eligible, 0) AS lock_eligible, CAST(coalesce(total_issues, 0) AS BIGINT) AS total_issues,
+  round(CASE WHEN lock_eligible > 0 THEN lock_ready * 100.0 / lock_eligible ELSE 0.0 END, 6) AS lock_rate
+FROM pt LEFT JOIN si USING (study_id) LEFT JOIN dq USING (study_id) LEFT JOIN cl USING (study_id) LEFT JOIN lo USING (study_id) LEFT JOIN ti USING (study_id)""")
 def q_j6(spark, sf):
-    return finalize(ST.study_metrics(enhanced_record(spark, sf)))
+    e = enhanced_record(spark, sf)
+    return finalize(ST.study_metrics(rec(spark, sf), e, e, e, issue_record(spark, sf)))
 
 
 @query("j7_region_lookup", ENH + """,
 m AS (SELECT site_id, count(*) AS patients, avg(dqi_score) AS dqi_mean FROM elock GROUP BY 1),
-k AS (SELECT site_id, min(region) AS region FROM elock WHERE tier1_clean GROUP BY 1)
+k AS (SELECT site_id, min(region) AS region FROM elock GROUP BY 1)
 SELECT coalesce(region, 'Unknown') AS region, count(*) AS sites, CAST(sum(patients) AS BIGINT) AS patients, round(avg(dqi_mean), 6) AS mean_of_sites
 FROM m LEFT JOIN k ON k.site_id = m.site_id GROUP BY 1""")
 def q_j7(spark, sf):
     e = enhanced_record(spark, sf)
     sites = e.groupBy("site_id").agg(F.count("*").alias("patients"), F.avg("dqi_score").alias("dqi_mean"))
-    return finalize(ST.by_region(sites, e.filter("tier1_clean").select("site_id", "region").distinct()))
+    return finalize(ST.by_region(sites, e.select("site_id", "region").distinct()))
