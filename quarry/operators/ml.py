@@ -211,36 +211,6 @@ def train_risk_classifier(df: DataFrame, features: Sequence[str], label: str, se
     return model, model.transform(x)
 
 
-def pca_residual_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3) -> DataFrame:
-    """M22 (lite ensemble without the forest): robust-scaled features, PCA
-    reconstruction error and max |z|, each min-max scaled, 0.6 / 0.4 blend;
-    severity by the p99 / p95 / p90 of the blend."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    sc = robust_scale(df, keys, cols)
-    scols = [f"{c}_scaled" for c in cols]
-    va = VectorAssembler(inputCols=scols, outputCol="f").transform(sc)
-    pca = PCA(k=k, inputCol="f", outputCol="p").fit(va)
-    comp = pca.pc.toArray()
-    x = pca.transform(va).select(*keys, vector_to_array("f").alias("f"), vector_to_array("p").alias("p"))
-    recon = [sum(F.col("p")[j] * float(comp[i][j]) for j in range(k)) for i in range(len(cols))]
-    err = sum((F.col("f")[i] - recon[i]) * (F.col("f")[i] - recon[i]) for i in range(len(cols)))
-    maxz = F.greatest(*[F.abs(F.col("f")[i]) for i in range(len(cols))])
-    x = x.select(*keys, err.alias("recon_error"), maxz.alias("max_abs_z"))
-    st = x.agg(F.min("recon_error").alias("a0"), F.max("recon_error").alias("a1"), F.min("max_abs_z").alias("b0"),
-               F.max("max_abs_z").alias("b1"))
-    x = x.crossJoin(F.broadcast(st))
-    mm = lambda c, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
-    x = x.select(*keys, "recon_error", "max_abs_z", (mm("recon_error", "a0", "a1") * 0.6 + mm("max_abs_z", "b0", "b1") * 0.4)
-                 .alias("anomaly_score"))
-    x = materialize_table(x, "anomaly-scores")
-    moderate, high, extreme = (F.lit(v).cast("double") for v in exact_quantiles(x, ["anomaly_score"], [0.9, 0.95, 0.99])["anomaly_score"])
-    score = F.col("anomaly_score")
-    sev = F.when(score >= extreme, "extreme").when(score >= high, "high").when(score >= moderate, "moderate").otherwise("normal")
-    return x.select(*keys, "recon_error", "max_abs_z", "anomaly_score", sev.alias("severity"))
-
-
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """A reproducible sample of n rows: order by md5(key || seed) and take
     n (the sample is the feature; TakeOrderedAndProject keeps n per task)."""

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import anomaly as AN
 from quarry.operators import issues as IS
 from quarry.operators import ml as ML
+from quarry.operators import neighbors as NB
 from quarry.operators.segment import segment_risk
 from quarry.plans import sqlbase as S
 from quarry.plans.bench_q import RANKED, SITE_BASE, site_ranked
+from quarry.plans.cache import shared_plan
 from quarry.plans.core import rec
 from quarry.plans.gov_q import PRED_SQL
 from quarry.plans.issues_q import ISSUES, issue_record
 from quarry.plans.registry import finalize, query
 from quarry.plans.scores_q import ENH
+from quarry.session import materialize_table
 from quarry.sources import testmap
 
 FEATURES = ["visit_missing_visit_count", "pages_missing_page_count", "total_queries", "crfs_require_verification_sdv",
@@ -178,7 +182,7 @@ def q_m8(spark, sf):
 
 @query("m22_anomaly_scores")
 def q_m22(spark, sf):
-    return finalize(ML.pca_residual_scores(rec(spark, sf), ["patient_key"], FEATURES))
+    return finalize(AN.anomaly_lite(rec(spark, sf), "patient_key", ["study_id", "site_id"], FEATURES))
 
 
 _RT = " + ".join(
@@ -186,6 +190,40 @@ _RT = " + ".join(
     for c, t, p in __import__('quarry.config', fromlist=['x']).RISK_TARGET_TERMS)
 
 
+@shared_plan
+def anomalies(spark, sf):
+    """The patients' ensemble scores, made once for the queries that read them."""
+    return materialize_table(AN.anomaly_ensemble(rec(spark, sf), "patient_key", ["study_id", "site_id"], FEATURES), "anomalies")
+
+
+@query("m21_anomaly_ensemble")
+def q_m21(spark, sf):
+    return finalize(anomalies(spark, sf))
+
+
+@query("a19_a20_w11_site_anomalies")
+def q_a19(spark, sf):
+    return finalize(AN.site_anomalies(anomalies(spark, sf)))
+
+
+_dist = "sqrt(" + " + ".join(f"(CAST(p.{c} AS DOUBLE) - q.{c}) * (CAST(p.{c} AS DOUBLE) - q.{c})" for c in FEATURES) + ")"
+
+
+@query("x8_nearest_patients", S.with_record() + f"""
+, nn AS (SELECT p.patient_key, q.patient_key AS other, {_dist} AS d, row_number() OVER (PARTITION BY p.patient_key ORDER BY {_dist}, q.patient_key) AS n
+  FROM record p JOIN record q ON p.patient_key <> q.patient_key)
+SELECT patient_key, string_agg(other, ',' ORDER BY n) AS nearest, round(max(d), 6) AS radius FROM nn WHERE n <= 3 GROUP BY 1""")
+def q_x8_near(spark, sf):
+    """The three nearest other patients of every patient."""
+    near = NB.nearest_rows(rec(spark, sf), "patient_key", FEATURES, 3)
+    return finalize(near.select(F.col("id").alias("patient_key"), F.array_join(F.transform("near", lambda n: n["id"]), ",").alias("nearest"), F.element_at("near", -1)["d"].alias("radius")))
+
+
+@query("x8_smote")
+def q_x8_smote(spark, sf):
+    return finalize(NB.smote(rec(spark, sf), "patient_key", "risk_level", FEATURES))
+
+
 @query("m5_risk_target", S.with_record() + f"""
 , s AS (SELECT patient_key, 0.0 + {_RT} AS risk_score FROM record),
 q AS (SELECT quantile_cont(risk_score, 0.5) AS p50, quantile_cont(risk_score, 0.8) AS p80, quantile_cont(risk_score, 0.95) AS p95 FROM s)
@@ -197,8 +235,8 @@ def q_m5(spark, sf):
 
 @query("o13_anomaly_list")
 def q_o13(spark, sf):
-    a = ML.pca_residual_scores(rec(spark, sf), ["patient_key"], FEATURES)
-    x = a.filter(F.col("severity").isin("extreme", "high"))
+    a = AN.anomaly_lite(rec(spark, sf), "patient_key", ["study_id", "site_id"], FEATURES)
+    x = a.filter(F.col("is_anomaly") | F.col("severity").isin("Critical", "High"))
     return finalize(x.orderBy(F.col("anomaly_score").desc(), "patient_key").limit(25))
 
 
