@@ -1,24 +1,20 @@
 """Alert processing (P30, T1-T6, F5, A28) in batch form; the streaming
 forms live in `quarry.streaming`.
 
-T1 (dedup within 60 min of the last *kept* alert of the same key) is a
-greedy chain.  It is computed exactly without putting a key in one task:
-(1) next(i) = first alert of the key strictly more than the window after
-alert i, found inside time buckets of the window's width; (2) the kept set
-is the chain head, next(head), next(next(head)), ... obtained by pointer
-doubling: O(log chain length) rounds of joins.
+T1 (dedup within 60 min of the last *kept* alert of the same key) and T2
+(fatigue limits) hang on what was kept before; both are state machines run
+by blocks (`operators.machines`), exactly and without a key in one task.
 """
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.exprs import epoch_micros, ntz_lit
-from quarry.session import ensure_checkpoint_dir
+from quarry.functions.exprs import ntz_lit
+from quarry.operators import machines as MC
 
 
 def classify_priority(title: Column, message: Column, category: Column) -> Column:
@@ -31,64 +27,14 @@ def classify_priority(title: Column, message: Column, category: Column) -> Colum
         .otherwise(F.coalesce(cat[category], F.lit("normal")))
 
 
-def _micros(c: Column) -> Column:
-    return epoch_micros(c)
-
-
 def dedup_kept(alerts: DataFrame, key: str = "dedup_key", ts: str = "created_at", id_col: str = "alert_id",
                window_minutes: int = config.DEDUP_WINDOW_MINUTES) -> DataFrame:
-    """Alerts with a `kept` flag (False = deduplicated)."""
-    ensure_checkpoint_dir(alerts.sparkSession)
-    w_us = window_minutes * 60 * 1_000_000
-    a = alerts.select(F.col(key).alias("k"), F.col(id_col).alias("id"), _micros(F.col(ts)).alias("t"))
-    a = a.withColumn("b", F.floor(F.col("t") / w_us))
-    # probe = t + window; answer = first alert with t' > probe, ordered by (t', id)
-    # targets sort before probes at the same instant, so "after the probe"
-    # means strictly later, as the rule requires
-    probes = a.select("k", F.col("id").alias("pid"), (F.col("t") + w_us).alias("t"), F.lit(1).alias("kind"),
-                      F.lit(None).cast("long").alias("id")).withColumn("b", F.floor(F.col("t") / w_us))
-    targets = a.select("k", F.lit(None).cast("long").alias("pid"), "t", F.lit(0).alias("kind"), "id", "b")
-    u = probes.unionByName(targets)
-    w_b = Window.partitionBy("k", "b").orderBy("t", "kind", "id").rowsBetween(Window.currentRow,
-                                                                                   Window.unboundedFollowing)
-    first_after = F.first(F.when(F.col("kind") == 0, F.struct("t", "id")), ignorenulls=True).over(w_b)
-    inb = u.withColumn("nx", first_after).filter(F.col("kind") == 1)
-    # not found in its own bucket: first alert of the next non-empty bucket
-    # (a per-key window over distinct buckets only)
-    firsts = a.groupBy("k", "b").agg(F.min(F.struct("t", "id")).alias("f"))
-    pb = probes.select("k", "b").distinct().withColumn("f", F.lit(None).cast(firsts.schema["f"].dataType))
-    allb = firsts.unionByName(pb).groupBy("k", "b").agg(F.max("f").alias("f"))
-    allb = allb.withColumn("next_f", F.first("f", ignorenulls=True).over(
-        Window.partitionBy("k").orderBy("b").rowsBetween(1, Window.unboundedFollowing)))
-    nxt = inb.join(allb.select("k", "b", "next_f"), ["k", "b"], "left") \
-        .select("k", F.col("pid").alias("id"), F.coalesce(F.col("nx"), F.col("next_f"))["id"].alias("nxt"))
-    jump = nxt.select("id", F.col("nxt").alias("j")).checkpoint(eager=True)
-    # Seeds: every alert more than the window after the previous alert of its
-    # key is kept for certain (no kept alert can be within the window), so
-    # chains only need doubling between such gaps.  The previous alert is
-    # found inside the (key, bucket) window or, for a bucket's first alert,
-    # as the last alert of the nearest earlier non-empty bucket (a per-key
-    # window over distinct buckets only).
-    w_in = Window.partitionBy("k", "b").orderBy("t", "id")
-    lasts = a.groupBy("k", "b").agg(F.max(F.struct("t", "id")).alias("l"))
-    lasts = lasts.withColumn("prev_l", F.last("l", ignorenulls=True).over(
-        Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    g = a.withColumn("prev_t", F.lag("t").over(w_in)).join(lasts.select("k", "b", "prev_l"), ["k", "b"], "left")
-    prev = F.coalesce(F.col("prev_t"), F.col("prev_l")["t"])
-    heads = g.filter(prev.isNull() | (F.col("t") - prev > w_us)).select("id")
-    marked = heads.checkpoint(eager=True)
-    while True:
-        # new = jump_r(marked), not yet marked; stop when the chain is covered
-        new = marked.join(jump, "id").select(F.col("j").alias("id")).filter(F.col("id").isNotNull()).distinct()
-        new = new.join(marked, "id", "left_anti").checkpoint(eager=True)
-        if new.isEmpty():
-            break
-        marked = marked.unionByName(new)  # lineage grows by one union per round (log of the chain length)
-        jump = jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.id"), "left") \
-            .select(F.col("x.id").alias("id"), F.col("y.j").alias("j")).checkpoint(eager=True)
-    kept = marked.withColumn("kept", F.lit(True))
-    return alerts.join(kept.withColumnRenamed("id", id_col), id_col, "left") \
-        .withColumn("kept", F.coalesce(F.col("kept"), F.lit(False)))
+    """An alert is kept if the last kept alert of its key is more than the
+    window ago.  Run as a state machine by blocks of a key's alerts; ids are
+    distinct."""
+    rows = alerts.select(F.col(key).cast("string").alias("key"), MC.micros(ts).alias("us"), F.col(id_col).alias("id"), F.lit(0).alias("code"))
+    found, _ = MC.outcomes(rows, MC.KeepFirst(window_minutes * 60_000_000))
+    return alerts.join(found.select(F.col("id").alias(id_col), (F.col("outcome") == 1).alias("kept")), id_col)
 
 
 def fatigue_filter(alerts: DataFrame, recipient: str = "recipient_id", ts: str = "created_at",
@@ -98,41 +44,13 @@ def fatigue_filter(alerts: DataFrame, recipient: str = "recipient_id", ts: str =
     got `per_hour` unsuppressed alerts in the last hour or `per_day` in the
     last day (counting only unsuppressed ones, exempt ones included).
 
-    Sequential per recipient; run as a sorted scan: rows are hash-partitioned
-    by recipient and sorted by time inside each partition, then one pass per
-    partition keeps only the last day of kept timestamps per recipient, so
-    memory is bounded by the daily limit (plus exempt alerts of one day),
-    never by a recipient's history.
-    """
-    cols = alerts.columns
-    schema = alerts.schema.add("suppressed", "boolean").add("suppression_reason", "string")
-    parts = alerts.rdd.getNumPartitions()
-    hour, day = pd.Timedelta(hours=1), pd.Timedelta(days=1)
-
-    def scan(batches):
-        import collections
-        cur, kept = None, collections.deque()
-        for pdf in batches:
-            sup, why = [], []
-            for r, t, p, c in zip(pdf[recipient], pdf[ts], pdf[priority], pdf[category]):
-                t = pd.Timestamp(t)
-                if r != cur:
-                    cur, kept = r, collections.deque()
-                while kept and kept[0] < t - day:
-                    kept.popleft()
-                exempt = (p == "urgent") or (c == "safety")
-                last_hour = sum(1 for x in kept if x >= t - hour)
-                if not exempt and (last_hour >= per_hour or len(kept) >= per_day):
-                    sup.append(True)
-                    why.append("fatigue_limit")
-                else:
-                    sup.append(False)
-                    why.append(None)
-                    kept.append(t)
-            yield pdf.assign(suppressed=sup, suppression_reason=why)
-
-    ordered = alerts.repartition(max(parts, 1), recipient).sortWithinPartitions(recipient, ts, "alert_id")
-    return ordered.mapInPandas(scan, schema).select(*cols, "suppressed", "suppression_reason")
+    Run as a state machine by blocks of a recipient's alerts; alert ids are
+    distinct."""
+    exempt = F.coalesce((F.col(priority) == "urgent") | (F.col(category) == "safety"), F.lit(False))
+    rows = alerts.select(F.col(recipient).cast("string").alias("key"), MC.micros(ts).alias("us"), F.col("alert_id").alias("id"), exempt.cast("int").alias("code"))
+    held, _ = MC.outcomes(rows, MC.Fatigue(per_hour, per_day))
+    held = held.select(F.col("id").alias("alert_id"), (F.col("outcome") == 1).alias("suppressed"))
+    return alerts.join(held, "alert_id").select(*alerts.columns, "suppressed", F.when(F.col("suppressed"), "fatigue_limit").alias("suppression_reason"))
 
 
 def in_quiet_hours(ts: Column, start: str = config.QUIET_HOURS[0], end: str = config.QUIET_HOURS[1]) -> Column:

@@ -192,7 +192,20 @@ def q_t1(spark, sf):
     return finalize(AL.dedup_kept(_alerts(spark, sf)).select("alert_id", "dedup_key", "kept"))
 
 
-@query("t2_alert_fatigue")
+#: What a recipient was sent, alert after alert; `held` is whether this one was not.
+FATIGUE_SQL = "WITH RECURSIVE " + ALERTS_SQL + f""",
+fa AS (SELECT alert_id, recipient_id, created_at AS t, coalesce(priority = 'urgent' OR category = 'safety', false) AS exempt, priority,
+  row_number() OVER (PARTITION BY recipient_id ORDER BY created_at, alert_id) AS n FROM alerts),
+fs AS (SELECT alert_id, recipient_id, n, false AS held, [t] AS sent FROM fa WHERE n = 1
+  UNION ALL SELECT alert_id, recipient_id, n, held, CASE WHEN held THEN sent ELSE list_append(sent, t) END FROM (
+    SELECT fa.alert_id, fa.recipient_id, fa.n, fa.t, fs.sent,
+      NOT fa.exempt AND (len(list_filter(fs.sent, lambda x: x >= fa.t - INTERVAL 1 HOUR)) >= {config.MAX_ALERTS_PER_HOUR}
+        OR len(list_filter(fs.sent, lambda x: x >= fa.t - INTERVAL 1 DAY)) >= {config.MAX_ALERTS_PER_DAY}) AS held
+    FROM fs JOIN fa ON fa.recipient_id IS NOT DISTINCT FROM fs.recipient_id AND fa.n = fs.n + 1))"""
+
+
+@query("t2_alert_fatigue", FATIGUE_SQL + """
+SELECT fs.alert_id, fs.recipient_id, priority, held AS suppressed, CASE WHEN held THEN 'fatigue_limit' END AS suppression_reason FROM fs JOIN fa USING (alert_id)""")
 def q_t2(spark, sf):
     out = AL.fatigue_filter(_alerts(spark, sf))
     return finalize(out.select("alert_id", "recipient_id", "priority", "suppressed", "suppression_reason"))

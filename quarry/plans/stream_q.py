@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarry.plans.collab_q import ALERTS_SQL
+from quarry.plans.collab_q import ALERTS_SQL, FATIGUE_SQL
 from quarry.plans.registry import finalize, query
 from quarry.session import ensure_checkpoint_dir
 from quarry.streaming import alerts_stream as ST
@@ -30,18 +30,27 @@ chain AS (WITH RECURSIVE c(id) AS (SELECT id FROM heads UNION ALL
   SELECT nx.nxt FROM c JOIN nx ON nx.id = c.id WHERE nx.nxt IS NOT NULL) SELECT id FROM c)
 SELECT alert_id, dedup_key, alert_id IN (SELECT id FROM chain) AS kept FROM alerts""")
 def q_t1s(spark, sf):
-    return finalize(ST.run_to_parquet(ST.dedup_stream(ST.alert_stream(spark, sf)), "t1"))
+    return finalize(ST.dedup_stream(ST.alert_stream(spark, sf)))
 
 
-@query("t2_stream_fatigue")
+@query("t2_stream_fatigue", FATIGUE_SQL + " SELECT alert_id, recipient_id, held AS suppressed FROM fs")
 def q_t2s(spark, sf):
-    return finalize(ST.run_to_parquet(ST.fatigue_stream(ST.alert_stream(spark, sf)), "t2"))
+    return finalize(ST.fatigue_stream(ST.alert_stream(spark, sf)))
 
 
-@query("t11_circuit_states")
+@query("t11_circuit_states", """
+WITH RECURSIVE ce AS (SELECT 'user_' || user_id AS component, ts, event_id, coalesce(event_type = 'error', false) AS bad,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+cs AS (SELECT component, n, ts, event_id, 'closed' AS state, CAST(bad AS INTEGER) AS failures, CAST(NULL AS TIMESTAMP) AS opened FROM ce WHERE n = 1
+  UNION ALL SELECT component, n, ts, event_id,
+    CASE WHEN half THEN CASE WHEN bad THEN 'open' ELSE 'closed' END WHEN state = 'open' OR (bad AND failures + 1 >= 3) THEN 'open' ELSE 'closed' END,
+    CASE WHEN half AND NOT bad THEN 0 WHEN state = 'open' THEN failures WHEN bad THEN failures + 1 ELSE 0 END,
+    CASE WHEN (half AND bad) OR (state = 'closed' AND bad AND failures + 1 >= 3) THEN ts ELSE opened END
+  FROM (SELECT ce.component, ce.n, ce.ts, ce.event_id, ce.bad, cs.state, cs.failures, cs.opened, cs.state = 'open' AND ce.ts - cs.opened >= INTERVAL 60 MINUTE AS half
+    FROM cs JOIN ce ON ce.component IS NOT DISTINCT FROM cs.component AND ce.n = cs.n + 1))
+SELECT component, ts, event_id, state FROM cs""")
 def q_t11(spark, sf):
-    c = ST.run_to_parquet(ST.circuit_states(ST.event_stream(spark, sf)), "t11")
-    return finalize(c.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    return finalize(ST.circuit_states(ST.event_stream(spark, sf)))
 
 
 @query("t12_usage_sessions", """

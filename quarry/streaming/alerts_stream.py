@@ -7,25 +7,21 @@ the driver.
 
 * T6 / T4 - tumbling-window counts and digests with a watermark.
 * T12     - session windows of user activity.
-* T1      - exact dedup: `applyInPandasWithState` keyed by dedup key; the
-            state is one timestamp (the last kept alert).
-* T2      - fatigue: state per recipient holds the kept timestamps of the
-            last day only.
-* T11     - circuit state per component from error / success events.
+* T1, T2, T11 - dedup, fatigue and circuit states: state machines run by
+            blocks on each trigger's rows (`operators.machines`), with the
+            states kept between triggers in a table.
 * T9      - `foreachBatch` sums of each batch by day, added up on read.
 Rows later than the watermark are dropped by Spark's stateful operators.
 """
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry import config
+from quarry.operators import machines as MC
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import load
 
@@ -123,112 +119,66 @@ def usage_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str =
                     "value"))
 
 
-DEDUP_OUT = "alert_id long, dedup_key string, kept boolean"
-DEDUP_STATE = "last_kept_us long"
+def run_machine(rows: DataFrame, machine: MC.Machine, name: str) -> DataFrame:
+    """Drain a stream of rows (key, us, id, code) through a state machine and
+    return a batch scan of (key, us, id, outcome).
 
+    Each trigger runs the machine by blocks on its rows, from the states that
+    the trigger before left; outcomes and states are written under the
+    trigger's number, so one that is replayed replaces its own.  A key's rows
+    are in no task and in no state; a row that comes after later ones is taken
+    with the trigger it comes in.  States that say no more than the initial one
+    are dropped."""
+    spark = rows.sparkSession
+    out, ckpt = _paths(spark, name)
+    states = out.removesuffix("/out") + "/states"
 
-def _dedup_fn(window_minutes: int):
-    w = window_minutes * 60 * 1_000_000
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["created_at", "alert_id"])
-        kept = []
-        for t in pdf["created_at"]:
-            us = pd.Timestamp(t).value // 1000
-            if last is not None and us - last <= w:
-                kept.append(False)
-            else:
-                kept.append(True)
-                last = us
-        state.update((int(last),))
-        yield pd.DataFrame({"alert_id": pdf["alert_id"].astype("int64"), "dedup_key": key[0], "kept": kept})
-    return fn
+    def write(batch: DataFrame, epoch: int) -> None:
+        given = spark.read.schema("key string, state array<bigint>").parquet(f"{states}/epoch={epoch - 1}") if epoch else None
+        found, left = MC.outcomes(batch, machine, given)
+        found.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if given is not None:
+            left = left.unionByName(given.join(left.select("key"), "key", "left_anti"))
+        if machine.forgets:
+            latest = batch.agg(F.max("us")).first()[0]
+            if latest is not None:
+                left = left.where(F.element_at("state", -1) >= latest - machine.forgets - MC.HOUR)
+        else:
+            left = left.where(F.col("state") != F.array(*[F.lit(v).cast("bigint") for v in machine.initial]))
+        left.write.mode("overwrite").parquet(f"{states}/epoch={epoch}")
+        if epoch > 1:  # a replay needs the one before, no older ones
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{states}/epoch={epoch - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("key string, us bigint, id bigint, outcome int, epoch int").parquet(out).drop("epoch")
 
 
 def dedup_stream(alerts: DataFrame, window_minutes: int = config.DEDUP_WINDOW_MINUTES) -> DataFrame:
-    """T1 exact: O(1) state per key."""
-    return (alerts.select("alert_id", "dedup_key", "created_at").withWatermark("created_at", "1 hour")
-            .groupBy("dedup_key")
-            .applyInPandasWithState(_dedup_fn(window_minutes), DEDUP_OUT, DEDUP_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-FATIGUE_OUT = "alert_id long, recipient_id long, suppressed boolean"
-FATIGUE_STATE = "kept_us array<long>"
-
-
-def _fatigue_fn(per_hour: int, per_day: int):
-    hour, day = 3_600_000_000, 86_400_000_000
-
-    def fn(key, batches, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["created_at", "alert_id"])
-        sup = []
-        for t, p, c in zip(pdf["created_at"], pdf["priority"], pdf["category"]):
-            us = pd.Timestamp(t).value // 1000
-            kept = [x for x in kept if x >= us - day]
-            exempt = p == "urgent" or c == "safety"
-            if not exempt and (sum(1 for x in kept if x >= us - hour) >= per_hour or len(kept) >= per_day):
-                sup.append(True)
-            else:
-                sup.append(False)
-                kept.append(us)
-        state.update((kept,))
-        yield pd.DataFrame({"alert_id": pdf["alert_id"].astype("int64"), "recipient_id": key[0], "suppressed": sup})
-    return fn
+    """The state of a key is the time of its last kept alert."""
+    rows = alerts.select(F.col("dedup_key").alias("key"), MC.micros("created_at").alias("us"), F.col("alert_id").alias("id"), F.lit(0).alias("code"))
+    kept = run_machine(rows, MC.KeepFirst(window_minutes * 60_000_000), "t1")
+    return kept.select(F.col("id").alias("alert_id"), F.col("key").alias("dedup_key"), (F.col("outcome") == 1).alias("kept"))
 
 
 def fatigue_stream(alerts: DataFrame, per_hour: int = config.MAX_ALERTS_PER_HOUR,
                    per_day: int = config.MAX_ALERTS_PER_DAY) -> DataFrame:
-    """T2 with bounded state (one day of kept timestamps per recipient)."""
-    return (alerts.select("alert_id", "recipient_id", "created_at", "priority", "category")
-            .withWatermark("created_at", "1 hour").groupBy("recipient_id")
-            .applyInPandasWithState(_fatigue_fn(per_hour, per_day), FATIGUE_OUT, FATIGUE_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-CIRCUIT_OUT = "component string, ts timestamp, event_id long, state string"
-CIRCUIT_STATE = "status string, failures long, opened_us long"
-
-
-def _circuit_fn(threshold: int, reset_minutes: int):
-    reset = reset_minutes * 60 * 1_000_000
-
-    def fn(key, batches, state: GroupState):
-        status, failures, opened = state.get if state.exists else ("closed", 0, 0)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for t, eid, kind in zip(pdf["ts"], pdf["event_id"], pdf["event_type"]):
-            us = pd.Timestamp(t).value // 1000
-            if status == "open" and us - opened >= reset:
-                status = "half_open"
-            if kind == "error":
-                if status == "half_open":
-                    status, opened = "open", us
-                else:
-                    failures += 1
-                    if failures >= threshold and status == "closed":
-                        status, opened = "open", us
-            elif status == "half_open":
-                status, failures = "closed", 0
-            elif status == "closed":
-                failures = 0
-            out.append((key[0], t, int(eid), status))
-        state.update((status, int(failures), int(opened)))
-        yield pd.DataFrame(out, columns=["component", "ts", "event_id", "state"])
-    return fn
+    """The state of a recipient is its latest alerts that were let through."""
+    exempt = (F.col("priority") == "urgent") | (F.col("category") == "safety")
+    rows = alerts.select(F.col("recipient_id").cast("string").alias("key"), MC.micros("created_at").alias("us"), F.col("alert_id").alias("id"), F.coalesce(exempt, F.lit(False)).cast("int").alias("code"))
+    held = run_machine(rows, MC.Fatigue(per_hour, per_day), "t2")
+    return held.select(F.col("id").alias("alert_id"), F.col("key").cast("bigint").alias("recipient_id"), (F.col("outcome") == 1).alias("suppressed"))
 
 
 def circuit_states(events: DataFrame, threshold: int = 3, reset_minutes: int = 60) -> DataFrame:
-    """Closed -> open after `threshold` consecutive failures; open ->
-    half-open after the reset timeout; half-open -> closed on success, back
-    to open on failure.  Component = user id bucket of the event."""
-    x = events.select(F.concat(F.lit("component_"), (F.col("user_id") % 10).cast("string")).alias("component"),
-                      "ts", "event_id", "event_type")
-    return (x.withWatermark("ts", "1 hour").groupBy("component")
-            .applyInPandasWithState(_circuit_fn(threshold, reset_minutes), CIRCUIT_OUT, CIRCUIT_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    """Closed -> open after `threshold` consecutive failures; after the
+    reset timeout the next event closes it or, if it fails, opens it again.
+    A component is the user whose events they are."""
+    rows = events.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), MC.micros("ts").alias("us"), F.col("event_id").alias("id"),
+                         F.coalesce(F.col("event_type") == "error", F.lit(False)).cast("int").alias("code"))
+    found = run_machine(rows, MC.Circuit(threshold, reset_minutes * 60_000_000), "t11")
+    return found.select(F.col("key").alias("component"), MC.clock("us").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("outcome") == 1, "open").otherwise("closed").alias("state"))
 
 
 def daily_upsert(events: DataFrame, table_path: str) -> None:

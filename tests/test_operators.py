@@ -183,8 +183,7 @@ def test_stream_fatigue_equals_batch(spark):
     from quarry.streaming import alerts_stream as ST
     from tests.conftest import SF_SMALL
     batch = {r.alert_id: r.suppressed for r in AL.fatigue_filter(_alerts(spark, SF_SMALL)).collect()}
-    stream = {r.alert_id: r.suppressed for r in ST.run_to_parquet(ST.fatigue_stream(ST.alert_stream(spark, SF_SMALL)),
-                                                                   "test_t2").collect()}
+    stream = {r.alert_id: r.suppressed for r in ST.fatigue_stream(ST.alert_stream(spark, SF_SMALL)).collect()}
     assert batch == stream
 
 
@@ -258,7 +257,7 @@ def test_streams_read_folders_and_lose_nothing(spark, files, tmp_path):
     assert ST.daily_totals(spark, table).agg(F.sum("events")).first()[0] == n
     assert ST.run_complete(ST.usage_sessions(ST.event_stream(spark, sf)), "s").agg(F.sum("events")).first()[0] == n
     assert ST.run_complete(ST.hourly_counts(ST.alert_stream(spark, sf)), "h").agg(F.sum("alerts")).first()[0] == n
-    assert ST.run_to_parquet(ST.dedup_stream(ST.alert_stream(spark, sf)), "d").count() == n
+    assert ST.dedup_stream(ST.alert_stream(spark, sf)).count() == n
 
 
 def test_escalation_timeline_matches_simulation(spark):
