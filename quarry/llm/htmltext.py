@@ -3,7 +3,9 @@
 A page is cut into flat blocks of text at its block-level tags.  A block has
 its word count and link density, those of the blocks before and after it, and
 two marks of where it stands: inside the article, and inside something whose
-tag, role, class or id names page furniture.  A decision tree decides for each
+tag, role, class or id names page furniture.  A class or id names furniture as
+a whole (`cookie-notice`, `commentList`), not by a word in it (`with-sidebar`,
+`related-work`), and an article inside such an element is an article.  A decision tree decides for each
 block whether it is main text; the tree is trained on the small labelled table
 below, whose rows are made up for the purpose.
 
@@ -11,8 +13,9 @@ Defined results: a null or empty page, or one without main text, has an empty
 text; tags that are never closed end with what encloses them; script, style
 and other non-text elements are skipped whole, and without an end tag the raw
 ones of them (script, style, iframe, textarea, title) take the rest of the
-page, the others end at the next block as well; repeated rows repeat; an empty
-table gives an empty one; other columns are left behind.
+page, the others end at the next block as well; a tag whose quote or
+bracket is never closed is text; time follows the length of the page; repeated
+rows repeat; an empty table gives an empty one; other columns are left behind.
 """
 from __future__ import annotations
 
@@ -26,7 +29,6 @@ from pyspark.sql import DataFrame
 
 from quarry.llm.common import column, map_arrow, text_blocks, texts_of
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -46,6 +48,9 @@ FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising
                             "navigation menu breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr notice notices popup "
                             "modal newsletter subscribe subscription signup login comment comments respond disqus related recommended share sharing "
                             "social widget widgets toolbar pagination pager".split())
+#: Words that may follow one of these in the name of a piece of furniture.
+NEUTRAL_WORDS = frozenset("area bar block body bottom box btn button buttons card cards center col column columns container content entry form group head header "
+                          "inner item items left link links list main outer panel post posts right row section slot tab title top unit wrap wrapper zone".split())
 _UNCLOSED = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody"))
 
 
@@ -58,20 +63,105 @@ class Block:
     furniture: bool
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _names_furniture(name: str) -> bool:
+    """Whether one class or id is the name of a piece of furniture: it begins
+    with a word for it, and says nothing else."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    return bool(words) and words[0] in FURNITURE_WORDS and all(w in FURNITURE_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words[1:])
+
+
+#: How sure it is that an element is furniture.
+NO, NAMED, SURE = range(3)
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+        return SURE
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return NO
+    found = NO
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return SURE
         if name == "role" and value in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in FURNITURE_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+            return SURE
+        if name in ("class", "id") and any(map(_names_furniture, value.split())):
+            found = NAMED
+    return found
+
+
+class Mark:
+    """A piece of markup; tag is empty for comments and declarations."""
+
+    __slots__ = ("start", "end", "closing", "tag", "attributes")
+
+    def __init__(self, start: int, end: int, closing: bool = False, tag: str = "", attributes: str = ""):
+        self.start, self.end, self.closing, self.tag, self.attributes = start, end, closing, tag, attributes
+
+
+_OPENS = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?])|(?P<closing>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*))")
+_STOPS = re.compile("[>\"']")
+
+
+class Scanner:
+    """Finds the markup of a page from left to right, in time that follows its
+    length: what a search that ended in nothing has seen is not read again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self._stop = (0, -1)  # the first > or quote for places from .. to
+        self._open: set[int] = set()  # quotes at which a tag began that never ends
+
+    def _next_stop(self, at: int) -> int:
+        """The first > or quote from here, or the length of the page."""
+        since, found = self._stop
+        if not since <= at <= found:
+            m = _STOPS.search(self.page, at)
+            self._stop = (at, m.start() if m else len(self.page))
+        return self._stop[1]
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the > that ends the tag, or -1."""
+        page, opened = self.page, []
+        while True:
+            stop = self._next_stop(at)
+            if stop < len(page) and page[stop] == ">":
+                return stop + 1
+            close = page.find(page[stop], stop + 1) if stop < len(page) and stop not in self._open else -1
+            if close < 0:
+                self._open.update(opened)
+                if stop < len(page):
+                    self._open.add(stop)
+                return -1
+            opened.append(stop)
+            at = close + 1
+
+    def search(self, at: int) -> Mark | None:
+        page = self.page
+        while m := _OPENS.search(page, at):
+            if m["comment"] or m["cdata"]:
+                sign = "-->" if m["comment"] else "]]>"
+                end = page.find(sign, m.end())
+                return Mark(m.start(), end + 3 if end >= 0 else len(page))
+            if m["other"]:
+                end = self._declaration_end(m.end())
+                if end >= 0:
+                    return Mark(m.start(), end)
+            elif (end := self._tag_end(m.end())) >= 0:
+                return Mark(m.start(), end, bool(m["closing"]), m["tag"].lower(), page[m.end():end - 1])
+            at = m.end()
+        return None
+
+    _no_more = -1  # no > from here on
+
+    def _declaration_end(self, at: int) -> int:
+        if 0 <= self._no_more <= at:
+            return -1
+        end = self.page.find(">", at)
+        if end < 0:
+            self._no_more = at
+        return end + 1 if end >= 0 else -1
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
@@ -86,13 +176,13 @@ def _closed(page: str) -> dict[int, int]:
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     depth: Counter[str] = Counter()
-    at = 0
-    while mark := _MARKUP.search(page, at):
-        at = mark.end()
-        if mark[2] is None:
+    alone: dict[str, int] = {}  # the place in the stack of the open button and select
+    scanner, at = Scanner(page), 0
+    while mark := scanner.search(at):
+        at, tag = mark.end, mark.tag
+        if not tag:
             continue
-        tag = mark[2].lower()
-        if mark[1]:
+        if mark.closing:
             if depth[tag]:
                 while True:
                     was, start = stack.pop()
@@ -101,16 +191,17 @@ def _closed(page: str) -> dict[int, int]:
                         break
                 if tag in SKIPPED:
                     out[start] = at
-        elif not mark[3].rstrip().endswith("/"):
+        elif not mark.attributes.rstrip().endswith("/"):
             if tag in RAW_TEXT:
                 at = _raw_end(page, tag, at)
             elif tag not in VOID:
-                if tag in ("button", "select") and depth[tag]:  # one inside another: the first was never closed
-                    k = max(i for i, (t, _) in enumerate(stack) if t == tag)
-                    depth[tag] -= 1
-                    depth[""] += 1
-                    stack[k] = ("", -1)
-                stack.append((tag, mark.start()))
+                if tag in ("button", "select"):
+                    if depth[tag]:  # one inside another: the first was never closed
+                        depth[tag] -= 1
+                        depth[""] += 1
+                        stack[alone[tag]] = ("", -1)
+                    alone[tag] = len(stack)
+                stack.append((tag, mark.start))
                 depth[tag] += 1
     return out
 
@@ -120,35 +211,45 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in the article, in furniture
+    stack: list[tuple[str, bool, int]] = []  # tag, in the article, in furniture
+    open_tags: Counter[str] = Counter()
     anchors = 0
     closed: dict[int, int] | None = None
-    unclosed = False  # a skipped element is on the stack
+    unclosed: int | None = None  # the place in the stack of the first skipped element on it
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = len(text.split(" "))
             in_links = len(html.unescape(" ".join(linked)).split())
-            _, article, furniture = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, words, min(1.0, in_links / words), article, furniture))
+            _, article, furniture = stack[-1] if stack else ("", False, NO)
+            out.append(Block(text, words, min(1.0, in_links / words), article, furniture > NO))
         parts.clear()
         linked.clear()
 
-    at = 0
+    def push(tag: str, article: bool, furniture: int) -> None:
+        stack.append((tag, article, furniture))
+        open_tags[tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
+    scanner, at = Scanner(page), 0
     while at < len(page):
-        mark = _MARKUP.search(page, at)
-        piece = page[at:mark.start() if mark else len(page)]
+        mark = scanner.search(at)
+        piece = page[at:mark.start if mark else len(page)]
         if piece:
             parts.append(piece)
             if anchors:
                 linked.append(piece)
         if not mark:
             break
-        at = mark.end()
-        if mark[2] is None:
+        at = mark.end
+        if not mark.tag:
             continue
-        closing, tag, attributes = bool(mark[1]), mark[2].lower(), mark[3]
+        closing, tag, attributes = mark.closing, mark.tag, mark.attributes
         if tag in SKIPPED and not closing:
             if tag not in INLINE:
                 flush()
@@ -160,36 +261,38 @@ def blocks_of(page: str) -> list[Block]:
                     at = _raw_end(page, tag, at)
                 else:
                     closed = _closed(page) if closed is None else closed
-                    at = closed.get(mark.start(), at)
-                    if at == mark.end():  # never closed: furniture up to what ends it
-                        stack.append((tag, bool(stack and stack[-1][1]), True))
-                        unclosed = True
+                    at = closed.get(mark.start, at)
+                    if at == mark.end:  # never closed: furniture up to what ends it
+                        unclosed = len(stack) if unclosed is None else unclosed
+                        push(tag, bool(stack and stack[-1][1]), SURE)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag == "a":
             anchors = max(0, anchors + (-1 if closing else 1))
-        if tag in INLINE:
-            if attributes and not closing and tag not in VOID and tag != "a" and _is_furniture(tag, attributes, False):
-                pass  # an inline element is part of its block
+        if tag in INLINE:  # part of its block, whatever its class
             continue
         flush()
         anchors = 0
-        if unclosed and not closing and tag in _BEGINS:
-            del stack[next((i for i, (t, _, _) in enumerate(stack) if t in SKIPPED), len(stack)):]
-            unclosed = False
+        if unclosed is not None and not closing and tag in _BEGINS:
+            while len(stack) > unclosed:
+                pop()
+            unclosed = None
         if tag in VOID or (not closing and attributes.rstrip().endswith("/")):
             continue
-        _, article, furniture = stack[-1] if stack else ("", False, False)
         if not closing:
             if tag in _UNCLOSED and stack and stack[-1][0] == tag:
-                stack.pop()
-                _, article, furniture = stack[-1] if stack else ("", False, False)
-            stack.append((tag, article or tag in ("article", "main"), furniture or _is_furniture(tag, attributes, article)))
-        elif any(t == tag for t, _, _ in stack):
-            while stack.pop()[0] != tag:
+                pop()
+            _, article, furniture = stack[-1] if stack else ("", False, NO)
+            if tag in ("article", "main") and furniture == NAMED and not article:
+                furniture = NO  # what is around an article is no furniture
+            push(tag, article or tag in ("article", "main"), max(furniture, _furniture(tag, attributes, article)))
+        elif open_tags[tag]:
+            while pop() != tag:
                 pass
+        if unclosed is not None and len(stack) <= unclosed:
+            unclosed = None
     flush()
     return out
 

@@ -295,6 +295,32 @@ def test_skipped_element_without_end(tag):
     assert htmltext.main_text("<div>" + f"<{tag}>x" * 3000 + article, tree) == "Head\nText of it"
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout with-sidebar"', 'div id="page" class="has-comments"', 'div class="no-nav page--with-banner"', 'div class="sidebar"', "div class=comments"])
+def test_an_article_inside_a_wrapper(wrapper):
+    tree = htmltext.grow(htmltext.LABELLED)
+    page = (f"<body><nav><a>x</a></nav><{wrapper}><article><h1>Head</h1><p>Text of it</p><section class='related-work'><p>Others did the same</p></section>"
+            "<section class='related-posts'><p>Read on</p></section><div class='share-buttons'>Share</div></article><div class='comment-list'>Nice one, thanks for all of it</div></div></body>")
+    assert htmltext.main_text(page, tree) == "Head\nText of it\nOthers did the same"
+
+
+def test_markup_that_never_ends():
+    tree = htmltext.grow(htmltext.LABELLED)
+    article = "<article><p>Text of it</p></article>"
+    assert htmltext.main_text(article + '<a "x', tree) == "Text of it"
+    assert htmltext.main_text("<article><p>a <b title='x > y'>bold</b> 3 < 4 and <i \"5</p></article>", tree) == "a bold 3 < 4 and <i \"5"
+    assert htmltext.main_text('<article><p title="a>b" class=\'c"d\'>Text</p></article>', tree) == "Text"
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a '", "<a ", "<", "<!", "<?x", "<div>", "<div></p>", "</p>", "<p>", "<button>", "<div><button>", "<button><div>", '<a href="x>', "<a href='x\">", "<!-", "<svg>", "<select><p>", "<b>&amp;"])
+def test_page_time_follows_its_length(unit):
+    import time
+
+    for tail in ("", ">", '">', "</p>" * 1000):
+        began = time.process_time()
+        htmltext.blocks_of(unit * (300_000 // len(unit)) + tail)
+        assert time.process_time() - began < 8
+
+
 def test_pages_against_the_article_element(spark):
     import html
     got = {r["page_id"]: r for r in htmltext.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
