@@ -193,24 +193,6 @@ def low_prevalence(issues: DataFrame, types: Sequence[str], threshold: float = 0
                     (F.col("positives") / F.col("_n") < threshold).alias("below_threshold"))
 
 
-def train_risk_classifier(df: DataFrame, features: Sequence[str], label: str, seed: int = 42):
-    """M8: multi-class random forest on the record features (MLlib), class
-    weights from M26; returns (model, predictions on the given frame)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    bal = class_balance(df, label).select(F.col("cls").alias(label), "class_weight")
-    x = df.join(F.broadcast(bal), label)
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
-        RandomForestClassifier(labelCol="label_idx", featuresCol="features", weightCol="class_weight",
-                               numTrees=30, maxDepth=6, seed=seed)])
-    model = pipe.fit(x)
-    return model, model.transform(x)
-
-
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """A reproducible sample of n rows: order by md5(key || seed) and take
     n (the sample is the feature; TakeOrderedAndProject keeps n per task)."""
@@ -308,32 +290,6 @@ def risk_target(df: DataFrame) -> DataFrame:
     return x.withColumn("risk_target", lvl).drop("_q")
 
 
-def train_issue_classifiers(df: DataFrame, features: Sequence[str], labels: Sequence[str], min_prevalence: float = 0.001):
-    """M9: one binary classifier per issue label (MLlib logistic regression
-    with balanced class weights); labels below the prevalence floor are
-    skipped.  Returns one row per label: prevalence, trained flag, AUC on the
-    training frame."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = df.sparkSession
-    x = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep").transform(df)
-    prev = df.agg(*[F.avg(F.col(l).cast("double")).alias(l) for l in labels]).first()
-    rows = []
-    for l in labels:
-        p = float(prev[l] or 0.0)
-        if p < min_prevalence or p >= 1.0:
-            rows.append((l, p, False, None))
-            continue
-        w = x.withColumn("_y", F.col(l).cast("double")) \
-            .withColumn("_w", F.when(F.col("_y") == 1, 0.5 / p).otherwise(0.5 / (1 - p)))
-        m = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="_w", maxIter=30).fit(w)
-        auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="_y").evaluate(m.transform(w))
-        rows.append((l, p, True, float(auc)))
-    return spark.createDataFrame(rows, "label string, prevalence double, trained boolean, auc double")
-
-
 def red_flags(metrics: DataFrame) -> DataFrame:
     """Leakage (NDCG@k above 0.95) and not-learning (NDCG@10 below
     0.55) flags over a one-row ranking-metric frame."""

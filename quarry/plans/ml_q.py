@@ -173,13 +173,6 @@ def q_x7(spark, sf):
     return finalize(ML.stratified_split(r, "risk_level", F.md5(F.col("patient_key"))))
 
 
-@query("m8_risk_classifier")
-def q_m8(spark, sf):
-    r = rec(spark, sf)
-    _, pred = ML.train_risk_classifier(r, FEATURES, "risk_level")
-    return finalize(pred.select("patient_key", "risk_level", F.col("prediction").cast("long").alias("prediction")))
-
-
 @query("m22_anomaly_scores")
 def q_m22(spark, sf):
     return finalize(AN.anomaly_lite(rec(spark, sf), "patient_key", ["study_id", "site_id"], FEATURES))
@@ -240,15 +233,6 @@ def q_o13(spark, sf):
     return finalize(x.orderBy(F.col("anomaly_score").desc(), "patient_key").limit(25))
 
 
-@query("m9_issue_classifiers")
-def q_m9(spark, sf):
-    from quarry.operators.issues import TYPES
-    from quarry.plans.issues_q import issue_record
-    i = issue_record(spark, sf)
-    feats = ["visit_visits_overdue_avg_days", "pages_pages_missing_avg_days", "completeness_score", "coding_completion_rate"]
-    return finalize(ML.train_issue_classifiers(i, feats, [f"issue_{t}" for t in TYPES]))
-
-
 from quarry import config as _cfg  # noqa: E402
 
 
