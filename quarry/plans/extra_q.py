@@ -51,8 +51,22 @@ def q_p26(spark, sf):
     return finalize(t.select("doc_id", "tag_type", "value", "display_name"))
 
 
-@query("v10_tfidf_index")
+_TFIDF = """
+w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+vo AS (SELECT term FROM g GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g JOIN vo USING (term) GROUP BY ALL),
+ix AS (SELECT doc_id, tf.term, tf, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS weight FROM tf JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) d ON d.term = tf.term)"""
+
+
+@query("v10_tfidf_index", "WITH " + _TFIDF + """
+SELECT doc_id, count(*) AS indexed_terms, (min({'w': -round(weight, 9), 'term': term})).term AS top_term, round(max(round(weight, 9)), 6) AS top_weight FROM ix GROUP BY 1""")
 def q_v10(spark, sf):
+    return finalize(TX.strongest_terms(TX.tfidf_index(load(spark, sf, "documents", ["doc_id", "text"]))))
+
+
+@query("v10_tfidf_weights", "WITH " + _TFIDF + " SELECT doc_id, term, tf, round(weight, 6) AS weight FROM ix")
+def q_v10_weights(spark, sf):
     return finalize(TX.tfidf_index(load(spark, sf, "documents", ["doc_id", "text"])))
 
 

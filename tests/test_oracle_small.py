@@ -21,7 +21,7 @@ def con():
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and len(df.columns) > 5
+    assert df.count() > 0 and len(df.columns) > 5
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in sdf.collect()]
     if name not in SQL:
-        assert len(sdf.columns) > 0
+        assert rows and len(sdf.columns) > 1  # their values are tested with their operators
         return
     rel = con.sql(SQL[name])
     drows = rel.fetchall()
