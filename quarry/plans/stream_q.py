@@ -17,7 +17,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start,
   time_bucket(INTERVAL 1 HOUR, created_at) + INTERVAL 1 HOUR AS window_end, category, count(*) AS alerts
 FROM alerts GROUP BY ALL""")
 def q_t6s(spark, sf):
-    out = ST.run_complete(ST.hourly_counts(ST.alert_stream(spark, sf)), "t6")
+    out = ST.all_hourly_counts(spark, sf)
     return finalize(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                                F.col("window_end").cast("timestamp_ntz").alias("window_end"), "category", "alerts"))
 
@@ -59,7 +59,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events, round(sum(value), 6) AS value
 FROM s GROUP BY user_id, nth""")
 def q_t12(spark, sf):
-    s = ST.run_complete(ST.usage_sessions(ST.event_stream(spark, sf)), "t12")
+    s = ST.all_usage_sessions(spark, sf)
     return finalize(s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
                              F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events", "value"))
 

@@ -7,6 +7,8 @@ the driver.
 
 * T6 / T4 - tumbling-window counts and digests with a watermark.
 * T12     - session windows of user activity.
+            T6 and T12 append what the watermark has passed, so the state
+            holds open windows only; the end of the input flushes those.
 * T1, T2, T11 - dedup, fatigue and circuit states: state machines run by
             blocks on each trigger's rows (`operators.machines`), with the
             states kept between triggers in a table.
@@ -26,21 +28,22 @@ from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import load
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream, whether it is one file or a folder of
-    files; a trigger takes all that has come since the last one."""
+def event_stream(spark: SparkSession, sf_dir: str, stream: bool = True) -> DataFrame:
+    """The event table as a stream (or, without `stream`, as it is), whether it
+    is one file or a folder of files; a trigger takes all that has come since
+    the last one."""
     schema = load(spark, sf_dir, "events").schema
     # event-time columns must be TIMESTAMP for watermarks; results are cast
     # back to TIMESTAMP_NTZ (a round trip in the session time zone)
-    return (spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")  # a pattern: one file will do as well as a folder
+    return ((spark.readStream if stream else spark.read).schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")  # a pattern: one file will do as well as a folder
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alert_stream(spark: SparkSession, sf_dir: str, stream: bool = True) -> DataFrame:
     """The alert columns of `quarry.sources.testmap.alerts`, on a stream."""
     from quarry.operators.alerts import classify_priority
     from quarry.sources.testmap import EVENT_CATEGORY, _map
-    ev = event_stream(spark, sf_dir)
+    ev = event_stream(spark, sf_dir, stream)
     k = F.get_json_object(F.col("props"), "$.k").cast("int")
     cat = F.when((F.col("event_type") == "error") & (k < 10), "safety").otherwise(
         _map(F.col("event_type"), EVENT_CATEGORY, "system"))
@@ -71,28 +74,6 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> Dat
     return spark.read.schema(df.schema).parquet(out)
 
 
-def run_complete(df: DataFrame, name: str) -> DataFrame:
-    """Drain everything available into a table of all groups, those still open
-    included: every trigger writes the whole result (complete mode), the
-    last one is read."""
-    spark = df.sparkSession
-    out, ckpt = _paths(spark, name)
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-         .outputMode("complete").trigger(availableNow=True).start())
-    q.awaitTermination()
-    found = spark.read.schema(f"{_ddl(df)}, epoch long").parquet(out)
-    last = found.agg(F.max("epoch").alias("last"))
-    return found.join(F.broadcast(last), F.col("epoch") == F.col("last")).select(*df.columns)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def hourly_counts(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Alerts per tumbling hour and category; a window is emitted once
     the watermark passes its end."""
@@ -102,6 +83,27 @@ def hourly_counts(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame:
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category", "alerts"))
 
 
+def all_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 over all input: windows are appended and leave the state when the
+    watermark passes them; those still open at the end of the input, whose rows
+    are no earlier than the last emitted end, are counted once from there."""
+    done = run_to_parquet(hourly_counts(alert_stream(spark, sf_dir)), "t6")
+    last = done.agg(F.max("window_end")).first()[0]
+    rest = alert_stream(spark, sf_dir, stream=False)
+    return done.unionByName(hourly_counts(rest if last is None else rest.where(F.col("created_at") >= F.lit(last))))
+
+
+def all_usage_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12 over all input: sessions are appended once the watermark passes
+    their end; what follows a user's last emitted session is still open at the
+    end of the input and is made into sessions once."""
+    done = run_to_parquet(usage_sessions(event_stream(spark, sf_dir)), "t12")
+    ends = done.groupBy(F.col("user_id").alias("_user")).agg(F.max("session_end").alias("_end"))
+    rest = event_stream(spark, sf_dir, stream=False)
+    rest = rest.join(ends, F.col("user_id").eqNullSafe(F.col("_user")), "left").where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end"))).drop("_user", "_end")
+    return done.unionByName(usage_sessions(rest))
+
+
 def daily_digest(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """T4: low / normal alerts per user per day."""
     x = alerts.filter(F.col("priority").isin("low", "normal")).withWatermark("created_at", watermark)

@@ -255,11 +255,27 @@ def test_streams_read_folders_and_lose_nothing(spark, files, tmp_path):
     table = str(tmp_path / "days")
     ST.daily_upsert(ST.event_stream(spark, sf), table)
     assert ST.daily_totals(spark, table).agg(F.sum("events")).first()[0] == n
-    assert ST.run_complete(ST.usage_sessions(ST.event_stream(spark, sf)), "s").agg(F.sum("events")).first()[0] == n
-    assert ST.run_complete(ST.hourly_counts(ST.alert_stream(spark, sf)), "h").agg(F.sum("alerts")).first()[0] == n
+    assert ST.all_usage_sessions(spark, sf).agg(F.sum("events")).first()[0] == n
+    assert ST.all_hourly_counts(spark, sf).agg(F.sum("alerts")).first()[0] == n
     assert ST.dedup_stream(ST.alert_stream(spark, sf)).count() == n
 
 
+def test_appended_and_flushed_windows_are_those_of_a_batch(spark, tmp_path):
+    """Both parts are there, and together they are what a batch over all input gives."""
+    from pyspark.sql import functions as F
+    from quarry.streaming import alerts_stream as ST
+    from tests.conftest import SF_SMALL
+    spark.read.parquet(SF_SMALL + "/events.parquet").repartitionByRange(4, "ts").write.parquet(str(tmp_path / "events.parquet"))
+    sf = str(tmp_path)
+    whole = ST.usage_sessions(ST.event_stream(spark, sf, stream=False))
+    rows = lambda df: sorted(map(tuple, df.select("user_id", "session_start", "session_end", "events", F.round("value", 6)).collect()), key=str)
+    assert rows(ST.all_usage_sessions(spark, sf)) == rows(whole)
+    appended = ST.run_to_parquet(ST.usage_sessions(ST.event_stream(spark, sf)), "appended").count()
+    assert 0 < appended < whole.count()
+    counts = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert counts(ST.all_hourly_counts(spark, sf)) == counts(ST.hourly_counts(ST.alert_stream(spark, sf, stream=False)))
+
+
 def test_escalation_timeline_matches_simulation(spark):
     from quarry import config
     from quarry.operators import collab
