@@ -77,3 +77,34 @@ def audit_query(entries: DataFrame, flagged: DataFrame, actors: Sequence[int], t
     x = entries.filter(F.col("actor_id").isin(list(actors)) & F.col("event_type").isin(list(types))
                        & (F.col("timestamp") >= ntz_lit(start)) & (F.col("timestamp") < ntz_lit(end)))
     return x.join(flagged, "entry_id", "left_semi").select("actor_id", "event_type").distinct()
+
+
+#: The optional predicates of an audit search and what they compare.
+AUDIT_EQUAL = ("actor_id", "event_type", "action_category", "entity_type", "entity_id", "severity", "success", "correlation_id")
+
+
+def audit_search(entries: DataFrame, flags: DataFrame | None = None, tags: DataFrame | None = None, *, start=None, end=None, flag: str | None = None,
+                 tag: str | None = None, limit: int = 100, offset: int = 0, **equal) -> DataFrame:
+    """a page of the audit entries that meet every criterion given, newest
+    first (ties: entry_id): equality on `AUDIT_EQUAL`, a time range (both ends
+    in), a compliance flag (entry_id, flag) and a tag (entry_id, tag).  Flags
+    and tags are semi joins, so an entry with many counts once.  `total` is the
+    number of entries on all pages."""
+    if unknown := set(equal) - set(AUDIT_EQUAL):
+        raise ValueError(f"no such criteria: {sorted(unknown)}")
+    x = entries
+    for c, v in equal.items():
+        if v is not None:
+            x = x.where(F.col(c) == F.lit(v))
+    if start is not None:
+        x = x.where(F.col("timestamp") >= ntz_lit(start))
+    if end is not None:
+        x = x.where(F.col("timestamp") <= ntz_lit(end))
+    if flag is not None:
+        x = x.join(flags.where(F.col("flag") == flag).select("entry_id"), "entry_id", "left_semi")
+    if tag is not None:
+        x = x.join(tags.where(F.col("tag") == tag).select("entry_id"), "entry_id", "left_semi")
+    x = x.distinct()
+    total = x.agg(F.count("*").alias("total"))
+    page = x.orderBy(F.desc("timestamp"), "entry_id").offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total))

@@ -122,6 +122,45 @@ def q_f4(spark, sf):
                                    dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)))
 
 
+_AUDIT = """
+WITH ae AS (SELECT event_id AS entry_id, ts AS timestamp, user_id AS actor_id, event_type, CASE WHEN event_type = 'error' THEN 'system' ELSE 'user' END AS action_category, 'session' AS entity_type,
+  'S' || CAST(user_id % 7 AS VARCHAR) AS entity_id, CASE WHEN value > 300 THEN 'high' WHEN value > 50 THEN 'medium' ELSE 'low' END AS severity, event_type <> 'error' AS success,
+  'c' || CAST(event_id % 97 AS VARCHAR) AS correlation_id FROM events),
+af AS (SELECT event_id AS entry_id, 'part11' AS flag FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'gcp' FROM events WHERE event_id % 2 = 0),
+ag AS (SELECT event_id AS entry_id, 'k' || CAST(CAST(props ->> '$.k' AS INTEGER) % 5 AS VARCHAR) AS tag FROM events UNION ALL SELECT event_id, 'all' FROM events)"""
+
+
+def _audit_tables(spark, sf):
+    ev = load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    i = F.col("event_id").alias("entry_id")
+    entries = ev.select(i, F.col("ts").alias("timestamp"), F.col("user_id").alias("actor_id"), "event_type", F.when(F.col("event_type") == "error", "system").otherwise("user").alias("action_category"),
+                        F.lit("session").alias("entity_type"), F.concat(F.lit("S"), (F.col("user_id") % 7).cast("string")).alias("entity_id"),
+                        F.when(F.col("value") > 300, "high").when(F.col("value") > 50, "medium").otherwise("low").alias("severity"), (F.col("event_type") != "error").alias("success"),
+                        F.concat(F.lit("c"), (F.col("event_id") % 97).cast("string")).alias("correlation_id"))
+    flags = ev.where("event_id % 3 = 0").select(i, F.lit("part11").alias("flag")).unionAll(ev.where("event_id % 2 = 0").select(i, F.lit("gcp").alias("flag")))
+    k = F.get_json_object("props", "$.k").cast("int") % 5
+    tags = ev.select(i, F.concat(F.lit("k"), k.cast("string")).alias("tag")).unionAll(ev.select(i, F.lit("all").alias("tag")))
+    return entries, flags, tags
+
+
+@query("f4_audit_search", _AUDIT + """,
+hit AS (SELECT DISTINCT * FROM ae WHERE action_category = 'user' AND entity_type = 'session' AND severity = 'medium' AND success AND timestamp >= TIMESTAMP '2024-01-03 00:00:00'
+  AND timestamp <= TIMESTAMP '2024-01-28 00:00:00' AND entry_id IN (SELECT entry_id FROM af WHERE flag = 'part11') AND entry_id IN (SELECT entry_id FROM ag WHERE tag = 'k2'))
+SELECT *, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY timestamp DESC, entry_id LIMIT 20 OFFSET 10""")
+def q_f4_search(spark, sf):
+    entries, flags, tags = _audit_tables(spark, sf)
+    return finalize(FL.audit_search(entries, flags, tags, action_category="user", entity_type="session", severity="medium", success=True, start=dt.datetime(2024, 1, 3), end=dt.datetime(2024, 1, 28),
+                                    flag="part11", tag="k2", limit=20, offset=10))
+
+
+@query("f4_audit_entity", _AUDIT + """,
+hit AS (SELECT DISTINCT * FROM ae WHERE actor_id = 8 AND event_type = 'error' AND entity_id = 'S1')
+SELECT *, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY timestamp DESC, entry_id LIMIT 100""")
+def q_f4_entity(spark, sf):
+    entries, _, _ = _audit_tables(spark, sf)
+    return finalize(FL.audit_search(entries, actor_id=8, event_type="error", entity_id="S1"))
+
+
 @query("a58_matches_and_effort", RECS_SQL + """
 SELECT issue_type, count(*) AS matches, count(DISTINCT site_id) AS sites,
   round(sum(issue_count * CAST(estimated_effort_hours AS DOUBLE)), 6) AS total_effort_hours FROM recs GROUP BY 1""")

@@ -1,4 +1,10 @@
-"""Study metrics with missing parts, and the region lookup."""
+"""Study metrics with missing parts, the region lookup, and audit searches."""
+import datetime as dt
+import itertools
+
+import pytest
+
+from quarry.operators import filters as FL
 from quarry.operators import stats as ST
 
 
@@ -21,3 +27,22 @@ def test_sites_without_a_region_are_unknown(spark):
     lookup = spark.createDataFrame([("a", "EU"), ("a", "ASIA"), ("b", "EU"), ("c", None)], "site_id string, region string")
     got = {r["region"]: (r["sites"], r["patients"], r["mean_of_sites"]) for r in ST.by_region(sites, lookup).collect()}
     assert got == {"ASIA": (1, 3, 90.0), "EU": (1, 1, 80.0), "Unknown": (2, 7, 65.0)}
+
+
+def test_audit_search_takes_any_criteria(spark):
+    day = lambda n: dt.datetime(2024, 1, 1 + n % 9)
+    cols = ["entry_id", "timestamp", *FL.AUDIT_EQUAL]
+    rows = [(i, day(i), i % 3, "ab"[i % 2], "u", "site", f"e{i % 4}", "low" if i % 5 else "high", i % 2 == 0, f"c{i % 6}") for i in range(60)] + [(7, day(7), 1, "b", "u", "site", "e3", "low", False, "c1")]
+    df = spark.createDataFrame(rows, "entry_id int, timestamp timestamp_ntz, actor_id int, event_type string, action_category string, entity_type string, entity_id string, severity string, success boolean, correlation_id string")
+    flags = [(i, f) for i in range(60) for f in (("x", "x") if i % 4 == 0 else ("y",))]
+    tags = [(i, "t") for i in range(0, 60, 3)]
+    fdf, tdf = spark.createDataFrame(flags, "entry_id int, flag string"), spark.createDataFrame(tags, "entry_id int, tag string")
+    choices = [{}, {"actor_id": 1}, {"event_type": "a", "success": True}, {"entity_id": "e3", "severity": "low"}, {"correlation_id": "c1"}]
+    for equal, start, flag, tag in itertools.product(choices, (None, day(3)), (None, "x"), (None, "t")):
+        want = {r for r in rows if all(r[cols.index(c)] == v for c, v in equal.items()) and (start is None or start <= r[1] <= day(6))
+                and (flag is None or (r[0], flag) in flags) and (tag is None or (r[0], tag) in tags)}
+        got = FL.audit_search(df, fdf, tdf, start=start, end=start and day(6), flag=flag, tag=tag, limit=5, offset=2, **equal).collect()
+        assert [tuple(r)[:-1] for r in got] == sorted(want, key=lambda r: (-r[1].toordinal(), r[0]))[2:7]
+        assert all(r["total"] == len(want) for r in got)
+    with pytest.raises(ValueError):
+        FL.audit_search(df, colour="red")
