@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.ranking import running_sums
+
 BINS = 512
 
 
@@ -64,3 +66,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
         out[c] = [(math.ceil(p) - p) * ranges[c, math.floor(p)][0] + (p - math.floor(p)) * ranges[c, math.ceil(p)][0] if p != math.floor(p)
                   else ranges[c, int(p)][0] for p in need[c]] or [None] * len(qs)
     return out
+
+
+def group_quantiles(df: DataFrame, groups: Sequence[str], value: str, qs: Sequence[float], prefix: str = "q") -> DataFrame:
+    """(groups, q0, q1, ..) with linear interpolation for each group that has
+    values; nulls and NaN do not count.
+
+    The distinct (group, value) counts are summed range by range in their
+    order; a group's ranks are those sums less what stands before the group.
+    The values at the two ranks beside a quantile are then plain maxima, so
+    neither a group nor its distinct values are gathered anywhere."""
+    g = list(groups)
+    v = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
+    h = df.select(*g, v.alias("_v")).where("_v IS NOT NULL").groupBy(*g, "_v").agg(F.count("*").alias("_c"))
+    h = running_sums(h, [*g, "_v"], ["_c"])
+    size = h.groupBy(*g).agg(F.sum("_c").alias("_n"), F.min("_c_before").alias("_first"))
+    same = [F.col(f"h.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in g]
+    x = h.alias("h").join(size.alias("s"), same) if g else h.crossJoin(size)
+    x = x.select(*[F.col(f"h.`{c}`") if g else F.col(c) for c in g], "_v", "_n", (F.col("_c_before") - F.col("_first")).alias("_before"))
+    parts = []
+    for k, q in enumerate(qs):
+        at = (F.col("_n") - 1) * q
+        parts += [F.max(F.when(F.col("_before") <= F.floor(at), F.col("_v"))).alias(f"_lo{k}"), F.max(F.when(F.col("_before") <= F.ceil(at), F.col("_v"))).alias(f"_hi{k}"),
+                  F.max(at - F.floor(at)).alias(f"_w{k}")]
+    x = x.groupBy(*g).agg(*parts)
+    return x.select(*g, *[F.when(F.col(f"_w{k}") == 0, F.col(f"_lo{k}")).otherwise(F.col(f"_lo{k}") * (1 - F.col(f"_w{k}")) + F.col(f"_hi{k}") * F.col(f"_w{k}")).alias(f"{prefix}{k}") for k in range(len(qs))])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.operators.issues import META, TYPES
-from quarry.functions.quantiles import exact_quantiles
+from quarry.functions.quantiles import exact_quantiles, group_quantiles
 from quarry.operators.ml import ordered_row_number
 
 
@@ -146,8 +146,8 @@ def impute(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categoric
 
 def quantile_baseline(train: DataFrame, cells: Sequence[str], target: str) -> DataFrame:
     """p10 / p50 / p90 of the target per feature cell (exact)."""
-    return train.groupBy(*cells).agg(F.percentile(target, [0.1, 0.5, 0.9]).alias("_q"), F.count(F.lit(1)).alias("n")) \
-        .select(*cells, "n", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p90"))
+    q = group_quantiles(train, cells, target, [0.1, 0.5, 0.9]).toDF(*cells, "p10", "p50", "p90")
+    return train.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).join(q, list(cells))
 
 
 def interval_metrics(pred: DataFrame, target: str, cls: str) -> DataFrame:

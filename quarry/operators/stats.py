@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.quantiles import exact_quantiles
+
 TOP_ACTORS = 10
 SHORT_DAYS, MEDIUM_DAYS = 7, 30
 ISSUE_KEYWORDS = {"query": "has_query", "sae": "has_sae", "lab": "has_lab", "visit": "has_visit", "coding": "has_coding", "signature": "has_signature"}
@@ -51,10 +53,9 @@ def outcomes_by_agent(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def winsorised(df: DataFrame, value: str, group: str, q: float = 0.99, factor: float = 2.0) -> DataFrame:
     """P20: mean and maximum per group before and after clipping to
-    [0, factor x quantile], with the number of clipped rows.  The quantile's
-    buffer holds distinct values: for columns of few distinct values."""
-    limit = df.agg((F.percentile(F.col(value).cast("double"), q) * factor).alias("limit"))
-    x = df.crossJoin(F.broadcast(limit))  # one row
+    [0, factor x quantile], with the number of clipped rows."""
+    limit = exact_quantiles(df, [value], [q])[value][0]
+    x = df.withColumn("limit", F.lit(None if limit is None else limit * factor).cast("double"))
     v = F.col(value).cast("double")
     clipped = F.greatest(F.lit(0.0), F.least(v, F.col("limit")))
     return x.groupBy(group, "limit").agg(F.avg(v).alias("mean_before"), F.avg(clipped).alias("mean_after"), F.max(clipped).alias("max_after"),

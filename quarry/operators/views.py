@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions.exprs import epoch_micros, first_true, ntz_lit
+from quarry.functions.quantiles import group_quantiles
 
 
 def portfolio_rollup(df: DataFrame) -> DataFrame:
-    """Portfolio, study and site summaries in one pass (ROLLUP)."""
+    """Portfolio, study and site summaries in one pass (ROLLUP), their
+    medians from counts of the distinct scores."""
     c = F.col
+    median = None
+    for keys in (["study_id", "site_id"], ["study_id"], []):
+        one = group_quantiles(df, keys, "dqi_score", [0.5]).withColumns({k: F.lit(None).cast("string") for k in ("study_id", "site_id") if k not in keys})
+        one = one.select(F.col("study_id").alias("_study"), F.col("site_id").alias("_site"), F.lit(2 - len(keys)).alias("_level"), F.col("q0").alias("dqi_median"))
+        median = one if median is None else median.unionByName(one)
     r = df.rollup("study_id", "site_id").agg(
         F.count(F.lit(1)).alias("patients"), F.avg("dqi_score").alias("dqi_mean"),
-        F.percentile("dqi_score", 0.5).alias("dqi_median"), F.stddev_samp("dqi_score").alias("dqi_std"),
+        F.stddev_samp("dqi_score").alias("dqi_std"),
         F.min("dqi_score").alias("dqi_min"), F.max("dqi_score").alias("dqi_max"),
         F.count(F.when(c("tier1_clean"), 1)).alias("tier1_clean"), F.count(F.when(c("tier2_clean"), 1)).alias("tier2_clean"),
         F.count(F.when(c("dblock_tier1_ready"), 1)).alias("ready"), F.grouping_id().alias("_g"))
     level = F.when(c("_g") == 3, "portfolio").when(c("_g") == 1, "study").otherwise("site")
-    return r.withColumn("level", level).drop("_g")
+    depth = F.when(c("_g") == 3, 2).when(c("_g") == 1, 1).otherwise(0)
+    same = c("study_id").eqNullSafe(c("_study")) & c("site_id").eqNullSafe(c("_site")) & (depth == c("_level"))
+    return r.withColumn("level", level).join(median, same, "left").drop("_g", "_study", "_site", "_level")
 
 
 def regional_metrics(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions.quantiles import exact_quantiles
+from quarry.functions.quantiles import exact_quantiles, group_quantiles
 from quarry.functions.ranking import histogram_rank, running_sums
 from quarry.operators import evaluation as EV
 from quarry.operators import ml as ML
@@ -120,3 +120,17 @@ def test_quantiles_with_infinite_and_missing_values(spark):
         mid = (len(known) - 1) / 2
         lo, hi = known[math.floor(mid)], known[math.ceil(mid)]
         assert got[0] == known[0] and got[2] == known[-1] and (got[1] == (lo if lo == hi else lo / 2 + hi / 2) or (lo == -inf and hi == inf and math.isnan(got[1])))
+
+
+def test_group_quantiles(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([1.5, 2.0, rng.random() * 9, None, float("nan")])) for _ in range(900)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in group_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9]).collect()}
+    by = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            by.setdefault(g, []).append(v)
+    assert got.keys() == by.keys() and all(np.allclose(got[g], np.quantile(by[g], [0.1, 0.5, 0.9])) for g in by)
+    every = group_quantiles(df, [], "v", [0.25]).first()["q0"]
+    assert abs(every - np.quantile([v for own in by.values() for v in own], 0.25)) < 1e-9
