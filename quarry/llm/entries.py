@@ -104,7 +104,8 @@ def op3_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op9_perspective_rotation", """
-WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, replace(coalesce(nullif(trim(translate(trim(role), chr(13) || chr(10), '  ')), ''), 'unknown'), '<|im_', '<' || chr(8203) || '|im_') AS speaker,
+             replace(coalesce(text, ''), '<|im_', '<' || chr(8203) || '|im_') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 v AS (SELECT t.conv_id, p.perspective, t.turn, t.speaker, t.text, t.speaker = p.perspective AS learnt,
              CASE WHEN t.speaker = 'system' THEN 'system' WHEN t.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role,

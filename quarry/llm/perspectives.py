@@ -10,6 +10,9 @@ where it begins in the rendering, and which part of it is to be learnt.  The
 segments in order are the rendering.  A conversation of any length is never
 gathered: offsets come from sums over blocks of turns and sums before a block.
 
+A mark inside a text or a name could end a message or begin one, so a
+zero-width space is put behind its `<`; line feeds in a name become spaces.
+
 Defined results: a null text is an empty message; a null or empty role is the
 speaker `unknown`; turns are ordered by number, null turns first, ties by role
 and rendered segment; a
@@ -27,16 +30,21 @@ BLOCK_TURNS = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _unmarked(c: Column) -> Column:
+    return F.replace(c, F.lit("<|im_"), F.lit("<\u200b|im_"))
+
+
 def _head(role: Column, name: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
     """Messages of every rendering, with offsets and the learnt spans."""
-    speaker = F.when(F.trim("role") == "", None).otherwise(F.trim("role"))
+    speaker = F.translate(F.trim("role"), "\r\n", "  ")
+    speaker = F.when(F.trim(speaker) == "", None).otherwise(F.trim(speaker))
     # null conversations and turns are keys like any other, without null-safe joins that would deal the rows out again
     turns = conversations.select("conv_id", "turn", F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("no_conv"),
-                                 F.coalesce(speaker, F.lit(UNKNOWN)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+                                 _unmarked(F.coalesce(speaker, F.lit(UNKNOWN))).alias("speaker"), _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
     parties = turns.where(F.col("speaker") != SYSTEM).select("conv", "no_conv", F.col("speaker").alias("perspective")).distinct()
     views = turns.join(parties, ["conv", "no_conv"])
     own = F.col("speaker") == F.col("perspective")
