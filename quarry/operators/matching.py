@@ -13,6 +13,7 @@ TYPE, ISSUES, SEVERITY = 0.4, 0.3, 0.2
 SIMILARITY, CONFIDENCE, BEST = 0.7, 0.6, 5
 SEVERITY_SCORES = {"Critical": 1.0, "High": 0.75, "Medium": 0.5, "Low": 0.25}
 GRAM = 3
+SLICE = 256
 
 
 # similar sets
@@ -30,22 +31,42 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
 
     Tokens are ordered by how rare they are.  Two sets that are similar enough
     share a token among their first n - ceil(least * n) + 1, and neither is
-    shorter than `least` times the other; only such pairs are compared."""
+    shorter than `least` times the other; only such pairs are compared, each
+    under the first token that they share.  What stands behind that token and
+    64 bits of each set bound their shared members before these are looked up.
+    The sets under a token are cut into slices of about `SLICE`, each of which
+    meets all of them, so a token that most sets have is the work of many tasks."""
     if least <= 0:
         raise ValueError("without a least similarity every pair qualifies")
     rare = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     ordered = sets.select("id", "part", F.explode("tokens").alias("token")).join(rare, "token").groupBy("id", "part").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("tokens"))
     n = F.size("tokens")
-    ordered = materialize_table(ordered.select("id", "part", "tokens", n.alias("n")), "set-order")
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
+    ordered = materialize_table(ordered.select("id", "part", "tokens", n.alias("n"), bits.alias("bits")), "set-order")
     # a share of n a hair above a whole number is that number
     first = F.slice("tokens", F.lit(1), (n - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    index = ordered.select("part", F.explode(first).alias("token"), "id", "n", "tokens")
-    x, y = index.alias("x"), index.alias("y")
-    near = (F.col("x.part").eqNullSafe(F.col("y.part")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.n") >= F.col("y.n") * least - 1e-9) & (F.col("y.n") >= F.col("x.n") * least - 1e-9))
-    pairs = x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), jaccard(F.col("x.tokens"), F.col("y.tokens")).alias("jaccard")).distinct()
-    return pairs.where(F.col("jaccard") >= least - 1e-9)
+    # a struct equals another with a null at the same place
+    index = materialize_table(ordered.select(F.struct("part").alias("part"), F.posexplode(first).alias("at", "token"), "id", "n", "bits", "tokens"), "set-index")
+    sizes = index.groupBy("part", "token").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    index = index.join(sizes, ["part", "token"])
+    spark = sets.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    deal = lambda df: df.repartition(tasks, "part", "token", "slice")
+    x = deal(index.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))).alias("x")
+    y = deal(index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))).alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    enough = both * (least / (1 + least)) - 1e-9  # shared members at the least
+    behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))  # no fewer members are in one set only
+    shared = F.array_intersect("x.tokens", "y.tokens")
+    near = ((F.col("x.part") == F.col("y.part")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.n") >= F.col("y.n") * least - 1e-9) & (F.col("y.n") >= F.col("x.n") * least - 1e-9)
+            & (behind >= enough) & (both - apart >= 2 * enough))
+    # exploded, so that it is computed once a pair and stays out of the join's condition
+    pairs = x.join(y.hint("merge"), near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.token").alias("token"), both.alias("both"), F.explode(F.array(shared)).alias("shared"))
+    pairs = pairs.where(F.get("shared", F.lit(0)) == F.col("token"))
+    return pairs.select("a", "b", (F.size("shared") / (F.col("both") - F.size("shared"))).alias("jaccard")).where(F.col("jaccard") >= least - 1e-9)
 
 
 def transfer_matches(items: DataFrame, similarity: float = SIMILARITY, best: int = BEST) -> DataFrame:

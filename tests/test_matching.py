@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import matching as MA
 
@@ -59,6 +60,15 @@ def test_best_transfers_equal_full_comparison(spark, skewed):
         assert r["severity_calibration"] == (abs(order.index(r["source_severity"]) - order.index(r["target_severity"])) > 1)
 
 
+def test_sets_of_one_file_are_compared_by_many_tasks(spark):
+    rng = random.Random(3)
+    sets = {tuple(sorted({"in all", *rng.sample("abcdefghij", rng.randrange(1, 8))})) for _ in range(400)}
+    df = spark.createDataFrame([(",".join(t), None, list(t)) for t in sets], "id string, part string, tokens array<string>").coalesce(1)
+    got = MA.similar_sets(df, 0.3).withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r["a"], r["b"]) for r in got}) == len(got) == sum(plain_jaccard(set(x), set(y)) >= 0.3 - 1e-9 for x in sets for y in sets if x < y)
+    assert len({r["task"] for r in got}) > 8
+
+
 def plain_search(queries, dictionary, variations, best):
     out = {}
     for query in {q for q in queries if q.strip()}:
