@@ -79,29 +79,60 @@ def transfer_matches(items: DataFrame, similarity: float = SIMILARITY, best: int
     alone, so equal ones form a class, and classes are compared.  Only a
     class's best items can be among a study's best matches: `best` of each
     study as targets, and as sources the 2 * best of those that come first, of
-    which at least `best` are of another study."""
+    which at least `best` are of another study.
+
+    Matches inside classes are found first.  The last of a study's best ones is
+    a bar for all others, so different classes are compared, and their items
+    joined, only where their most confident items could still reach it."""
     if similarity <= ISSUES + SEVERITY:
         raise ValueError("items of different types would match")
     items = items.withColumn("tokens", F.sort_array("tokens")).withColumn("cls", F.md5(F.concat_ws("\x01", "type", "severity", F.array_join("tokens", "\x02"))))
     items = materialize_table(items, "transfer-items")
-    classes = materialize_table(items.groupBy("cls").agg(F.first("type").alias("type"), F.first("severity").alias("severity"), F.first("tokens").alias("tokens"), F.count("*").alias("affected")), "transfer-classes")
+    top = F.max(F.coalesce("confidence", F.lit(float("inf"))))  # a null is no bound
+    classes = materialize_table(items.groupBy("cls").agg(F.first("type").alias("type"), F.first("severity").alias("severity"), F.first("tokens").alias("tokens"), F.count("*").alias("affected"), top.alias("top")), "transfer-classes")
     order = [F.desc("confidence"), F.asc("item")]
-    targets = items.withColumn("_n", F.row_number().over(Window.partitionBy("cls", "study").orderBy(*order))).where(F.col("_n") <= best)
-    sources = targets.withColumn("_n", F.row_number().over(Window.partitionBy("cls").orderBy(*order))).where(F.col("_n") <= 2 * best)
-    least = max(similarity - TYPE - SEVERITY, 1e-6) / ISSUES
-    pairs = similar_sets(classes.select(F.col("cls").alias("id"), F.col("type").alias("part"), "tokens"), least)
-    of = lambda side: classes.select(F.col("cls").alias(side), F.col("severity").alias(f"severity_{side}"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
-    score = F.lit(TYPE) + ISSUES * F.col("jaccard") + F.when(F.col("severity_a") == F.col("severity_b"), SEVERITY).otherwise(0.0)
-    pairs = pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= similarity)
-    same = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), (F.lit(TYPE) + ISSUES * F.when(F.size("tokens") > 0, 1.0).otherwise(0.0) + SEVERITY).alias("similarity"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(same.where(F.col("similarity") >= similarity))
+    targets = materialize_table(items.withColumn("_n", F.row_number().over(Window.partitionBy("cls", "study").orderBy(*order))).where(F.col("_n") <= best), "transfer-targets")
+    sources = materialize_table(targets.withColumn("_n", F.row_number().over(Window.partitionBy("cls").orderBy(*order))).where(F.col("_n") <= 2 * best), "transfer-sources")
     s = sources.select(F.col("cls").alias("a"), F.col("item").alias("source"), F.col("study").alias("source_study"), F.col("confidence").alias("_s"), F.col("type").alias("pattern_type"), F.col("severity").alias("source_severity"))
     t = targets.select(F.col("cls").alias("b"), F.col("item").alias("target"), F.col("study").alias("target_study"), F.col("confidence").alias("_t"), F.col("severity").alias("target_severity"))
-    x = both.join(s, "a").join(t, "b").where(F.col("source_study") != F.col("target_study"))
-    x = x.withColumn("confidence", F.least("_s", "_t") * F.col("similarity"))
-    place = F.row_number().over(Window.partitionBy("target_study").orderBy(F.desc("confidence"), F.desc("_s"), F.desc("_t"), "source", "target"))
-    x = x.withColumn("place", place).where(F.col("place") <= best)
+    ranked = Window.partitionBy("target_study").orderBy(F.desc("confidence"), F.desc("_s"), F.desc("_t"), "source", "target")
+
+    def best_of(pairs: DataFrame, on: list[str]) -> DataFrame:
+        x = pairs.join(s, "a").join(t, on).where(F.col("source_study") != F.col("target_study"))
+        x = x.withColumn("confidence", F.least("_s", "_t") * F.col("similarity"))
+        return x.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= best)
+
+    same = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), (F.lit(TYPE) + ISSUES * F.when(F.size("tokens") > 0, 1.0).otherwise(0.0) + SEVERITY).alias("similarity"))
+    inside = materialize_table(best_of(same.where(F.col("similarity") >= similarity), ["b"]), "transfer-inside")
+    bar = F.max(F.when(F.col("place") == best, F.col("confidence")))
+    bars = targets.select(F.col("study").alias("target_study")).distinct().where("target_study IS NOT NULL").join(inside.groupBy("target_study").agg(bar.alias("bar")), "target_study", "left")
+    bars = materialize_table(bars.select("target_study", F.coalesce("bar", F.lit(float("-inf"))).alias("bar")), "transfer-bars")  # a row a study
+    reach = lambda c, most: F.greatest(c * most, c * similarity) + 1e-9
+    n = F.size("tokens")
+    most = F.lit(TYPE + SEVERITY) + ISSUES * n / (n + 1)  # the nearest other set has one more
+    other = F.greatest(most, F.lit(TYPE + ISSUES))  # or the same under another severity
+    able = classes.crossJoin(bars.agg(F.min("bar").alias("least"))).where(reach(F.col("top"), other) >= F.col("least"))
+    able = materialize_table(able, "transfer-able")
+    least = lambda rest: max(similarity - TYPE - rest, 1e-6) / ISSUES
+    # of one severity, then of different ones
+    pairs = similar_sets(able.select(F.col("cls").alias("id"), F.to_json(F.struct("type", "severity")).alias("part"), "tokens"), least(SEVERITY))
+    if least(0) >= 1 - 1e-9:  # equal sets alone
+        x, y = (able.where(n > 0).select(F.struct("type", "tokens").alias("set"), F.col("cls").alias(c)) for c in "ab")
+        cross = x.join(y, "set").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    else:
+        cross = similar_sets(able.select(F.col("cls").alias("id"), F.col("type").alias("part"), "tokens"), least(0))
+    of = lambda side: able.select(F.col("cls").alias(side), F.col("severity").alias(f"severity_{side}"))
+    known = lambda p: p.join(of("a"), "a").join(of("b"), "b")
+    alike = F.coalesce(F.col("severity_a") == F.col("severity_b"), F.lit(False))
+    pairs = known(pairs).where(alike).unionByName(known(cross).where(~alike))
+    score = F.lit(TYPE) + ISSUES * F.col("jaccard") + F.when(alike, SEVERITY).otherwise(0.0)
+    pairs = pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= similarity)
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    tops = targets.groupBy(F.col("cls").alias("b"), F.col("study").alias("target_study")).agg(top.alias("_b")).join(F.broadcast(bars), "target_study")
+    near = pairs.join(able.select(F.col("cls").alias("a"), F.col("top").alias("_a")), "a").join(tops, "b")
+    near = near.where(F.least("_a", "_b") * F.col("similarity") + 1e-9 >= F.col("bar")).select("a", "b", "target_study", "similarity")
+    outside = best_of(near, ["b", "target_study"])
+    x = inside.unionByName(outside).withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= best)
     kind = F.when(F.col("similarity") >= 0.95, "exact").when(F.col("similarity") >= 0.85, "similar").otherwise("related")
     return x.join(classes.select(F.col("cls").alias("a"), "affected"), "a").select(
         "target_study", "place", "source_study", "source", "target", "pattern_type", "source_severity", "target_severity", "similarity", kind.alias("match_type"), "confidence", "affected")

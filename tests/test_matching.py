@@ -69,6 +69,19 @@ def test_sets_of_one_file_are_compared_by_many_tasks(spark):
     assert len({r["task"] for r in got}) > 8
 
 
+def test_classes_that_cannot_reach_the_best_are_not_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    sets = [sorted(rng.sample("abcdefghijkl", rng.randrange(1, 7))) for _ in range(200)]
+    rows = [(f"i{i:03d}", "ABC"[i % 3], "sdv", "High", x, 0.7) for i, x in enumerate(sets)]
+    rows += [(f"t{i}", "ABC"[i % 3], "sdv", "High", ["x", "y"], 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "item string, study string, type string, severity string, tokens array<string>, confidence double")
+    compared, plain = [], MA.similar_sets
+    monkeypatch.setattr(MA, "similar_sets", lambda sets, least: (compared.append(sets.count()), plain(sets, least))[1])
+    got = MA.transfer_matches(df).collect()
+    assert len(got) == 15 and all(r["confidence"] == pytest.approx(0.9) and r["source"][0] == r["target"][0] == "t" for r in got)
+    assert max(compared) <= 1
+
+
 def plain_search(queries, dictionary, variations, best):
     out = {}
     for query in {q for q in queries if q.strip()}:
