@@ -31,7 +31,7 @@ BINS = 32
 ROUNDS, DEPTH, RATE, DECAY, LEAST_ROWS = 20, 3, 0.3, 1.0, 10
 WRITTEN_EVERY = 7
 RESIDUAL_BINS = 512
-PACKED = "known boolean, bins binary, y binary, p binary"
+PACKED = "bins binary, y binary, p binary"
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ class Boosted:
     """The rows with their bins, and the predictions of all outputs so far."""
 
     outputs: list[Output]
-    packed: DataFrame  # id, whether the row counts for any output, and its bins, y and p, each as one binary value; p is that of all rounds but the fresh
+    packed: DataFrame  # id; bins, y and p, each as one binary value; p is that of all rounds but the fresh
     edges: list[np.ndarray]
     spans: dict[int, tuple[float, float]]  # of a quantile's residuals
     trees: list[list[Tree]] = field(default_factory=list)  # by round
@@ -129,10 +129,6 @@ class Boosted:
 
         return self.packed.select("id", "bins", "y", "p").mapInArrow(run, "id string, bins array<int>, y array<double>, p array<double>")
 
-    @property
-    def counting(self) -> DataFrame:
-        return self.packed.where("known").select("bins", "y", "p")
-
     @property
     def kind(self) -> np.dtype:
         """The least type that holds a bin."""
@@ -214,7 +210,7 @@ def prepare(df: DataFrame, key: str, features: Sequence[str], outputs: list[Outp
                     v = column(1 + f)
                     at[:, f] = np.where(np.isnan(v), 0, np.searchsorted(e, v) + 1)
                 y = np.stack([column(1 + n_features + k) for k in range(n_outputs)], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(~np.isnan(y).all(axis=1)), _packed(at), _packed(y), _packed(np.tile(np.array(start, float), (n, 1)))], names=["id", "known", "bins", "y", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _packed(at), _packed(y), _packed(np.tile(np.array(start, float), (n, 1)))], names=["id", "bins", "y", "p"])
 
     flat = df.select(F.col(key).cast("string").alias("id"), *[F.col(c).cast("double").alias(f"f{f}") for f, c in enumerate(features)], *[o.target.cast("double").alias(f"y{k}") for k, o in enumerate(outputs)])
     model.packed = materialize_table(flat.mapInArrow(run, f"id string, {PACKED}"), "boost-rows")
@@ -252,7 +248,7 @@ def _sums(model: Boosted, growing: list[Tree], level: int, n_bins: int) -> np.nd
 
     out = np.zeros(int(np.prod(shape)))
     # outputs * nodes * features * bins * 3 at most
-    got = model.counting.mapInArrow(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    got = model.packed.select("bins", "y", "p").mapInArrow(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     out[got["at"].to_numpy()] = got["v"].to_numpy()
     return out.reshape(shape)
 
@@ -274,7 +270,7 @@ def _leaf_quantiles(model: Boosted, growing: list[Tree], spans: dict[int, tuple[
 
     got: dict[tuple[int, int], np.ndarray] = {}
     # quantile outputs * leaves * RESIDUAL_BINS at most
-    sums = model.counting.mapInArrow(part, "k int, node int, bin int, c double").groupBy("k", "node", "bin").agg(F.sum("c").alias("c")).toArrow()
+    sums = model.packed.select("bins", "y", "p").mapInArrow(part, "k int, node int, bin int, c double").groupBy("k", "node", "bin").agg(F.sum("c").alias("c")).toArrow()
     for k, node, b, c in zip(*(sums[x].to_pylist() for x in ("k", "node", "bin", "c"))):
         got.setdefault((k, node), np.zeros(RESIDUAL_BINS))[b] = c
     out = {}

@@ -69,6 +69,18 @@ def test_first_trees_equal_plain_ones(df):
         assert (want.cut == got.cut)[want.feature >= 0].all()
 
 
+def test_rows_are_kept_as_single_values(df):
+    """A pass reads a binary value for each of bins, y and p; arrays cost a step per element."""
+    outputs = [BO.Output("d", F.when(F.col("id") % 2 == 0, F.col("days")), "quantile", 0.5), BO.Output("big", (F.col("days") > 10).cast("double"), "logistic")]
+    model = BO.prepare(df, "id", ["a", "b", "c"], outputs)
+    assert dict(model.packed.dtypes) == {"id": "string", "bins": "binary", "y": "binary", "p": "binary"}
+    days = {str(r["id"]): r["days"] for r in df.collect()}
+    for r in model.rows.collect():
+        assert r["y"][1] == (days[r["id"]] > 10) and (r["y"][0] == days[r["id"]] if int(r["id"]) % 2 == 0 else np.isnan(r["y"][0]))
+    for r, p in zip(model.packed.limit(50).collect(), model.rows.limit(50).collect()):
+        assert list(np.frombuffer(r["bins"], model.kind)) == p["bins"] and list(np.frombuffer(r["p"])) == p["p"]
+
+
 def test_written_rounds_change_nothing(df, monkeypatch):
     outputs = [BO.Output("d", F.col("days"), "quantile", 0.5), BO.Output("big", (F.col("days") > 10).cast("double"), "logistic")]
     one = {r["id"]: r["p"] for r in BO.predicted(BO.boost(df, "id", ["a", "b", "c"], outputs, rounds=5)).collect()}
