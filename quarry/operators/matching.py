@@ -12,7 +12,8 @@ from quarry.session import materialize_table
 TYPE, ISSUES, SEVERITY = 0.4, 0.3, 0.2
 SIMILARITY, CONFIDENCE, BEST = 0.7, 0.6, 5
 SEVERITY_SCORES = {"Critical": 1.0, "High": 0.75, "Medium": 0.5, "Low": 0.25}
-GRAM = 3
+#: Code points up to which a needle is few, and up to which it is its own key.
+SHORT, GRAM = 5, 16
 SLICE = 256
 
 
@@ -155,30 +156,44 @@ def transfer_recommendations(matches: DataFrame, least: float = CONFIDENCE) -> D
 # dictionary search
 
 
-def _grams(text: Column, n: Column | int) -> Column:
-    """Distinct runs of n code points; none where the text is shorter."""
-    size = F.lit(n) if isinstance(n, int) else n
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size)))).otherwise(F.expr("CAST(array() AS array<string>)"))
+def _runs(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of as many code points as each of `sizes` says."""
+    n = F.length(text)
+    fit = F.filter(F.array(*map(F.lit, sizes)), lambda size: size <= n)
+    return F.array_distinct(F.flatten(F.transform(fit, lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))))
 
 
 def _holding(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle, hay) ids of all pairs of texts (id, text) where the second holds
-    the first, by an inverted index of q-grams.
-
-    A needle is looked up under the rarest of its grams alone (itself, if it is
-    shorter than a gram), and what is found there is compared.  Empty texts
-    hold nothing and are held by nothing."""
-    sizes = sorted({r["g"] for r in needles.where(F.length("text") > 0).select(F.least(F.length("text"), F.lit(GRAM)).alias("g")).distinct().collect()})
-    if not sizes:
-        return needles.select(F.col("id").alias("needle")).limit(0).crossJoin(hay.select(F.col("id").alias("hay")).limit(0))
-    index = materialize_table(hay.select("id", "text", F.explode(F.flatten(F.array(*[_grams(F.col("text"), g) for g in sizes]))).alias("gram")), "gram-index")
-    counts = index.groupBy("gram").agg(F.count("*").alias("c"))
-    own = needles.where(F.length("text") > 0).select(F.col("id").alias("needle"), F.col("text").alias("needle_text"), F.explode(_grams(F.col("text"), F.least(F.length("text"), F.lit(GRAM)))).alias("gram"))
-    # a gram that the index lacks counts 0: the needle is nowhere
-    rarest = own.join(counts, "gram", "left").groupBy("needle", "needle_text").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("r"))
-    asked = rarest.where("r.c > 0").select("needle", "needle_text", F.col("r.gram").alias("gram"))
-    return asked.join(index, "gram").where(F.contains("text", "needle_text")).select("needle", F.col("id").alias("hay"))
+    the first.
+
+    Up to `GRAM` code points a needle is itself the key: the hay's runs of the
+    needles' lengths are joined with it, so only what holds it is ever paired,
+    and rows grow with the hay's length alone.  Short needles, which as a rule
+    are few, make a table of their own that Spark can broadcast.  A longer
+    needle is looked up under the rarest of its runs of `GRAM`, and what is
+    found there is compared.  Empty texts hold nothing and are held by nothing."""
+    spark = hay.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    hay = hay.select(F.col("id").alias("hay"), "text").repartition(tasks, "hay")  # few bytes, many runs
+    needles = needles.select(F.col("id").alias("needle"), F.col("text").alias("needle_text"))
+    n = F.length("needle_text")
+    found = needles.select("needle").limit(0).crossJoin(hay.select("hay").limit(0))
+    for least, most in ((1, SHORT), (SHORT + 1, GRAM)):
+        some = materialize_table(needles.where(n.between(least, most)).withColumnRenamed("needle_text", "run"), "needles")
+        sizes = sorted(r["size"] for r in some.select(F.length("run").alias("size")).distinct().collect())
+        if sizes:
+            runs = hay.select("hay", F.explode(_runs(F.col("text"), sizes)).alias("run"))
+            found = found.unionAll(runs.join(some if most == SHORT else some.hint("shuffle_hash"), "run").select("needle", "hay"))
+    long = materialize_table(needles.where(n > GRAM).select("needle", "needle_text", F.explode(_runs(F.col("needle_text"), [GRAM])).alias("run")), "needle-runs")
+    if not long.isEmpty():
+        index = materialize_table(hay.where(F.length("text") > GRAM).select("hay", "text", F.explode(_runs(F.col("text"), [GRAM])).alias("run")), "run-index")
+        counts = index.groupBy("run").agg(F.count("*").alias("c"))
+        # a run that the index lacks counts 0: the needle is nowhere
+        rarest = long.join(counts, "run", "left").groupBy("needle", "needle_text").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "run")).alias("r"))
+        asked = rarest.where("r.c > 0").select("needle", "needle_text", F.col("r.run").alias("run"))
+        found = found.unionAll(asked.join(index, "run").where(F.contains("text", "needle_text")).select("needle", "hay"))
+    return found
 
 
 def search_dictionary(queries: DataFrame, dictionary: DataFrame, variations: DataFrame, best: int = 20) -> DataFrame:
@@ -191,23 +206,23 @@ def search_dictionary(queries: DataFrame, dictionary: DataFrame, variations: Dat
     queries: (query); dictionary: (code, term); variations: (variation, term)."""
     asked = queries.select("query", F.lower(F.trim("query")).alias("text")).where(F.col("text") != "").distinct()
     asked = materialize_table(asked.withColumn("id", F.col("query")), "dictionary-queries")
-    entries = materialize_table(dictionary.select("code", "term", F.lower("term").alias("text")), "dictionary-entries")
-    plain = lambda how, kind, score: how.select("query", "code", "term", F.lit(kind).alias("kind"), score.cast("double").alias("score"))
+    entries = materialize_table(dictionary.select(F.struct("code", "term").alias("id"), F.lower("term").alias("text")).distinct(), "dictionary-entries")
+    best_first = Window.partitionBy("query").orderBy(F.desc("score"), "kind", "code", "term")
     known = variations.select(F.lower("variation").alias("text"), F.col("term").alias("standard")).distinct()
-    varied = asked.join(known, "text").join(entries.select("code", "term"), F.col("standard") == F.col("term"))
-    texts = entries.select(F.col("text").alias("id"), "text").distinct()
-    holds = _holding(asked.select("id", "text"), texts).select(F.col("needle").alias("query"), F.col("hay").alias("entry"))
-    held = _holding(texts, asked.select("id", "text")).select(F.col("hay").alias("query"), F.col("needle").alias("entry"))
-    lengths = lambda pairs: pairs.join(asked.select("query", F.col("text").alias("q")), "query").join(entries.select("code", "term", F.col("text").alias("entry")), "entry")
-    holds, held = lengths(holds), lengths(held)
-    codes = _holding(asked.select("id", "text"), entries.select(F.col("code").alias("id"), F.lower("code").alias("text")).distinct())
-    codes = codes.select(F.col("needle").alias("query"), F.col("hay").alias("code")).join(entries.select("code", "term"), "code")
-    found = [plain(varied, 0, F.lit(1.0)), plain(holds.where("q = entry"), 1, F.lit(1.0)), plain(holds.where("q <> entry"), 2, F.length("q") / F.length("entry")),
-             plain(held.where("q <> entry"), 3, F.length("entry") / F.length("q")), plain(codes, 4, F.lit(0.9))]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    varied = asked.join(known, "text").join(entries.select(F.col("id").alias("entry")), F.col("standard") == F.col("entry.term")).select("query", "entry.code", "entry.term", F.lit(0).alias("kind"), F.lit(1.0).alias("score"))
+    holds = _holding(asked.select("id", "text"), entries).select(F.col("needle").alias("query"), F.col("hay").alias("entry"), F.lit(True).alias("holds"))
+    held = _holding(entries, asked.select("id", "text")).select(F.col("hay").alias("query"), F.col("needle").alias("entry"), F.lit(False).alias("holds"))
+    q, term = F.lower(F.trim("query")), F.lower("entry.term")
+    kind = F.when(q == term, 1).when(F.col("holds"), 2).otherwise(3)
+    share = F.least(F.length(q) / F.length(term), F.length(term) / F.length(q))  # the shorter one's
+    pairs = holds.unionAll(held.where(q != term)).select("query", "entry.code", "entry.term", kind.alias("kind"), share.alias("score"))
+    # an entry ahead of these is ahead of them among all, so their best hold all that count
+    pairs = pairs.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= best).drop("place")
+    codes = _holding(asked.select("id", "text"), entries.select("id", F.lower("id.code").alias("text"))).select(F.col("needle").alias("query"), F.col("hay").alias("entry"))
+    met = (term != "") & (F.contains(term, q) | F.contains(q, term))  # by the term itself
+    codes = codes.where(~F.coalesce(met, F.lit(False))).select("query", "entry.code", "entry.term", F.lit(4).alias("kind"), F.lit(0.9).alias("score"))
+    every = varied.unionAll(pairs).unionAll(codes)
     once = every.groupBy("query", "code", "term").agg(F.min(F.struct("kind", "score")).alias("m")).select("query", "code", "term", "m.kind", "m.score")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "kind", "code", "term"))
+    place = F.row_number().over(best_first)
     names = F.array(*map(F.lit, ("exact_variation", "exact", "contains", "partial", "code")))
     return once.withColumn("place", place).where(F.col("place") <= best).select("query", "place", "code", "term", names[F.col("kind")].alias("match_type"), "score")

@@ -8,6 +8,7 @@ from quarry.operators.issues import TYPES
 from quarry.plans import sqlbase as S
 from quarry.plans.issues_q import ISSUES, issue_record
 from quarry.plans.registry import finalize, query
+from quarry.session import materialize_table
 from quarry.sources.tables import load
 
 _flags = "[" + ", ".join(f"CASE WHEN issue_{t} = 1 THEN '{t}' END" for t in sorted(TYPES)) + "]"
@@ -82,9 +83,10 @@ r AS (SELECT query, code, term, m.kind AS kind, m.score AS score, row_number() O
 @query("v15_dictionary_search", DICT_SQL + """
 SELECT query, place, code, term, ['exact_variation', 'exact', 'contains', 'partial', 'code'][kind + 1] AS match_type, round(score, 6) AS score FROM r WHERE place <= 20""")
 def q_v15(spark, sf):
-    words = lambda df, c: df.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    d = words(load(spark, sf, "documents", ["text"]), "text").distinct().where(F.length("word") >= 5).select(F.concat(F.lit("C"), F.left(F.md5("word"), F.lit(7))).alias("code"), F.col("word").alias("term"))
+    words = lambda df, least: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word"))
+    d = words(load(spark, sf, "documents", ["text"]), 5).distinct().select(F.concat(F.lit("C"), F.left(F.md5("word"), F.lit(7))).alias("code"), F.col("word").alias("term"))
+    d = materialize_table(d, "dictionary-words")  # documents are read once
     v = d.where(F.length("term") >= 8).select(F.concat("term", F.lit("s")).alias("variation"), "term")
-    q = (words(load(spark, sf, "benchmark", ["text"]), "text").select(F.col("word").alias("query")).unionAll(load(spark, sf, "part", ["p_name"]))
+    q = (words(load(spark, sf, "benchmark", ["text"]), 1).select(F.col("word").alias("query")).unionAll(load(spark, sf, "part", ["p_name"]))
          .unionAll(v.where(F.length("variation") >= 12).select(F.upper("variation"))).unionAll(d.where(F.length("term") >= 14).select(F.substring("code", 2, 6))))
     return finalize(MA.search_dictionary(q, d, v))

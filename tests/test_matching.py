@@ -117,3 +117,25 @@ def test_dictionary_search_equals_full_comparison(spark):
             got[r["query"]].append((r["code"], r["term"], r["match_type"], round(r["score"], 9)))
         assert got == plain_search(queries, dictionary, variations, best)
     assert MA.search_dictionary(frames[0].limit(0), frames[1], frames[2]).collect() == []
+
+
+def test_needles_are_paired_with_what_holds_them_alone(spark):
+    rng = random.Random(5)
+    text = lambda least, most: "".join(rng.choice("abé") for _ in range(rng.randrange(least, most)))
+    needles = [text(0, 9) for _ in range(120)] + [text(17, 22) for _ in range(20)]
+    hay = [text(0, 12) for _ in range(150)] + [text(1, 9) + n + text(1, 9) for n in needles[-10:]] + [None]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    pairs = lambda some: sorted((i, j) for i, n in some for j, h in enumerate(hay) if n and h and n in h)
+    got = MA._holding(frame(needles), frame(hay))
+    assert sorted(map(tuple, got.collect())) == pairs(enumerate(needles))
+    short = MA._holding(frame(needles[:120]), frame(hay))
+    assert sorted(map(tuple, short.collect())) == pairs(enumerate(needles[:120]))
+    assert "Contains" not in short._jdf.queryExecution().toString()
+
+
+def test_dictionary_query_reads_the_documents_once(spark):
+    from quarry.plans import REGISTRY, load_all
+
+    load_all()
+    files = REGISTRY["v15_dictionary_search"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
