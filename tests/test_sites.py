@@ -2,9 +2,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.operators import sites as SI
 from quarry.operators import textops as TX
@@ -75,3 +77,29 @@ def test_exact_dedup_with_repeated_ids(spark):
     rows = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "c"), (None, "c"), (3, None), (4, None), (1, "a")]
     got = TX.dedup_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "a", 4), (1, "b", 1), (None, "c", 2), (3, None, 2)], key=str)
+
+
+_ODD = ["a", "Bé", "Dr.", "xDr.", "_Mr.", "éMs.", "-́etc.", "²Inc.", "e.g.", "i.e.", "Z.", "!", "?", ".", " ", "  ", "\t", "\n", "\n\n", "\n\n\n\n", "\r", "\x0b", "\x1c", "\x00", "\x01", "\x85", " ", " ", " ", "　", "😀", "word " * 9]
+
+
+def test_chunk_loop_parts_texts_as_the_expressions_do(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(_ODD) for _ in range(rng.randrange(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = df.select("id", TX.split_sentences(F.col("t")).alias("s"), TX.clean_text(F.col("t")).alias("c"), TX.split_paragraphs(F.col("t")).alias("p"),
+                    TX.chunk_texts(F.col("t"), 10 ** 6).alias("whole"), TX._chunk_rows(F.col("t"), 40, 10, 0).alias("rows")).collect()
+    for r in got:
+        assert TX._sentences(texts[r.id]) == r.s and r.whole == ([r.c] if r.c else [])
+        assert [p for p in map(TX._strip, TX._PARAGRAPH.split(texts[r.id])) if p] == r.p
+    rows = df.select("id", F.explode(TX._chunk_rows(F.col("t"), 40, 10, 0)).alias("x")).select("x.words", TX.word_count(F.col("x.text")).alias("n")).collect()
+    assert len(rows) > 600 and all(r.words == r.n for r in rows)
+
+
+def test_chunks_of_a_very_long_text_take_no_time_with_its_square(spark):
+    n = 100_000
+    df = spark.createDataFrame([(0, " ".join(f"Sentence {i} ends here." for i in range(n)))], "id int, t string")
+    df.select(TX.chunk_texts(F.col("t"))).limit(0).collect()
+    start = time.monotonic()
+    chunks = df.select(TX.chunk_texts(F.col("t")).alias("c")).first().c
+    assert time.monotonic() - start < 15
+    assert chunks[-1].endswith(f"Sentence {n - 1} ends here.") and all(len(c) < 600 for c in chunks)  # separators are not counted
