@@ -56,7 +56,8 @@ def section_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """V3: sections as chunks, long ones cut as texts are (V2)."""
     s = sections(docs, id_col, text)
     whole = F.array(F.col("text"))
-    parts = F.when(F.length("text") > size * LONG, chunk_texts(F.col("text"))).otherwise(whole)
+    long = F.length("text") > size * LONG
+    parts = F.when(long, chunk_texts(F.when(long, F.col("text")))).otherwise(whole)  # others do not leave the JVM
     return s.select(id_col, "section", "path", F.posexplode(parts).alias("chunk_index", "chunk")).select(
         id_col, "section", "path", "chunk_index", "chunk", F.length("chunk").alias("char_count"))
 
